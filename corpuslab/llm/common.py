@@ -115,3 +115,8 @@ def text_udf(schema: str):
         return column
 
     return made
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
+    """df with a broadcast hint if it is counted to have so many rows at most; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

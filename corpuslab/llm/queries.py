@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import hostrules
+from corpuslab.llm import hostrules, mixing, sharding
 from corpuslab.llm.common import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,20 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_s
        n_repeat_words::bigint as n_repeat_words, base_failed,
        not base_failed and host_verdict <> 'reject' and (not soft_failed or host_verdict = 'trust') as kept, host_verdict from j
 """
+
+
+def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_table(documents(spark, sf_dir))
+
+
+QUERIES["op4_jump_shards"] = op4_jump_shards
+
+
+def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes are written once, as sources and documents both read them."""
+    sizes = written(documents(spark, sf_dir).select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")), "op8")
+    rows = mixing.with_copies(sizes, mixing.source_targets(sizes))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+QUERIES["op8_entropy_mix"] = op8_entropy_mix
