@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import hostrules, mixing, sharding
+from corpuslab.llm import hostrules, mixing, sharding, urlfilter
 from corpuslab.llm.common import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,23 @@ def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_entropy_mix"] = op8_entropy_mix
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    judged = urlfilter.judge(pages, urlfilter.rules_frame(spark, urlfilter.RULES))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES["op7_url_filter"] = op7_url_filter
+ORACLES["op7_url_filter"] = r"""
+with p as (select page_id, coalesce(url, '') as url from pages),
+r as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from p),
+h as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from r),
+v as (select *, case when ('.' || host) like '%.example.net' and path like '/en/%' then 'example.net/en/'
+                     when ('.' || host) like '%.example.com' and path like '/de/%' then 'example.com/de/'
+                     when ('.' || host) like '%.org' and path like '/fr/%' then 'org/fr/'
+                     when ('.' || host) like '%.net' and path like '/%' then 'net/' end as rule from h)
+select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/') then 'block' else 'allow' end as verdict from v
+"""
