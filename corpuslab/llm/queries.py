@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import hostrules, mixing, sharding, urlfilter
+from corpuslab.llm import hostrules, minhash, mixing, sharding, urlfilter
 from corpuslab.llm.common import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,11 @@ v as (select *, case when ('.' || host) like '%.example.net' and path like '/en/
                      when ('.' || host) like '%.net' and path like '/%' then 'net/' end as rule from h)
 select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/') then 'block' else 'allow' end as verdict from v
 """
+
+
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(documents(spark, sf_dir), shingle_words=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+QUERIES["op2_minhash_dedup"] = op2_minhash_dedup
