@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import hostrules, minhash, mixing, sharding, urlfilter
+from corpuslab.llm import bpe, hostrules, minhash, mixing, sharding, urlfilter
 from corpuslab.llm.common import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +99,11 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_minhash_dedup"] = op2_minhash_dedup
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outputs = ("n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, outputs)
+
+
+QUERIES["op1_byte_bpe"] = op1_byte_bpe
