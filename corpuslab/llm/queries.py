@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import bpe, hostrules, minhash, mixing, sharding, urlfilter
+from corpuslab.llm import bpe, hostrules, minhash, mixing, pii, sharding, urlfilter
 from corpuslab.llm.common import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_byte_bpe"] = op1_byte_bpe
+
+
+def op3_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pii.annotate(docs, pii.fit(docs))
+
+
+QUERIES["op3_weak_pii"] = op3_weak_pii
