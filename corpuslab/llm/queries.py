@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import bpe, hostrules, minhash, mixing, pii, sharding, urlfilter
+from corpuslab.llm import bpe, hostrules, minhash, mixing, pii, sharding, simhash, urlfilter
 from corpuslab.llm.common import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,10 @@ def op3_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_weak_pii"] = op3_weak_pii
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.edit_report(documents(spark, sf_dir))
+
+
+QUERIES["op10_simhash"] = op10_simhash
