@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import bpe, hostrules, minhash, mixing, pii, sharding, simhash, urlfilter
-from corpuslab.llm.common import written
+from corpuslab.llm import bpe, gam, hostrules, minhash, mixing, pii, sharding, simhash, urlfilter
+from corpuslab.llm.common import crc_of_id, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -122,3 +122,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_simhash"] = op10_simhash
+
+
+def op5_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures are written once, as the model and the scores both read them."""
+    measured = written(gam.features(documents(spark, sf_dir)), "op5")
+    scores = gam.scored(measured, gam.learned(measured, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    held_out = F.coalesce(crc_of_id(F.col("doc_id")) % 3 == 1, F.lit(False))
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES["op5_additive_quality"] = op5_additive_quality
