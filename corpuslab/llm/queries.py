@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import bpe, gam, hostrules, minhash, mixing, pii, sharding, simhash, urlfilter
+from corpuslab.llm import bpe, gam, hostrules, langid, minhash, mixing, pii, sharding, simhash, urlfilter
 from corpuslab.llm.common import crc_of_id, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,13 @@ def op5_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_additive_quality"] = op5_additive_quality
+
+
+def op9_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = langid.predict(docs, langid.learned(docs))
+    held_out = F.coalesce(crc_of_id(F.col("doc_id")) % 5 == 0, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES["op9_crf_language"] = op9_crf_language
