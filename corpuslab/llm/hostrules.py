@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import text_udf, windows, word_hashes
+from corpuslab.llm.common import broadcast_if_small, text_udf, windows, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -110,6 +110,7 @@ def judged(rows: DataFrame, hosts: DataFrame, host_col: str = "source") -> DataF
     """Measured rows with host_verdict and kept."""
     known = hosts.select(F.col("host").alias("_host"), "host_verdict")
     rows = rows.drop("host_verdict", "kept", "_host")
+    known = broadcast_if_small(known)
     joined = rows.join(known, rows[host_col].eqNullSafe(known["_host"]), "left").drop("_host")
     kept = ~F.col("base_failed") & (F.col("host_verdict") != "reject") & (~F.col("soft_failed") | (F.col("host_verdict") == "trust"))
     return joined.withColumn("kept", kept)

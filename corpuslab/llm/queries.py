@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from corpuslab.llm import bpe, gam, hostrules, langid, minhash, mixing, pii, sharding, simhash, urlfilter
 from corpuslab.llm.common import crc_of_id, written
 
@@ -143,3 +144,8 @@ def op9_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_crf_language"] = op9_crf_language
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
