@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from corpuslab.plans import q_text  # noqa: E402, F401
+from corpuslab.plans import q_text, q_tokens  # noqa: E402, F401
