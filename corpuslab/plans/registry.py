@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from corpuslab.plans import q_assoc, q_connectors, q_more, q_stats, q_text, q_time, q_tokens  # noqa: E402, F401
+from corpuslab.plans import q_assoc, q_connectors, q_io, q_more, q_stats, q_text, q_time, q_tokens  # noqa: E402, F401
