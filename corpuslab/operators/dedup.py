@@ -18,7 +18,7 @@ def exact(docs: DataFrame, order: str = "doc_id", text_col: str = "text", short:
 
 def page_lines(pages: DataFrame, doc: str, page: str, text_col: str = "text") -> DataFrame:
     """doc, page, from_top, from_end, line of non-empty lines."""
-    lines = F.filter(F.transform(F.split(text_col, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text_col, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     rows = pages.select(doc, page, F.size(lines).alias("_n"), F.posexplode(lines).alias("from_top", "line"))
     return rows.withColumn("from_end", F.col("_n") - 1 - F.col("from_top")).drop("_n")
 
