@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import text as T
 from corpuslab.operators import assoc as A
+from corpuslab.operators import chd as CHD
 from corpuslab.operators import dedup as D
 from corpuslab.operators import factor as X
 from corpuslab.operators import frames as R
@@ -256,3 +257,18 @@ def cl_double_cross(spark, d):
     return cells.select("a", "b", "observed", F.round(F.when(F.col("observed") >= F.col("expected"), F.col("contribution")).otherwise(-F.col("contribution")), 6).alias("chi2"))
 
 
+
+
+def class_table(spark, d):
+    """Terms in the middle of the frequency range; the invented languages are the classes to be found."""
+    return K.frequent(K.dfm(tok(spark, d)), min_docs=10, max_share=0.5)
+
+
+@query("cl_chd")
+def cl_chd(spark, d):
+    return CHD.classify(class_table(spark, d), 4)[0]
+
+
+@query("cl_rainette")
+def cl_rainette(spark, d):
+    return CHD.terminal(CHD.classify(class_table(spark, d), 3, least=20, refine=0)[0], 20)
