@@ -80,11 +80,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and go on from there, so that lost executors cost no more than their own tasks."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """Write the rows to the shared folder and go on from there: lost executors cost no more than their own tasks.
+
+    Tables rather than checkpoint(), as a checkpointed frame keeps the size estimate of its plan: in a loop of self-joins that estimate, a
+    product, has twice the digits after each round, until the planner does nothing else.
+    """
+    return written(df, "cut")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -15,7 +15,7 @@ for what they connect, so groups are not expanded into pairs:
 1. in each table bucket every class is paired with one pivot of the bucket (least key; then, in a second round, most links so far);
    candidates are confirmed on full sets, links give components;
 2. in what remains, every class that is not in the component of its bucket's pivot is paired with all classes of its bucket in other
-   components. After this each candidate pair either was confirmed or rejected or lies within one component, so the components
+   components. After this each candidate pair either was confirmed or rejected, or lies within one component, so the components
    are those of all candidate pairs. No bucket is capped.
 
 Confirmation reads the full sets, made again from the texts of candidates only. Before that, pairs are dropped whose sizes exclude
@@ -71,7 +71,7 @@ def minhashes(hashes: np.ndarray, masks: np.ndarray, factors: np.ndarray) -> np.
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, text_key, n_shingles, node (16 bytes, null for an empty set), sig (two bytes of each minhash), left and right (half keys)."""
+    """doc_id, text_key, n_shingles, node (16 bytes, null for an empty set), sig (a byte of each minhash), left and right (half keys)."""
 
     def made(it: Iterator[tuple]) -> Iterator[tuple]:
         masks, factors = seeds(2 * bands * rows)
@@ -85,7 +85,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int,
             for k in range(rows):
                 keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + least[k::rows])
             keys = keys.view(np.int64).tolist()
-            sig = (least >> np.uint64(48)).astype(np.uint16).view(np.int16).astype(np.int32).tolist()
+            sig = (least >> np.uint64(56)).astype(np.int32).tolist()
             yield doc_id, text_key, len(hashes), xxhash.xxh3_128_digest(hashes.tobytes()), sig, keys[:bands], keys[bands:]
 
     read = docs.select(docs[id_col].cast("long"), F.xxhash64(docs[text_col]), docs[text_col])
@@ -110,41 +110,67 @@ def agreeing(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
+def short(node: Column) -> Column:
+    """Eight bytes for a node where it only narrows candidates: two nodes that share them are compared, not merged."""
+    return F.xxhash64(node)
+
+
+def with_neighbours(signed: DataFrame) -> DataFrame:
+    """One row for each class that shares a half key with another class in both collections, with the numbers of the shared keys as bits."""
+    out = None
+    for side in ("left", "right"):
+        rows = signed.select(short(F.col("node")).alias("h"), F.posexplode(side).alias("i", "x"))
+        shared = rows.groupBy("i", "x").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("i", "x")
+        bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("i"))).alias(f"{side}_bits")
+        found = rows.join(shared, ["i", "x"]).groupBy("h").agg(bits)
+        out = found if out is None else out.join(found, "h")
+    rows = signed.withColumn("h", short(F.col("node"))).join(out, "h")
+    one = rows.groupBy("node").agg(F.min_by(F.struct("text_key", F.col("doc_id").alias("rep_id"), F.col("n_shingles").alias("n"), "sig", "left", "right", "left_bits", "right_bits"), F.struct("text_key", "doc_id")).alias("s"))
+    return one.select("node", "s.*")
+
+
 class Linker:
-    """The candidate rounds over classes; each method is a few DataFrame steps."""
+    """The candidate rounds over classes with neighbours; each method is a few DataFrame steps.
+
+    Table rows hold three numbers: the bucket, the class's rank (few links last, then by hash) and eight bytes of its component. They are
+    made from the classes whenever needed and never kept. A bucket's pivot is its least rank.
+    """
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, n: int, percent: int, least_agreeing: float):
+    def __init__(self, docs: DataFrame, near: DataFrame, id_col: str, text_col: str, n: int, percent: int, least_agreeing: float):
         self.percent, self.least_agreeing = percent, least_agreeing
-        near = self._with_neighbours(classes)
-        self.near = written(near, "op2-near")
-        self.sets = written(sets_of(docs, self.near, id_col, text_col, n), "op2-sets")
-        keys = self.near.select("node", F.posexplode("left").alias("i", "x"), "right", "shared_left", "shared_right")
-        keys = keys.filter(F.array_contains("shared_left", F.col("i"))).select("node", "i", "x", "shared_right", F.posexplode("right").alias("j", "y"))
-        keys = keys.filter(F.array_contains("shared_right", F.col("j")))
-        #: A row for each class and table in which it may meet another.
-        self.tables = keys.select("node", F.xxhash64("i", "j", "x", "y").alias("bucket"))
-
-    def _with_neighbours(self, classes: DataFrame) -> DataFrame:
-        """Classes with the numbers of the half keys that others share, in both collections."""
-        out = classes
-        for side in ("left", "right"):
-            rows = out.select("node", F.posexplode(side).alias("i", "x"))
-            shared = rows.groupBy("i", "x").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
-            numbers = rows.join(shared, ["i", "x"]).groupBy("node").agg(F.collect_list("i").alias(f"shared_{side}"))  # at most `bands` numbers
-            out = out.join(numbers, "node")
-        return out
-
-    def linked(self, pairs: DataFrame) -> DataFrame:
-        """Of the pairs (a, b) those linked, confirmed on full sets."""
-        side = self.near.select("node", "sig", F.col("n_shingles").alias("n"))
-        a, b = (side.select(*[F.col(c).alias(f"{p}_{c}") for c in side.columns]) for p in "ab")
-        both = pairs.join(a, pairs["a"] == a["a_node"]).join(b, pairs["b"] == b["b_node"])
+        self.near = near
+        self.sets = written(sets_of(docs, near, id_col, text_col, n), "op2-sets")
+
+    def ranked(self, roots: DataFrame | None, links: DataFrame | None) -> DataFrame:
+        """The classes with root and rank."""
+        out = self.near.drop("text_key", "rep_id")
+        out = out.withColumn("root", F.col("node")) if roots is None else out.join(roots, "node")
+        degree = F.lit(0).cast("long")
+        if links is not None:
+            ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+            out, degree = out.join(ends, "node", "left"), F.coalesce("degree", F.lit(0).cast("long"))
+        few = (1 << 20) - F.least(degree, F.lit((1 << 20) - 1))
+        rank = F.shiftleft(few, 42).bitwiseOR(F.shiftrightunsigned(short(F.col("node")), 22))
+        return cut(out.withColumn("rank", rank).drop("degree"))
+
+    @staticmethod
+    def table_rows(info: DataFrame, *more: str) -> DataFrame:
+        """bucket, rank, r of each class and each table in which it may meet another."""
+        has = lambda bits, i: F.call_function("getbit", F.col(bits), F.col(i)) == 1
+        rows = info.select("rank", short(F.col("root")).alias("r"), *more, "left_bits", "right_bits", "right", F.posexplode("left").alias("i", "x")).filter(has("left_bits", "i"))
+        rows = rows.select("rank", "r", *more, "right_bits", "i", "x", F.posexplode("right").alias("j", "y")).filter(has("right_bits", "j"))
+        return rows.select(F.xxhash64("i", "j", "x", "y").alias("bucket"), "rank", "r", *more)
+
+    def linked(self, pairs: DataFrame, info: DataFrame) -> DataFrame:
+        """Of the pairs of ranks (a, b) those across components that are linked, as nodes, confirmed on full sets."""
+        a, b = (info.select(*[F.col(c).alias(f"{p}_{c}") for c in ("rank", "node", "root", "n", "sig")]) for p in "ab")
+        both = pairs.join(a, pairs["a"] == a["a_rank"]).join(b, pairs["b"] == b["b_rank"]).filter("a_root <> b_root")
         near = both.filter((100 * F.least("a_n", "b_n") >= self.percent * F.greatest("a_n", "b_n")) & (agreeing(F.col("a_sig"), F.col("b_sig")) >= self.least_agreeing * F.size("a_sig")))
-        near = cut(near.select("a", "b"))
+        near = cut(near.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
         x, y = (self.sets.select(F.col("node").alias(f"{p}_node"), F.col("shingles").alias(f"{p}_set")) for p in "ab")
         full = near.join(x, near["a"] == x["a_node"]).join(y, near["b"] == y["b_node"])
         common = F.size(F.array_intersect("a_set", "b_set"))
-        return full.filter(100 * common >= self.percent * (F.size("a_set") + F.size("b_set") - common)).select("a", "b")
+        return cut(full.filter(100 * common >= self.percent * (F.size("a_set") + F.size("b_set") - common)).select("a", "b"))
 
     def roots(self, links: DataFrame) -> DataFrame:
         """node, root of all classes with neighbours; a class without links is its own root."""
@@ -152,39 +178,41 @@ class Linker:
         nodes = self.near.select("node")
         return cut(nodes.join(found, nodes["node"] == found["_node"], "left").select("node", F.coalesce("root", "node").alias("root")))
 
-    def open_buckets(self, roots: DataFrame, degrees: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """The table rows of buckets that hold several components, and each such bucket's pivot."""
-        rows = self.tables.join(roots, "node")
-        rank = F.struct(F.lit(0).alias("d"), F.hex("node").alias("h"))
-        if degrees is not None:
-            rows = rows.join(degrees, "node", "left")
-            rank = F.struct((-F.coalesce("degree", F.lit(0))).alias("d"), F.hex("node").alias("h"))
-        pivots = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(rank.alias("r"), "node", "root")).alias("p"))
-        pivots = pivots.filter("lo <> hi").select("bucket", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root"))
-        return rows.select("bucket", "node", "root"), pivots
-
-    def star_round(self, roots: DataFrame, degrees: DataFrame | None) -> DataFrame:
-        rows, pivots = self.open_buckets(roots, degrees)
-        pairs = rows.join(pivots, "bucket").filter("root <> pivot_root").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        return cut(self.linked(pairs))
-
-    def exact_round(self, roots: DataFrame, degrees: DataFrame | None) -> DataFrame:
-        """All candidate pairs across components. A class outside the pivot's component meets its bucket's other components."""
-        rows, pivots = self.open_buckets(roots, degrees)
-        open_rows = written(rows.join(pivots, "bucket").select("bucket", "node", "root", (F.col("root") != F.col("pivot_root")).alias("out")).distinct(), "op2-open")
-        out = open_rows.filter("out").select("bucket", F.col("node").alias("u"), F.col("root").alias("u_root"))
-        pairs = out.join(open_rows, "bucket").filter("u_root <> root").select(F.least("u", "node").alias("a"), F.greatest("u", "node").alias("b")).distinct()
-        return cut(self.linked(pairs))
+    def star_round(self, info: DataFrame) -> DataFrame:
+        """Every class with the pivot of each of its buckets that holds several components."""
+        pivots = self.table_rows(info).groupBy("bucket").agg(F.min("rank").alias("pivot"), F.min("r").alias("lo"), F.max("r").alias("hi")).filter("lo <> hi").select("bucket", "pivot")
+        pairs = self.table_rows(info).join(pivots, "bucket").filter("rank <> pivot").select(F.col("rank").alias("a"), F.col("pivot").alias("b")).distinct()
+        return self.linked(pairs, info)
+
+    def exact_round(self, info: DataFrame) -> DataFrame:
+        """All candidate pairs across components that can be linked.
+
+        Of its shingles, a class shares at most ``most`` with any other class in an open bucket: those that some other such class holds. So a
+        pair's intersection is at most the lesser ``most``, which rules out, exactly, nearly all pairs of a large group whose members
+        differ too much; only the others are paired.
+        """
+        buckets = self.table_rows(info).groupBy("bucket").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).filter("lo <> hi").select("bucket")
+        open_ranks = written(self.table_rows(info).join(buckets, "bucket").select("rank").distinct(), "op2-open")
+        some = info.join(open_ranks, "rank")
+        held = some.select("node").join(self.sets, "node").select(short(F.col("node")).alias("h"), F.explode("shingles").alias("s"))
+        single = held.groupBy("s").agg(F.count("*").alias("c"), F.min("h").alias("h")).filter("c = 1").groupBy("h").agg(F.count("*").alias("own"))
+        some = some.withColumn("h", short(F.col("node"))).join(single, "h", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
+        some = cut(some.filter(100 * F.col("most") >= self.percent * F.col("n")).drop("h", "own"))
+        rows = self.table_rows(some, "n", "most")
+        state = rows.groupBy("bucket").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.min("n").alias("least"), F.min(F.struct("rank", "r")).alias("p")).filter("lo <> hi")
+        rows = rows.join(state.select("bucket", "least", F.col("p.r").alias("pivot_r")), "bucket")
+        rows = rows.filter(100 * F.col("most") >= self.percent * (F.col("n") + F.greatest("least", "most") - F.col("most"))).drop("least")
+        rows = written(rows, "op2-rows")
+        out = rows.filter("r <> pivot_r").select("bucket", F.col("rank").alias("u"), F.col("r").alias("u_r"), F.col("n").alias("u_n"), F.col("most").alias("u_most"))
+        both = F.least("most", "u_most")
+        meet = (F.col("u_r") != F.col("r")) & (100 * both >= self.percent * (F.col("n") + F.col("u_n") - both))
+        pairs = out.join(rows, "bucket").filter(meet).select(F.least("u", "rank").alias("a"), F.greatest("u", "rank").alias("b")).distinct()
+        return self.linked(pairs, some)
 
     def all_roots(self) -> DataFrame:
-        roots = cut(self.near.select("node", F.col("node").alias("root")))
-        links = self.star_round(roots, None)
-        for last in (False, True):
-            ends = links.select(F.explode(F.array("a", "b")).alias("node"))
-            degrees = cut(ends.groupBy("node").agg(F.count("*").alias("degree")))
-            roots = self.roots(links)
-            more = self.exact_round(roots, degrees) if last else self.star_round(roots, degrees)
-            links = cut(links.union(more).distinct())
+        links = self.star_round(self.ranked(None, None))
+        links = cut(links.union(self.star_round(self.ranked(self.roots(links), links))))
+        links = links.union(self.exact_round(self.ranked(self.roots(links), links)))
         return self.roots(links)
 
 
@@ -197,9 +225,9 @@ def near_duplicates(
     """
     signed = written(signatures(docs, id_col, text_col, shingle_words, bands, rows), "op2-signed")
     full = signed.filter("node is not null")
-    classes = full.groupBy("node").agg(F.min_by(F.struct("text_key", F.col("doc_id").alias("rep_id"), "n_shingles", "sig", "left", "right"), F.struct("text_key", "doc_id")).alias("s"), F.min("doc_id").alias("least_id"))
-    classes = written(classes.select("node", "least_id", "s.*"), "op2-classes")
-    roots = Linker(docs, classes, id_col, text_col, shingle_words, percent, least_agreeing).all_roots()
+    near = written(with_neighbours(full), "op2-near")
+    roots = Linker(docs, near, id_col, text_col, shingle_words, percent, least_agreeing).all_roots()
+    classes = full.groupBy("node").agg(F.min("doc_id").alias("least_id"))
     placed = classes.select("node", "least_id").join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
     ids = placed.join(least, "root").select("node", "component_id")
