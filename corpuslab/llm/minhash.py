@@ -19,8 +19,7 @@ for what they connect, so groups are not expanded into pairs:
    are those of all candidate pairs. No bucket is capped.
 
 Confirmation reads the full sets, made again from the texts of candidates only. Before that, pairs are dropped whose sizes exclude
-the threshold and pairs that agree in under ``least_agreeing`` of the minhashes (for 128 of them and 0.65, a link is lost with
-probability under 1e-8).
+the threshold, pairs that differ in too many of 1024 parity bits to reach it (both exact), and pairs whose minhashes, kept to four bits, agree so rarely as one linked pair in 75 000 would at the threshold (less above it).
 
 Documents with fewer words than a shingle have one shingle, their whole sequence; those without words have an empty set, are linked
 with nothing and are components of their own. A null text has no words. Null ids are carried: a component's id is its least id that is
@@ -70,26 +69,41 @@ def minhashes(hashes: np.ndarray, masks: np.ndarray, factors: np.ndarray) -> np.
     return least
 
 
+def packed(least: np.ndarray) -> np.ndarray:
+    """The last four bits of each minhash (the first ones of a minimum are mostly 0), sixteen of them in a number."""
+    four = np.resize(least & np.uint64(15), (-(-len(least) // 16), 16))
+    return (four << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """1024 bits: whether a 1024th of the hash range holds an odd number of the set's shingles.
+
+    Each bit in which two sets differ stands for a shingle at least that only one of them has.
+    """
+    odd = np.bincount((hashes & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, text_key, n_shingles, node (16 bytes, null for an empty set), sig (a byte of each minhash), left and right (half keys)."""
+    """doc_id, text_key, n_shingles, node (16 bytes, null for an empty set), sig (four bits of each minhash, packed), odd (see parities), left and right (half keys)."""
 
     def made(it: Iterator[tuple]) -> Iterator[tuple]:
         masks, factors = seeds(2 * bands * rows)
         for doc_id, text_key, text in it:
             hashes = shingle_set(text, n)
             if not len(hashes):
-                yield doc_id, text_key, 0, None, None, None, None
+                yield doc_id, text_key, 0, None, None, None, None, None
                 continue
             least = minhashes(hashes, masks, factors)
             keys = np.zeros(2 * bands, np.uint64)
             for k in range(rows):
                 keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + least[k::rows])
             keys = keys.view(np.int64).tolist()
-            sig = (least >> np.uint64(56)).astype(np.int32).tolist()
-            yield doc_id, text_key, len(hashes), xxhash.xxh3_128_digest(hashes.tobytes()), sig, keys[:bands], keys[bands:]
+            sig = packed(least).tolist()
+            yield doc_id, text_key, len(hashes), xxhash.xxh3_128_digest(hashes.tobytes()), sig, parities(hashes).tolist(), keys[:bands], keys[bands:]
 
     read = docs.select(docs[id_col].cast("long"), F.xxhash64(docs[text_col]), docs[text_col])
-    return map_rows(read, made, "doc_id long, text_key long, n_shingles long, node binary, sig int[], left long[], right long[]")
+    return map_rows(read, made, "doc_id long, text_key long, n_shingles long, node binary, sig long[], odd long[], left long[], right long[]")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
@@ -107,7 +121,27 @@ def sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, n: in
 
 
 def agreeing(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    """How many of the packed minhashes are equal in their four bits."""
+
+    def equal(x: Column, y: Column) -> Column:
+        d = x.bitwiseXOR(y)
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
+        return 16 - F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
+
+    return F.aggregate(F.zip_with(a, b, equal), F.lit(0), lambda s, x: s + x)
+
+
+def may_reach(percent: int, n1: Column, n2: Column, odd1: Column, odd2: Column) -> Column:
+    """Whether the sets' sizes and parities leave the threshold within reach; never false for a linked pair."""
+    apart = F.aggregate(F.zip_with(odd1, odd2, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return 100 * (n1 + n2 - apart) >= percent * (n1 + n2 + apart)
+
+
+def fewest_agreeing(percent: int, minhashes: int) -> float:
+    """Share of equal packed minhashes that a linked pair falls short of once in 75 000 pairs at the threshold: 4.2 deviations."""
+    p = percent / 100 + (1 - percent / 100) / 16
+    return p - 4.2 * (p * (1 - p) / minhashes) ** 0.5
 
 
 def short(node: Column) -> Column:
@@ -125,7 +159,7 @@ def with_neighbours(signed: DataFrame) -> DataFrame:
         found = rows.join(shared, ["i", "x"]).groupBy("h").agg(bits)
         out = found if out is None else out.join(found, "h")
     rows = signed.withColumn("h", short(F.col("node"))).join(out, "h")
-    one = rows.groupBy("node").agg(F.min_by(F.struct("text_key", F.col("doc_id").alias("rep_id"), F.col("n_shingles").alias("n"), "sig", "left", "right", "left_bits", "right_bits"), F.struct("text_key", "doc_id")).alias("s"))
+    one = rows.groupBy("node").agg(F.min_by(F.struct("text_key", F.col("doc_id").alias("rep_id"), F.col("n_shingles").alias("n"), "sig", "odd", "left", "right", "left_bits", "right_bits"), F.struct("text_key", "doc_id")).alias("s"))
     return one.select("node", "s.*")
 
 
@@ -136,8 +170,8 @@ class Linker:
     made from the classes whenever needed and never kept. A bucket's pivot is its least rank.
     """
 
-    def __init__(self, docs: DataFrame, near: DataFrame, id_col: str, text_col: str, n: int, percent: int, least_agreeing: float):
-        self.percent, self.least_agreeing = percent, least_agreeing
+    def __init__(self, docs: DataFrame, near: DataFrame, id_col: str, text_col: str, n: int, percent: int, minhashes: int):
+        self.percent, self.least = percent, 16 * (minhashes // 16) * fewest_agreeing(percent, minhashes)
         self.near = near
         self.sets = written(sets_of(docs, near, id_col, text_col, n), "op2-sets")
 
@@ -154,18 +188,20 @@ class Linker:
         return cut(out.withColumn("rank", rank).drop("degree"))
 
     @staticmethod
-    def table_rows(info: DataFrame, *more: str) -> DataFrame:
-        """bucket, rank, r of each class and each table in which it may meet another."""
+    def table_rows(info: DataFrame, *more: str, places: bool = False) -> DataFrame:
+        """bucket, rank, r of each class and each table in which it may meet another; with places also i, j, left and right."""
+        where = ("i", "j", "left", "right") if places else ()
         has = lambda bits, i: F.call_function("getbit", F.col(bits), F.col(i)) == 1
-        rows = info.select("rank", short(F.col("root")).alias("r"), *more, "left_bits", "right_bits", "right", F.posexplode("left").alias("i", "x")).filter(has("left_bits", "i"))
-        rows = rows.select("rank", "r", *more, "right_bits", "i", "x", F.posexplode("right").alias("j", "y")).filter(has("right_bits", "j"))
-        return rows.select(F.xxhash64("i", "j", "x", "y").alias("bucket"), "rank", "r", *more)
+        rows = info.select("rank", short(F.col("root")).alias("r"), *more, "left_bits", "right_bits", "left", "right", F.posexplode("left").alias("i", "x")).filter(has("left_bits", "i"))
+        rows = rows.select("rank", "r", *more, "right_bits", "left", "right", "i", "x", F.posexplode("right").alias("j", "y")).filter(has("right_bits", "j"))
+        return rows.select(F.xxhash64("i", "j", "x", "y").alias("bucket"), "rank", "r", *more, *where)
 
     def linked(self, pairs: DataFrame, info: DataFrame) -> DataFrame:
         """Of the pairs of ranks (a, b) those across components that are linked, as nodes, confirmed on full sets."""
-        a, b = (info.select(*[F.col(c).alias(f"{p}_{c}") for c in ("rank", "node", "root", "n", "sig")]) for p in "ab")
+        a, b = (info.select(*[F.col(c).alias(f"{p}_{c}") for c in ("rank", "node", "root", "n", "sig", "odd")]) for p in "ab")
         both = pairs.join(a, pairs["a"] == a["a_rank"]).join(b, pairs["b"] == b["b_rank"]).filter("a_root <> b_root")
-        near = both.filter((100 * F.least("a_n", "b_n") >= self.percent * F.greatest("a_n", "b_n")) & (agreeing(F.col("a_sig"), F.col("b_sig")) >= self.least_agreeing * F.size("a_sig")))
+        both = both.filter(may_reach(self.percent, F.col("a_n"), F.col("b_n"), F.col("a_odd"), F.col("b_odd")))
+        near = both.filter((100 * F.least("a_n", "b_n") >= self.percent * F.greatest("a_n", "b_n")) & (agreeing(F.col("a_sig"), F.col("b_sig")) >= self.least))
         near = cut(near.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
         x, y = (self.sets.select(F.col("node").alias(f"{p}_node"), F.col("shingles").alias(f"{p}_set")) for p in "ab")
         full = near.join(x, near["a"] == x["a_node"]).join(y, near["b"] == y["b_node"])
@@ -198,15 +234,20 @@ class Linker:
         single = held.groupBy("s").agg(F.count("*").alias("c"), F.min("h").alias("h")).filter("c = 1").groupBy("h").agg(F.count("*").alias("own"))
         some = some.withColumn("h", short(F.col("node"))).join(single, "h", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
         some = cut(some.filter(100 * F.col("most") >= self.percent * F.col("n")).drop("h", "own"))
-        rows = self.table_rows(some, "n", "most")
+        rows = self.table_rows(some, "n", "most", "sig", "odd", places=True)
         state = rows.groupBy("bucket").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.min("n").alias("least"), F.min(F.struct("rank", "r")).alias("p")).filter("lo <> hi")
         rows = rows.join(state.select("bucket", "least", F.col("p.r").alias("pivot_r")), "bucket")
         rows = rows.filter(100 * F.col("most") >= self.percent * (F.col("n") + F.greatest("least", "most") - F.col("most"))).drop("least")
         rows = written(rows, "op2-rows")
-        out = rows.filter("r <> pivot_r").select("bucket", F.col("rank").alias("u"), F.col("r").alias("u_r"), F.col("n").alias("u_n"), F.col("most").alias("u_most"))
+        out = rows.filter("r <> pivot_r").select("bucket", *[F.col(c).alias(f"u_{c}") for c in ("rank", "r", "n", "most", "sig", "odd", "left", "right")])
         both = F.least("most", "u_most")
         meet = (F.col("u_r") != F.col("r")) & (100 * both >= self.percent * (F.col("n") + F.col("u_n") - both))
-        pairs = out.join(rows, "bucket").filter(meet).select(F.least("u", "rank").alias("a"), F.greatest("u", "rank").alias("b")).distinct()
+        # a pair is made in the first table that it shares, and once if both sides are outside
+        first = lambda side: F.array_position(F.zip_with(F.col(side), F.col(f"u_{side}"), lambda x, y: x == y), F.lit(True)) - 1
+        meet = meet & ((F.col("r") == F.col("pivot_r")) | (F.col("u_rank") < F.col("rank"))) & (first("left") == F.col("i")) & (first("right") == F.col("j"))
+        meet = meet & may_reach(self.percent, F.col("n"), F.col("u_n"), F.col("odd"), F.col("u_odd"))
+        meet = meet & (agreeing(F.col("sig"), F.col("u_sig")) >= self.least)
+        pairs = out.join(rows, "bucket").filter(meet).select(F.least("u_rank", "rank").alias("a"), F.greatest("u_rank", "rank").alias("b")).distinct()
         return self.linked(pairs, some)
 
     def all_roots(self) -> DataFrame:
@@ -217,7 +258,7 @@ class Linker:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, bands: int = 16, rows: int = 4, least_agreeing: float = 0.65
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, bands: int = 16, rows: int = 4
 ) -> DataFrame:
     """doc_id, text_key (xxhash64 of the text), node, n_shingles, component_id, kept; one row for each row of docs.
 
@@ -226,7 +267,7 @@ def near_duplicates(
     signed = written(signatures(docs, id_col, text_col, shingle_words, bands, rows), "op2-signed")
     full = signed.filter("node is not null")
     near = written(with_neighbours(full), "op2-near")
-    roots = Linker(docs, near, id_col, text_col, shingle_words, percent, least_agreeing).all_roots()
+    roots = Linker(docs, near, id_col, text_col, shingle_words, percent, 2 * bands * rows).all_roots()
     classes = full.groupBy("node").agg(F.min("doc_id").alias("least_id"))
     placed = classes.select("node", "least_id").join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
