@@ -262,19 +262,23 @@ def near_duplicates(
 ) -> DataFrame:
     """doc_id, text_key (xxhash64 of the text), node, n_shingles, component_id, kept; one row for each row of docs.
 
-    component_id is the least id in the document's component; kept marks the documents that have it.
+    component_id is the least id in the document's component; kept marks one (id, text) of it: that id, of several texts under it the one
+    of the least node, then text_key. So ids that are null or repeated save no further text; repeated rows of that id and text are marked alike.
     """
     signed = written(signatures(docs, id_col, text_col, shingle_words, bands, rows), "op2-signed")
     full = signed.filter("node is not null")
     near = written(with_neighbours(full), "op2-near")
     roots = Linker(docs, near, id_col, text_col, shingle_words, percent, 2 * bands * rows).all_roots()
-    classes = full.groupBy("node").agg(F.min("doc_id").alias("least_id"))
-    placed = classes.select("node", "least_id").join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
-    least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    ids = placed.join(least, "root").select("node", "component_id")
+    classes = full.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("s"))
+    placed = classes.select("node", "s").join(roots, "node", "left").select("node", "s", F.coalesce("root", "node").alias("root"))
+    first = F.struct("s.no_id", "s.doc_id", "node", "s.text_key")
+    least = placed.groupBy("root").agg(F.min(first).alias("first"))
+    kept_key = F.when(F.col("node") == F.col("first.node"), F.col("first.text_key"))
+    ids = placed.join(least, "root").select("node", F.col("first.doc_id").alias("component_id"), kept_key.alias("kept_key"))
     out = signed.select("doc_id", "text_key", "node", "n_shingles").join(ids, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "text_key", "node", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    kept = F.col("node").isNull() | (F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("text_key").eqNullSafe(F.col("kept_key")))
+    return out.select("doc_id", "text_key", "node", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -64,3 +64,23 @@ def test_kept_rows(spark):
     assert out.columns == df.columns
     assert sorted(r.doc_id for r in out.collect()) == [1, 3, 4]
     assert minhash.near_duplicates(df.limit(0)).collect() == []
+
+
+def test_one_of_each_component_without_distinct_ids(spark):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    docs, groups = [], 0
+    for ids in ([None] * 5, [7] * 5, [None, 9, None, 9, 9], [8, None, 8, 12, 8]):
+        groups += 1
+        base = [word() for _ in range(120)]
+        for k, i in enumerate(ids):
+            copy = list(base)
+            copy[20 * k] = word()
+            docs.append((i, " ".join(copy), groups))
+        docs += [docs[-1], (ids[-1], docs[-1][1].upper(), groups)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, grp int")
+    rows = minhash.without_near_duplicates(df).collect()
+    assert sorted((r.grp, r.doc_id) for r in rows if r.grp > 1) == [(2, 7), (3, 9), (4, 8)]
+    assert [r.doc_id for r in rows if r.grp == 1] == [None]
+    marked = {(r.component_id, r.doc_id, r.text_key) for r in minhash.near_duplicates(df).filter("kept").collect()}
+    assert len(marked) == groups
