@@ -1,16 +1,19 @@
 """URL rules held in a cascade of Bloom filters.
 
 A rule is a host and a path, like ``example.net/en/``. It fits its host and all subdomains where the URL's path starts with the
-rule's; of the rules that fit the longest wins. Each URL has candidate keys, its host suffixes with its path prefixes, and the
+rule's, wherever the rule's path ends, and always where that is empty; of the rules that fit the longest wins, of equally long ones the
+greatest by its bytes. Each URL has candidate keys, its host suffixes with its path prefixes, and the
 question is which of them are listed. Level 1 of a cascade encodes the listed keys; level 2 those unlisted keys of the whole
 corpus that level 1 lets through by mistake; level 3 the listed keys that level 2 lets through; and so on until a level makes no
 mistake. Over that key universe membership is exact, and judging a URL needs no join: the filters are literals of the plan.
 
 The filters' size follows the list, not the corpus (the first level's rate of mistakes is set to about listed / unlisted keys).
 It is checked: a list whose filters would exceed ``max_bits`` is matched by a semi-join instead, with the same result.
-Only candidates no deeper than the deepest rule are formed, so a URL of a million labels or folders costs what a short one does.
+Only candidates with as many labels as the deepest rule at most, and with path prefixes as long as some rule's path, are formed, so a
+URL of a million labels or folders costs what a short one does.
 
-A null URL, or one without ``://``, has an empty host and path; a URL without a path has an empty path, which no rule fits.
+A null URL, or one without ``://``, has an empty host and path; a URL without a path has an empty path, which only rules without one fit.
+Rules whose host holds a slash, or whose path starts otherwise than with one, fit no URL.
 Repeated rows are judged alike. An empty table gives an empty table. Everything is DataFrame expressions.
 """
 
@@ -60,12 +63,12 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def candidates(host: Column, path: Column, labels: int, folders: int) -> Column:
-    """Host suffixes of at most so many labels, each with the path prefixes that end in one of the first so many slashes."""
+def candidates(host: Column, path: Column, labels: int, lengths: list[int]) -> Column:
+    """Host suffixes of at most so many labels, each with the path prefixes of those lengths."""
     suffixes = F.transform(F.sequence(F.lit(1), F.lit(labels)), lambda n: F.call_function("substring_index", host, F.lit("."), -n))
-    prefixes = F.transform(F.sequence(F.lit(1), F.lit(folders)), lambda n: F.concat(F.call_function("substring_index", path, F.lit("/"), n), F.lit("/")))
-    fitting = F.array_distinct(F.filter(prefixes, lambda p: F.startswith(path, p)))
-    return F.flatten(F.transform(F.array_distinct(suffixes), lambda s: F.transform(fitting, lambda p: F.concat(s, p))))
+    fitting = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(path))
+    prefixes = F.transform(fitting, lambda n: F.substring(path, F.lit(1), n))
+    return F.flatten(F.transform(F.array_distinct(suffixes), lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
 
 
 def cascade(keys: DataFrame, listed: str, max_bits: int) -> list[Level] | None:
@@ -100,12 +103,13 @@ def listed_by(levels: list[Level], key: Column) -> Column:
 
 def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow", max_bits: int = 1 << 20) -> DataFrame:
     """pages with host, path, rule and verdict. rules: (host, path, verdict 'allow' or 'block'); block wins where a rule is listed as both."""
-    rules = rules.select(F.concat("host", "path").alias("key"), F.col("verdict"), F.size(F.split("host", r"\.")).alias("labels"), (F.size(F.split("path", "/")) - 1).alias("folders"))
-    deep = rules.agg(F.max("labels"), F.max("folders")).first()
+    rules = rules.filter(~F.contains("host", F.lit("/")) & ((F.col("path") == "") | F.startswith("path", F.lit("/"))))  # so a key has one host and path
+    rules = rules.select(F.concat("host", "path").alias("key"), F.col("verdict"), F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("length"))
+    deep = rules.agg(F.max("labels"), F.collect_set("length")).first()
     rows = with_host_and_path(pages, url_col).drop("rule", "verdict")
     if deep[0] is None:
         return rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    keys_of = candidates(F.col("host"), F.col("path"), max(1, deep[0]), max(1, deep[1]))
+    keys_of = candidates(F.col("host"), F.col("path"), max(1, deep[0]), sorted(deep[1]))
     universe = rows.select(F.explode(keys_of).alias("key")).select("key", F.lit(True).alias("seen"), F.lit(False).alias("blocked"), F.lit(False).alias("allowed"))
     named = rules.select("key", F.lit(False), F.col("verdict") == "block", F.col("verdict") == "allow")
     keys = written(universe.union(named).groupBy("key").agg(F.max("seen").alias("seen"), F.max("blocked").alias("blocked"), F.max("allowed").alias("allowed")), "op7-keys")
@@ -116,7 +120,7 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     best = F.reduce(
         F.transform(keys_of, lambda k: F.struct(k.alias("rule"), F.when(listed_by(blocking, k), F.lit("block")).when(listed_by(allowing, k), F.lit("allow")).alias("verdict"))),
         F.struct(F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict")),
-        lambda a, b: F.when(b["verdict"].isNotNull() & (a["rule"].isNull() | (F.length(b["rule"]) > F.length(a["rule"]))), b).otherwise(a),
+        lambda a, b: F.when(b["verdict"].isNotNull() & (a["rule"].isNull() | (F.struct(F.length(b["rule"]), b["rule"]) > F.struct(F.length(a["rule"]), a["rule"]))), b).otherwise(a),
     )
     rows = rows.withColumn("_best", best)
     return rows.withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce(F.col("_best.verdict"), F.lit(default))}).drop("_best")

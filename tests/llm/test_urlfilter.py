@@ -38,6 +38,13 @@ def test_many_rules_need_levels(spark):
     check(spark, urls, rules, max_bits=64)  # beyond the bound: the join
 
 
+def test_any_path_prefix_and_ties_both_ways(spark):
+    urls = [*ODD, "http://zz.net/ab/x", "http://example.com/ads", "http://example.com/adserver/x", "http://a.example.com/ad", "http://bare.org", "http://x.bare.org/y?z", "http://a.b/c/d"]
+    rules = [("net", "/ab/", "block"), ("zz.net", "/", "allow"), ("example.com", "/ads", "block"), ("bare.org", "", "block"), ("a.b/c", "/d", "block"), ("example", ".com/", "block")]
+    check(spark, urls, rules)
+    check(spark, urls, rules, max_bits=1)  # the join
+
+
 def test_nothing(spark):
     check(spark, [], urlfilter.RULES)
     pages = spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string")
