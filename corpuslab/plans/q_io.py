@@ -152,11 +152,19 @@ def cl_hier(spark, d):
     return spark.createDataFrame(Q.average_linkage(names, distance), "a string, b string, height double, size int")
 
 
-def streamed(spark, d, make, name):
-    """Run a streaming query over the events file until it is done, and read what it wrote."""
-    schema = table(spark, d, "events").schema
+def streamed(spark, d, make, name, windows=False):
+    """Run a streaming query over the events file until it is done, and read what it wrote.
+
+    Windows that the watermark has not passed are closed by a marker row a day after the last event; its own window stays open and is never written.
+    """
+    events = table(spark, d, "events")
+    schema = events.schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
     base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if windows:
+        last = events.agg((F.max(F.col("ts").cast("timestamp")) + F.expr("interval 1 day")).alias("ts"))
+        last.select(*[(F.col("ts") if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]).write.parquet(f"{base}/marker")
+        stream = stream.unionByName(spark.readStream.schema(schema).parquet(f"{base}/marker").withColumn("ts", F.col("ts").cast("timestamp")))
     out = make(stream)
     run = out.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     run.awaitTermination()
@@ -165,12 +173,12 @@ def streamed(spark, d, make, name):
 
 @query("stream_second_bins")
 def stream_second_bins(spark, d):
-    return streamed(spark, d, lambda s: twins.second_bins(s, "ts", "value", "1 hour"), "bins")
+    return streamed(spark, d, lambda s: twins.second_bins(s, "ts", "value", "1 hour"), "bins", windows=True)
 
 
 @query("stream_sessions")
 def stream_sessions(spark, d):
-    return streamed(spark, d, lambda s: twins.sessions(s, "ts", "user_id"), "sessions")
+    return streamed(spark, d, lambda s: twins.sessions(s, "ts", "user_id"), "sessions", windows=True)
 
 
 @query("stream_dedup")

@@ -168,3 +168,15 @@ def test_streams_equal_their_batch_twins(spark):
     late = whole.agg(F.max("ts")).first()[0]
     closed = {tuple(r) for r in want.collect() if (late - r["end"]).total_seconds() > 600}
     assert closed <= {tuple(r) for r in got.collect()} <= {tuple(r) for r in want.collect()}
+
+
+def test_streams_close_their_last_windows(spark):
+    from pyspark.sql import functions as F
+
+    from corpuslab.plans import registry
+    from corpuslab.streaming import twins
+
+    sf = "/root/testdata/sf0.001"
+    whole = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    for name, want in (("stream_sessions", twins.sessions(whole, "ts", "user_id")), ("stream_second_bins", twins.second_bins(whole, "ts", "value", "1 hour"))):
+        assert sorted(map(tuple, registry.QUERIES[name](spark, sf).collect())) == sorted(map(tuple, want.collect()))
