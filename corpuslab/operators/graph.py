@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or "/tmp/corpuslab-checkpoints").rstrip("/")
+from corpuslab.operators.shared import written
 
 
 def kept(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder: rounds of a loop start from there, with a plan and a size of their own."""
-    path = f"{shared_dir(df.sparkSession)}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, "round")
 
 
 def ego(edges: DataFrame, word: str) -> DataFrame:
