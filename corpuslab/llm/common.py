@@ -1,18 +1,19 @@
-"""What the operators of this subpackage share: words, row maps over Arrow batches, checkpoints."""
+"""What the operators of this subpackage share: words, row maps over Arrow batches; tables in the shared folder come from the library."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from corpuslab.operators.shared import Scratch, broadcast_if_small, written  # noqa: F401
+
 #: A word is a longest run of characters other than these.
 SPACES = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACES}]+"
@@ -71,30 +72,6 @@ def map_rows(df: DataFrame, f: Callable[[Iterator[tuple]], Iterator[tuple]], sch
     return df.mapInArrow(batches, kind)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one is set only where the cluster names none, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "/tmp/corpuslab-checkpoints"
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and go on from there: lost executors cost no more than their own tasks.
-
-    Tables rather than checkpoint(), as a checkpointed frame keeps the size estimate of its plan: in a loop of self-joins that estimate, a
-    product, has twice the digits after each round, until the planner does nothing else.
-    """
-    return written(df, "cut")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, read again."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def crc_of_id(column: Column) -> Column:
     """crc32 of the id's decimal text; null for a null id."""
     return F.crc32(column.cast("string"))
@@ -116,8 +93,3 @@ def text_udf(schema: str):
         return column
 
     return made
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
-    """df with a broadcast hint if it is counted to have so many rows at most; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
