@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column as C
@@ -189,15 +192,16 @@ def slug(text: Column | str) -> Column:
 
 
 def syllables(word: Column) -> Column:
-    """Vowel groups of a French word, without a final mute e, one at least."""
-    groups = F.regexp_count(word, F.lit("[aeiouyàâäéèêëîïôöùûüÿœ]+"))
-    mute = word.rlike("[^aeiouyàâäéèêëîïôöùûüÿœ](e|es)$")
-    return F.greatest(F.lit(1), groups - mute.cast("int"))
+    """Vowel groups of a French word's letters and hyphens, one less if it ends in e and has several, one at least; 0 without letters and hyphens."""
+    kept = F.regexp_replace(F.lower(word), "[^a-zàâäéèêëîïôöùûüÿœç-]", "")
+    groups = F.regexp_count(kept, F.lit("[aeiouyàâäéèêëîïôöùûüÿœ]+"))
+    mute = kept.endswith("e") & (groups > 1)
+    return F.when(kept == "", 0).otherwise(F.greatest(F.lit(1), groups - mute.cast("int")))
 
 
 def escape_html(text: Column | str) -> Column:
     out = col(text)
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
 
@@ -212,12 +216,66 @@ def highlight(text: Column | str, terms: list[str], tag: str = "span") -> Column
     return F.regexp_replace(col(text), alternation(terms), f"<{tag}>$1</{tag}>")
 
 
+def cut_at(text: Column | str, pattern: str) -> Column:
+    """Array of (piece, mark): what stands before each match of the pattern, and the match; the last piece has no mark (null)."""
+    both = rf"(?s)(.*?)(?:({pattern})|\z)"
+    pieces, marks = (F.regexp_extract_all(col(text), F.lit(both), F.lit(k)) for k in (1, 2))
+    found = F.arrays_zip(pieces.alias("piece"), F.transform(marks, lambda m: F.nullif(m, F.lit(""))).alias("mark"))
+    # at the text's end the pattern matches nothing once more than there are marks, or twice
+    last = F.coalesce(F.array_position(F.transform(found, lambda x: x["mark"].isNull()), F.lit(True)), F.lit(1)).cast("int")
+    return F.slice(found, F.lit(1), F.greatest(F.lit(1), last))
+
+
+def connector_pattern(keys: list[str], mode: str = "any_word") -> str:
+    """Longest-first alternation of the keys, without flags.
+
+    Word borders stand around a key: "edge_alnum" if its first and last character are letters or digits, "any_word" if it holds any,
+    "always" in any case; "strip" trims keys first (so line ends vanish), then as "any_word". A line-end key also takes a carriage return.
+    """
+    if mode == "strip":
+        keys = [k.strip() for k in keys if k.strip()]
+    parts = []
+    for key in sorted({k for k in keys if k}, key=lambda k: (-len(k), k)):
+        body = r"\r?\n" if key in ("\n", "\r\n") else rf"\Q{key}\E"
+        word = {"always": True, "edge_alnum": key[0].isalnum() and key[-1].isalnum()}.get(mode, any(c.isalnum() or c == "_" for c in key))
+        parts.append(rf"\b{body}\b" if word else body)
+    return "|".join(parts) or "(?!)"
+
+
+def without_header_ends(text: Column | str) -> Column:
+    """Text in which the ends of lines that begin with four stars are tabs, so that they count as no connector."""
+    return F.regexp_replace(col(text), r"(?m)^(\*{4}[^\n]*?)\r?\n", "$1\t")
+
+
 def annotate_html(text: Column | str, labels: dict[str, str]) -> Column:
-    """Escaped text with each dictionary entry in a span of its label's class; line ends become breaks."""
-    out = escape_html(text)
-    for key in sorted(labels, key=lambda k: (-len(k), k)):
-        out = F.regexp_replace(out, alternation([key]), f'<span class="connector-{labels[key].lower()}">$1</span>')
-    return F.replace(out, F.lit("\n"), F.lit("<br />"))
+    """Escaped text in which each connector stands in a span of its label's class, after its label.
+
+    One pass over the escaped text, the longest key first, so that nothing is annotated within an annotation. A line end that is a key is shown
+    as an arrow and followed by a break; after a line of four stars it is a break alone. Other line ends stay.
+    """
+    newline = next((v for k, v in labels.items() if k in ("\n", "\r\n")), None)
+    keys = {k: v for k, v in labels.items() if k and k not in ("\n", "\r\n")}
+    lower = {k.lower(): v for k, v in keys.items()}
+    slugged = lambda label: re.sub("[^a-z0-9]+", "-", label.lower()).strip("-") or "label"
+
+    def span(label: str) -> tuple[str, str]:
+        return f'<span class="connector-annotation connector-{slugged(label)}"><span class="connector-label">{html.escape(label)}</span><span class="connector-text">', "</span></span>"
+
+    def annotated(line: Column) -> Column:
+        if not keys:
+            return line
+        opening = F.create_map(*[F.lit(x) for k, v in lower.items() for x in (k, span(v)[0])])
+        marked = lambda x: F.concat(x["piece"], F.when(x["mark"].isNotNull(), F.concat(opening[F.lower(x["mark"])], html_text(x["mark"]), F.lit("</span></span>"))).otherwise(""))
+        return F.array_join(F.transform(cut_at(line, "(?iU)" + connector_pattern(list(keys), "edge_alnum")), marked), "")
+
+    html_text = escape_html
+    escaped = F.coalesce(escape_html(text), F.lit(""))
+    if newline is None:
+        return F.replace(annotated(escaped), F.lit("\r\n"), F.lit("\n"))
+    lines = F.split(F.replace(escaped, F.lit("\r\n"), F.lit("\n")), "\n")
+    arrow = "↵".join(span(newline)) + "<br />"
+    ended = lambda line, i: F.concat(annotated(line), F.when(i == F.size(lines) - 1, "").when(line.startswith("****"), "<br />").otherwise(arrow))
+    return F.array_join(F.transform(lines, ended), "")
 
 
 def french_punctuation(text: Column | str) -> Column:

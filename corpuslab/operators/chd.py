@@ -4,143 +4,252 @@ Again and again the largest class is cut in two: its units are ordered by their
 largest chi-squared between the two column profiles is taken, single units are then moved while that raises it, and each side drops the columns
 that are foreign to it. Units left without columns get class 0.
 
-Scores come from power iteration on sums over units and terms, the sweep from running sums over value ranges; no step holds all units in one task.
+A unit is one row with the numbers of its terms. The terms are the most frequent ones, `most_terms` at most, so what there is of a term (its sum, its
+weight on the axis) is a short vector: it comes to the driver and goes out again as one broadcast row. A step of the power iteration is then one pass
+over the units and one small aggregation, without a join. The cut comes from ranks and running sums by ranges; no step holds all units in one task.
 Moves are decided against frozen column sums, all at once, and halved while they do not help: the end state has the same property as one move after
 another (no single move helps), not always the same members.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import zlib
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.operators.graph import kept
-from corpuslab.operators.stats import with_running_sum
+from corpuslab.operators.ranges import running
+from corpuslab.operators.shared import broadcast_if_small
+from corpuslab.operators.stats import cells
 
 #: Columns found in at most so many units of a class play no part in its cut.
 RARE = 3
 
 
-def first_axis(cells: DataFrame, steps: int = 12) -> DataFrame:
-    """unit, score: the first non-trivial axis of the (unit, term) table, by alternating means of scores (reciprocal averaging).
+def unit_rows(counts: DataFrame, unit: str, most_terms: int) -> tuple[DataFrame, list[str]]:
+    """(unit, ts: numbers of its terms) and the terms by number, most frequent first."""
+    cells = counts.select(F.col(unit).alias("unit"), "term").distinct()
+    best = cells.groupBy("term").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "term").limit(most_terms)
+    names = [r["term"] for r in best.collect()]  # at most most_terms
+    number = counts.sparkSession.createDataFrame(list(enumerate(names)), "t int, term string")
+    held = cells.join(broadcast_if_small(number, most_terms), "term").groupBy("unit").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    return kept(held), names
+
+
+def with_vectors(rows: DataFrame, **vectors: np.ndarray) -> DataFrame:
+    """rows with each vector as an array column: one broadcast row."""
+    one = rows.sparkSession.createDataFrame([tuple(list(map(float, v)) for v in vectors.values())], ", ".join(f"{k} array<double>" for k in vectors))
+    return rows.crossJoin(F.broadcast(one))
+
+
+def over_terms(made, start: float = 0.0) -> Column:
+    """The sum over a unit's terms."""
+    return F.aggregate("ts", F.lit(start), lambda s, t: s + made(t))
+
+
+def by_term(rows: DataFrame, size: int, **sums: Column) -> dict[str, np.ndarray]:
+    """Sums over the units of each term, as vectors."""
+    out = {k: np.zeros(size) for k in sums}
+    long = rows.select(F.explode("ts").alias("t"), *[v.alias(k) for k, v in sums.items()])
+    for r in long.groupBy("t").agg(*[F.sum(k).alias(k) for k in sums]).collect():
+        for k in sums:
+            out[k][r["t"]] = r[k]
+    return out
+
+
+def first_axis(rows: DataFrame, names: list[str], steps: int = 15, close: float = 1e-5) -> DataFrame:
+    """rows with score: the first non-trivial axis of the table, by alternating means of scores (reciprocal averaging).
 
-    Terms start from a hash of their name; each step takes the mean of terms over units and back, less the trivial part.
+    Terms start from a hash of their name; each step takes the mean of terms over units and back, less the trivial part, until the axis stands still.
     """
-    terms = cells.groupBy("term").agg(F.count("*").alias("c"))
-    units = cells.groupBy("unit").agg(F.count("*").alias("r"))
-    n = cells.count()
-    v = kept(terms.select("term", "c", (F.pmod(F.xxhash64("term"), F.lit(2000)) / 1000 - 1).alias("v")))
-    score = None
+    c = by_term(rows, len(names), c=F.lit(1.0))["c"]
+    v = np.array([zlib.crc32(n.encode()) % 2000 / 1000 - 1 for n in names]) * (c > 0)
+    score = over_terms(lambda t: F.get("_v", t)) / F.size("ts")
     for _ in range(steps):
-        mean, size = v.agg(F.sum(F.col("c") * F.col("v")) / n, F.sqrt(F.sum(F.col("c") * F.col("v") * F.col("v")) / n)).first()
-        centred = v.select("term", ((F.col("v") - F.lit(mean)) / F.lit(size or 1.0)).alias("v"))
-        score = kept(cells.join(centred, "term").groupBy("unit").agg(F.avg("v").alias("score")))
-        v = kept(cells.join(score, "unit").groupBy("term").agg(F.count("*").alias("c"), F.avg("score").alias("v")))
-    return units.join(score, "unit").select("unit", "score")
+        v = (v - (c @ v) / c.sum()) * (c > 0)
+        v = v / (np.sqrt(c @ (v * v) / c.sum()) or 1.0)
+        sums = by_term(with_vectors(rows, _v=v).withColumn("_score", score), len(names), s=F.col("_score"))["s"]
+        before, v = v, np.divide(sums, c, out=np.zeros_like(sums), where=c > 0)
+        w = v / (np.sqrt(c @ (v * v) / c.sum()) or 1.0)
+        if np.sqrt(c @ np.square(w - before) / c.sum()) < close:
+            break
+    v = v / (np.sqrt(c @ (v * v) / c.sum()) or 1.0)
+    return kept(with_vectors(rows, _v=v).withColumn("score", F.round(score, 12)).drop("_v"))
+
+
+def chi2_from(a: np.ndarray, s: np.ndarray) -> float:
+    """Chi-squared of two sides' column sums a and s - a."""
+    t1, n = a.sum(), s.sum()
+    q = np.divide(a * a, s, out=np.zeros_like(a), where=s > 0).sum()
+    return float(n * (q / t1 + (n - 2 * t1 + q) / (n - t1)) - n) if 0 < t1 < n else 0.0
 
 
-def chi2_of(cells: DataFrame, sides: DataFrame) -> float:
-    """Chi-squared of the two sides' column sums; sides: unit, side (1 or 2)."""
-    sums = cells.join(sides, "unit").groupBy("term").agg(F.sum((F.col("side") == 1).cast("long")).alias("a"), F.count("*").alias("s"))
-    r = sums.agg(F.sum("a").alias("t1"), F.sum("s").alias("n"), F.sum(F.col("a") * F.col("a") / F.col("s")).alias("q")).first()
-    t1, n, q = float(r.t1 or 0), float(r.n or 0), float(r.q or 0)
-    return n * (q / t1 + (n - 2 * t1 + q) / (n - t1)) - n if 0 < t1 < n else 0.0
+def side_sums(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The columns' sums on side 1, and on both."""
+    sums = by_term(rows, size, a=(F.col("side") == 1).cast("double"), s=F.lit(1.0))
+    return sums["a"], sums["s"]
 
 
-def sweep(cells: DataFrame, scores: DataFrame) -> DataFrame:
-    """unit, side of the cut with the largest chi-squared; all units at or under the cut score are on side 1.
+def sweep(rows: DataFrame, size: int) -> DataFrame:
+    """rows (with score) with the side of the cut with the largest chi-squared; all units at or under the cut score are on side 1.
 
     With columns' sums s, a unit joining side 1 as the r-th holder of a term adds (2 r - 1) / s to the sum of squares over s, so all cuts follow
     from one rank for each term and one running sum over the scores.
     """
-    sums = cells.groupBy("term").agg(F.count("*").alias("s"))
-    n = float(cells.count())
-    rank = F.row_number().over(Window.partitionBy("term").orderBy("score", "unit"))
-    steps = cells.join(scores, "unit").join(sums, "term").withColumn("_r", rank)
-    per = steps.groupBy("unit", "score").agg(F.sum((2 * F.col("_r") - 1) / F.col("s")).alias("da"), F.count("*").alias("dt"))
+    s = by_term(rows, size, s=F.lit(1.0))["s"]
+    n = float(s.sum())
+    cells = rows.select("unit", "score", F.explode("ts").alias("t"))
+    placed = with_vectors(running(cells, ["t"], ["score", "unit"], {"r": F.lit(1).cast("long")}), s=s)
+    per = placed.groupBy("unit", "score").agg(F.sum((2 * F.col("r") - 1) / F.get("s", F.col("t"))).alias("da"), F.count("*").alias("dt"))
     levels = per.groupBy("score").agg(F.sum("da").alias("da"), F.sum("dt").cast("double").alias("dt"))
-    run = with_running_sum(with_running_sum(levels, "score", "da").withColumn("a", F.col("_before") + F.col("da")).drop("_before"), "score", "dt")
-    run = run.withColumn("t1", F.col("_before") + F.col("dt")).filter((F.col("t1") > 0) & (F.col("t1") < n))
+    run = running(levels, [], ["score"], {"a": F.col("da"), "t1": F.col("dt")}).filter((F.col("t1") > 0) & (F.col("t1") < n))
     chi2 = n * (F.col("a") / F.col("t1") + (n - 2 * F.col("t1") + F.col("a")) / (n - F.col("t1"))) - n
     best = run.agg(F.max_by("score", F.struct(F.round(chi2, 9), -F.col("score")))).first()[0]
     side = F.lit(1) if best is None else F.when(F.col("score") <= best, 1).otherwise(2)
-    return scores.select("unit", side.alias("side"))
+    return rows.withColumn("side", side).drop("score")
 
 
-def refined(cells: DataFrame, sides: DataFrame, rounds: int = 6) -> DataFrame:
-    """sides after moves of single units that raise chi-squared."""
-    sides = kept(sides)
-    now, share = chi2_of(cells, sides), 1.0
-    for _ in range(rounds):
-        sums = cells.join(sides, "unit").groupBy("term").agg(F.sum((F.col("side") == 1).cast("long")).alias("a"), F.count("*").alias("s"))
-        total = sums.agg(F.sum("a").alias("t1"), F.sum("s").alias("n"), F.sum(F.col("a") * F.col("a") / F.col("s")).alias("q")).first()
+def refined(rows: DataFrame, size: int, rounds: int = 6) -> DataFrame:
+    """rows (with side) after moves of single units that raise chi-squared."""
+    rows = kept(rows)
+    a, s = side_sums(rows, size)
+    now, share = chi2_from(a, s), 1.0
+    for k in range(rounds):
+        t1, n = float(a.sum()), float(s.sum())
+        q = float(np.divide(a * a, s, out=np.zeros_like(a), where=s > 0).sum())
         sign = F.when(F.col("side") == 1, -1).otherwise(1)
-        delta = cells.join(sides, "unit").join(sums, "term").groupBy("unit", "side").agg(F.sum((2 * sign * F.col("a") + 1) / F.col("s")).alias("dq"), F.sum(sign).alias("dt"))
-        t1, n, q = float(total.t1), float(total.n), float(total.q)
-        u, p = t1 + F.col("dt"), q + F.col("dq")
+        u = t1 + sign * F.size("ts")
+        p = q + over_terms(lambda t, sign=sign: (2 * sign * F.get("_a", t) + 1) / F.get("_s", t))
         gain = F.when((u > 0) & (u < n), n * (p / u + (n - 2 * u + p) / (n - u)) - n - now).otherwise(-1.0)
-        good = delta.withColumn("gain", gain).filter("gain > 1e-9")
-        chosen = good.withColumn("_p", F.pmod(F.xxhash64("unit", F.lit(int(share * 1e6))), F.lit(1_000_000))).filter(F.col("_p") < int(share * 1_000_000)).select(F.col("unit").alias("_u"))
-        moved = kept(sides.join(chosen, sides["unit"] == chosen["_u"], "left").select("unit", F.when(F.col("_u").isNotNull(), 3 - F.col("side")).otherwise(F.col("side")).alias("side")))
-        later = chi2_of(cells, moved)
+        drawn = F.pmod(F.xxhash64("unit", F.lit(k)), F.lit(1_000_000)) < int(share * 1_000_000)
+        moved = with_vectors(rows, _a=a, _s=s).withColumn("_good", gain > 1e-9).drop("_a", "_s")
+        moved = kept(moved.withColumn("side", F.when(F.col("_good") & drawn, 3 - F.col("side")).otherwise(F.col("side"))))
+        b, _ = side_sums(moved, size)
+        later = chi2_from(b, s)
         if later > now + 1e-9:
-            sides, now = moved, later
+            rows, a, now = moved.drop("_good"), b, later
+        elif moved.filter("_good").isEmpty():
+            break
         else:
             share /= 4
-            if good.isEmpty():
-                break
-    return sides
+    return rows
 
 
-def classify(counts: DataFrame, classes: int = 4, least: int = 5, unit: str = "doc_id", refine: int = 2) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """(unit, class) with classes 1..k (0 for units that lost all their columns), and the tree's edges (parent, child).
+def classify(counts: DataFrame, classes: int = 4, least: int = 5, unit: str = "doc_id", refine: int = 2, most_terms: int = 20_000) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """(unit, leaf): the nodes of the tree that units end in (0 for units that lost all their columns), and the tree's edges (mother, daughter) from node 1.
 
-    The number of classes is a parameter, so is the number of jobs.
+    The number of leaves is a parameter, so is the number of jobs.
     """
-    cells = kept(counts.select(F.col(unit).alias("unit"), "term").distinct())
-    everyone = kept(cells.select("unit").distinct())
-    groups: dict[int, DataFrame] = {1: cells}
+    rows, names = unit_rows(counts, unit, most_terms)
+    size = len(names)
+    groups: dict[int, DataFrame] = {1: rows}
+    sizes = {1: rows.count()}
     tree: list[tuple[int, int]] = []
-    fresh = 2
     closed: set[int] = set()
-    while len(groups) < classes:
-        sizes = {g: c.select("unit").distinct().count() for g, c in groups.items() if g not in closed}
-        if not sizes:
-            break
-        largest = max(sizes, key=lambda g: (sizes[g], -g))
-        body = groups[largest]
-        frequent = body.groupBy("term").agg(F.count("*").alias("_n")).filter(F.col("_n") > RARE).select("term")
-        table = kept(body.join(frequent, "term", "left_semi"))
+    while len(groups) < classes and set(groups) - closed:
+        largest = max(set(groups) - closed, key=lambda g: (sizes[g], -g))
+        c = by_term(groups[largest], size, c=F.lit(1.0))["c"]
+        table = with_vectors(groups[largest], _c=c).withColumn("ts", F.filter("ts", lambda t: F.get("_c", t) > RARE)).drop("_c").filter(F.size("ts") > 0)
+        table = kept(table)
         if sizes[largest] < 2 * least or table.isEmpty():
             closed.add(largest)
             continue
-        sides = sweep(table, kept(first_axis(table)))
-        sides = refined(table, sides, refine) if refine else kept(sides)
+        sides = kept(sweep(first_axis(table, names), size))
+        sides = refined(sides, size, refine) if refine else sides
+        a, s = side_sums(sides, size)
+        expected = s * (a.sum() / s.sum())
+        with np.errstate(divide="ignore", invalid="ignore"):
+            contrast = np.where(s > 0, np.square(a - expected) * (1 / expected + 1 / (s - expected)), 0.0)
+        foreign = np.where(np.nan_to_num(contrast) > 3.84, np.where(a < expected, 1, 2), 0)
+        clean = with_vectors(sides, _not=foreign).withColumn("ts", F.filter("ts", lambda t: F.get("_not", t) != F.col("side"))).drop("_not")
+        clean = kept(clean.filter(F.size("ts") > 0))
         by_side = {r["side"]: r["n"] for r in sides.groupBy("side").agg(F.count("*").alias("n")).collect()}
         if min(by_side.get(1, 0), by_side.get(2, 0)) < least:
             closed.add(largest)
             continue
-        held = table.join(sides, "unit")
-        share = held.groupBy("term").agg(F.sum((F.col("side") == 1).cast("long")).alias("a"), F.count("*").alias("s"))
-        one, all_ = share.agg(F.sum("a"), F.sum("s")).first()
-        expected = F.col("s") * F.lit(one / all_)
-        contrast = (F.col("a") - expected) * (F.col("a") - expected) * (1 / expected + 1 / (F.col("s") - expected))
-        foreign = share.select("term", F.when(contrast > 3.84, F.when(F.col("a") < expected, 1).otherwise(2)).alias("_not"))
-        clean = kept(held.join(foreign, "term").filter(F.col("_not").isNull() | (F.col("_not") != F.col("side"))).select("unit", "term", "side"))
         del groups[largest]
+        left = {r["side"]: r["n"] for r in clean.groupBy("side").agg(F.count("*").alias("n")).collect()}
         for side in (1, 2):
-            groups[fresh] = clean.filter(F.col("side") == side).select("unit", "term")
+            fresh = len(tree) + 2
+            groups[fresh], sizes[fresh] = clean.filter(F.col("side") == side).select("unit", "ts"), left.get(side, 0)
             tree.append((largest, fresh))
-            fresh += 1
     named = None
-    for number, g in enumerate(sorted(groups), 1):
-        one_class = groups[g].select("unit").distinct().withColumn("class", F.lit(number))
-        named = one_class if named is None else named.union(one_class)
+    for g in sorted(groups):
+        one = groups[g].select("unit", F.lit(g).alias("leaf"))
+        named = one if named is None else named.union(one)
+    everyone = counts.select(F.col(unit).alias("unit")).distinct()
     named = named.withColumnRenamed("unit", "_u")
-    return everyone.join(named, everyone["unit"] == named["_u"], "left").select(F.col("unit").alias(unit), F.coalesce("class", F.lit(0)).alias("class")), tree
+    return kept(everyone.join(named, everyone["unit"] == named["_u"], "left").select(F.col("unit").alias(unit), F.coalesce("leaf", F.lit(0)).alias("leaf"))), tree
 
 
-def terminal(assigned: DataFrame, least: int) -> DataFrame:
-    """Classes smaller than the limit are merged into 0."""
-    sizes = assigned.groupBy("class").agg(F.count("*").alias("_n"))
-    return assigned.join(F.broadcast(sizes), "class").withColumn("class", F.when(F.col("_n") >= least, F.col("class")).otherwise(0)).drop("_n")
+def terminal(assigned: DataFrame, tree: list[tuple[int, int]], least: int | None = None, unit: str = "doc_id", double: bool = False) -> DataFrame:
+    """(unit, class) from the leaves of a tree: classes 1, 2, ... by node.
+
+    Leaves of at least so many units are classes (if not given: units / leaves, half of that for a double classification). Small leaves are one class in
+    their mother where that is large enough, is not the whole tree and has no class under her; otherwise they, and units of leaf 0, are in
+    class 0. Where fewer than two classes would be left, every leaf is one. The tree has twice as many nodes as leaves: it is worked on here.
+    """
+    sizes = {r["leaf"]: r["n"] for r in assigned.filter("leaf > 0").groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+    daughters: dict[int, list[int]] = {}
+    for a, b in tree:
+        daughters.setdefault(a, []).append(b)
+
+    def leaves(node: int) -> list[int]:
+        return [x for d in daughters[node] for x in leaves(d)] if node in daughters else [node]
+
+    limit = least if least is not None else sum(sizes.values()) // max(1, (2 if double else 1) * len(sizes))
+    home = {leaf: leaf for leaf, n in sizes.items() if n >= limit}
+    for node in sorted(daughters, reverse=True):  # daughters have higher numbers than their mother
+        under = leaves(node)
+        direct = any(d not in daughters for d in daughters[node])
+        if node != 1 and direct and not home.keys() & set(under) and sum(sizes.get(x, 0) for x in under) >= limit:
+            home |= dict.fromkeys(under, node)
+    if len(set(home.values())) < 2:
+        home = {leaf: leaf for leaf in sizes}
+    number = {node: k for k, node in enumerate(sorted(set(home.values())), 1)}
+    pairs = [x for leaf, node in home.items() for x in (F.lit(leaf), F.lit(number[node]))]
+    found = F.coalesce(F.create_map(*pairs)[F.col("leaf")], F.lit(0)) if pairs else F.lit(0)
+    return assigned.select(unit, found.alias("class"))
+
+
+def crossed(first: DataFrame, second: DataFrame, unit: str = "doc_id", none: int | None = 0) -> DataFrame:
+    """a, b, observed, expected, chi2 (signed: negative where fewer than expected) for each pair of classes of two classifications; units of class `none` are left out."""
+    both = first.select(unit, F.col("class").alias("a")).join(second.select(unit, F.col("class").alias("b")), unit)
+    if none is not None:
+        both = both.filter((F.col("a") != none) & (F.col("b") != none))
+    table = cells(both.groupBy("a", "b").agg(F.count("*").alias("n")), "a", "b")
+    sign = F.when(F.col("observed") >= F.col("expected"), 1).otherwise(-1)
+    return table.select("a", "b", "observed", "expected", (sign * F.col("contribution")).alias("chi2"))
+
+
+def stable_classes(first: DataFrame, second: DataFrame, least_chi2: float = 3.84, unit: str = "doc_id") -> DataFrame:
+    """(unit, class) of a double classification: pairs of classes over the limit, taken greedily by chi2, no class twice; other units get class 0.
+
+    Pairs are at most the product of the two numbers of classes.
+    """
+    pairs = crossed(first, second, unit).filter(F.col("chi2") > least_chi2).orderBy(F.desc("chi2"), "a", "b").collect()
+    used_a, used_b, chosen = set(), set(), []
+    for r in pairs:
+        if r["a"] not in used_a and r["b"] not in used_b:
+            used_a.add(r["a"])
+            used_b.add(r["b"])
+            chosen.append((r["a"], r["b"]))
+    both = first.select(unit, F.col("class").alias("a")).join(second.select(unit, F.col("class").alias("b")), unit)
+    number = F.lit(0)
+    for k, (a, b) in enumerate(chosen, 1):
+        number = F.when((F.col("a") == a) & (F.col("b") == b), k).otherwise(number)
+    return both.select(unit, number.alias("class"))
+
+
+def size_merged(segments: DataFrame, words: Column, least: int, by: str = "doc_id", order: str = "seg_no") -> DataFrame:
+    """segments with group: neighbouring segments of a text joined until each group has so many words, a short rest with the group before it.
+
+    A group starts where the words so far in the text pass a multiple of the limit.
+    """
+    rows = running(segments.withColumn("_w", words), [by], [order], {"_upto": F.col("_w").cast("long")})
+    total = segments.withColumn("_w", words).groupBy(F.col(by).alias("_by")).agg(F.sum("_w").alias("_all"))
+    rows = rows.join(broadcast_if_small(total), rows[by].eqNullSafe(F.col("_by")))
+    group = F.least(F.floor((F.col("_upto") - F.col("_w")) / least), F.greatest(F.lit(0), F.floor(F.col("_all") / least) - 1))
+    return rows.withColumn("group", group.cast("int")).drop("_w", "_upto", "_by", "_all")

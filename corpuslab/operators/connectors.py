@@ -7,29 +7,19 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import text as T
 
-#: Marks put round a boundary before texts are split; they occur in no text.
-OPEN, CLOSE = "\u0001", "\u0002"
-
 
 def pattern(keys: list[str], mode: str = "any_word") -> str:
-    """Longest-first alternation of the keys, one group.
-
-    Word borders stand around a key: "edge_alnum" if its first and last character are letters or digits, "any_word" if it holds any,
-    "always" in any case; "strip" trims keys first (so line ends vanish), then as "any_word". A line-end key also takes a carriage return.
-    """
-    if mode == "strip":
-        keys = [k.strip() for k in keys if k.strip()]
-    parts = []
-    for key in sorted({k for k in keys if k}, key=lambda k: (-len(k), k)):
-        body = r"\r?\n" if key in ("\n", "\r\n") else rf"\Q{key}\E"
-        word = {"always": True, "edge_alnum": key[0].isalnum() and key[-1].isalnum()}.get(mode, any(c.isalnum() or c == "_" for c in key))
-        parts.append(rf"\b{body}\b" if word else body)
-    return "(?iU)(" + "|".join(parts) + ")" if parts else "(?!)"
+    """The connectors as one group, in any case; see functions.text.connector_pattern."""
+    return f"(?iU)({T.connector_pattern(keys, mode)})"
 
 
 def connector_counts(docs: DataFrame, labels: dict[str, str], by: list[str] = (), mode: str = "edge_alnum", text_col: str = "text") -> DataFrame:
-    """by, connector, label, n: each key counted on its own, so one inside another counts twice; keys not found go."""
-    found = [F.struct(F.lit(k).alias("connector"), F.lit(v).alias("label"), F.regexp_count(text_col, F.lit(pattern([k], mode))).alias("c")) for k, v in labels.items()]
+    """by, connector, label, n: each key counted on its own, so one inside another counts twice; keys not found go.
+
+    The end of a line that begins with four stars is no connector.
+    """
+    text = T.without_header_ends(text_col)
+    found = [F.struct(F.lit(k).alias("connector"), F.lit(v).alias("label"), F.regexp_count(text, F.lit(pattern([k], mode))).alias("c")) for k, v in labels.items()]
     rows = docs.select(*by, F.explode(F.array(*found)).alias("s")).select(*by, "s.*")
     return rows.groupBy(*by, "connector", "label").agg(F.sum("c").alias("n")).filter("n > 0")
 
@@ -37,7 +27,7 @@ def connector_counts(docs: DataFrame, labels: dict[str, str], by: list[str] = ()
 def label_counts(docs: DataFrame, labels: dict[str, str], by: list[str] = (), mode: str = "edge_alnum", text_col: str = "text") -> DataFrame:
     """by, label, n: matches of one alternation, which do not overlap."""
     names = F.create_map(*[F.lit(x) for k, v in {k.lower(): v for k, v in labels.items()}.items() for x in (k, v)])
-    hits = F.regexp_extract_all(text_col, F.lit(pattern(list(labels), mode)), F.lit(1))
+    hits = F.regexp_extract_all(T.without_header_ends(text_col), F.lit(pattern(list(labels), mode)), F.lit(1))
     rows = docs.select(*by, F.explode(hits).alias("hit")).withColumn("label", names[F.lower(F.regexp_replace("hit", "\r\n", "\n"))])
     return rows.groupBy(*by, "label").agg(F.count("*").alias("n"))
 
@@ -76,24 +66,17 @@ def segments(docs: DataFrame, labels: dict[str, str], punctuation: bool = False,
     Kept are pieces with words that touch a connector (before, after: the connector, or null); a text without connectors is one piece.
     """
     body = T.strip_meta(text_col)
-    word = pattern(list(labels), mode)
-    marked = F.regexp_replace(body, word, f"{OPEN}c$1{CLOSE}")
-    if punctuation:
-        marked = F.regexp_replace(marked, r"([.!?;:]+)", f"{OPEN}p$1{CLOSE}")
-    # text and boundaries alternate: split before every opening and after every closing mark
-    parts = F.split(marked, f"(?={OPEN})|(?<={CLOSE})")
-    is_mark = lambda x: x.startswith(OPEN)
-    inner = lambda x: F.substring(x, F.lit(3), F.length(x) - 3)
-    rows = docs.select(*keys, body.rlike(word).alias("_any"), body.alias("_body"), parts.alias("_p"))
-    one = rows.filter("not _any").select(*keys, F.lit(0).alias("k"), F.trim("_body").alias("segment"), F.lit(None).cast("string").alias("before"), F.lit(None).cast("string").alias("after"))
-    at = rows.filter("_any").select(*keys, "_p", F.posexplode("_p").alias("k", "x")).filter(~is_mark(F.col("x")))
-
-    def side(place: Column) -> Column:
-        x = F.try_element_at("_p", place)
-        return F.when(x.startswith(OPEN + "c"), inner(x))
-
-    many = at.select(*keys, "k", F.trim("x").alias("segment"), F.when(F.col("k") > 0, side(F.greatest(F.lit(1), F.col("k")))).alias("before"), side(F.col("k") + 2).alias("after"))
-    kept = one.unionByName(many.filter("before is not null or after is not null"))
+    word = T.connector_pattern(list(labels), mode)
+    found = T.cut_at("_body", f"(?iU){word}" + (r"|[.!?;:]+" if punctuation else ""))
+    is_connector = lambda x: F.when(x.rlike(f"(?iU)^(?:{word})$"), x)
+    cut = F.transform("_p", lambda x, i: F.struct(
+        i.alias("k"), F.trim(x["piece"]).alias("segment"), is_connector(F.when(i > 0, F.get("_p", i - 1)["mark"])).alias("before"), is_connector(x["mark"]).alias("after"),
+    ))
+    alone = F.col("_body").rlike(f"(?iU){word}")
+    rows = docs.select(*keys, body.alias("_body")).select(*keys, (~alone).alias("_alone"), found.alias("_p"), "_body")
+    whole = F.array(F.struct(F.lit(0).alias("k"), F.trim("_body").alias("segment"), F.lit(None).cast("string").alias("before"), F.lit(None).cast("string").alias("after")))
+    touching = F.filter(cut, lambda x: x["before"].isNotNull() | x["after"].isNotNull())
+    kept = rows.select(*keys, F.inline(F.when(F.col("_alone"), whole).otherwise(touching)))
     return kept.withColumn("n_words", F.size(T.words("segment"))).filter("n_words > 0")
 
 

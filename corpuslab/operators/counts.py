@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import text as T
 from corpuslab.operators import tokens as K
+from corpuslab.operators.ranges import numbered
 
 
 def corpus_stats(docs: DataFrame, head: int = 160) -> DataFrame:
@@ -24,13 +25,15 @@ def per_thousand(part: Column, whole: Column, base: int = 1000) -> Column:
 
 
 def readability(docs: DataFrame, by: list[str]) -> DataFrame:
-    """by, sentences, words, syllables, ease, grade (reading ease and grade level of each group's texts) and band."""
+    """by, sentences, words, syllables, ease, grade (reading ease and grade level of each group's texts) and band; all 0 without words, but the band, which is then 7."""
     words = T.words_flesch("text")
     sentences = F.size(F.filter(F.split("text", r"[.!?;:]+|\n+"), lambda x: F.btrim(x, F.lit(" \n\t\r")) != ""))
     rows = docs.select(*by, sentences.alias("s"), F.size(words).alias("w"), F.aggregate(F.transform(words, T.syllables), F.lit(0).cast("long"), lambda a, x: a + x).alias("y"))
     sums = rows.groupBy(*by).agg(F.sum("s").alias("sentences"), F.sum("w").alias("words"), F.sum("y").alias("syllables"))
+    sums = sums.withColumn("sentences", F.when(F.col("words") > 0, F.col("sentences")).otherwise(0))
     per_sentence, per_word = F.col("words") / F.greatest(F.col("sentences"), F.lit(1)), F.col("syllables") / F.greatest(F.col("words"), F.lit(1))
-    out = sums.withColumns({"ease": F.round(206.835 - 1.015 * per_sentence - 84.6 * per_word, 6), "grade": F.round(0.39 * per_sentence + 11.8 * per_word - 15.59, 6)})
+    out = sums.withColumns({"ease": F.when(F.col("words") > 0, F.round(206.835 - 1.015 * per_sentence - 84.6 * per_word, 6)).otherwise(0.0)})
+    out = out.withColumn("grade", F.when(F.col("words") > 0, F.round(0.39 * per_sentence + 11.8 * per_word - 15.59, 6)).otherwise(0.0))
     ease = F.col("ease")
     band = F.when(ease >= 90, 1).when(ease >= 80, 2).when(ease >= 70, 3).when(ease >= 60, 4).when(ease >= 50, 5).when(ease >= 30, 6).otherwise(7)
     return out.withColumn("band", band)
@@ -77,12 +80,16 @@ def cosine(vectors: DataFrame, unit: str) -> DataFrame:
     return x.join(y, "term").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
 
 
-def group_text(docs: DataFrame, by: list[str], order: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """label ("a = x | b = y", blank values as unspecified), text: the texts of each combination in order, blank line between."""
+def group_text(docs: DataFrame, by: list[str], order: str = "doc_id", text_col: str = "text", part_rows: int = 64) -> DataFrame:
+    """label ("a = x | b = y", blank values as unspecified), part, text: the texts of each combination in order, blank line between, in parts of so many.
+
+    A group's whole text is its parts in order, with blank lines between them; as one row it would be as large as the group.
+    """
     named = [F.concat(F.lit(f"{c} = "), F.coalesce(F.nullif(F.trim(F.col(c)), F.lit("")), F.lit("Non spécifié"))) for c in by]
-    texts = F.array_sort(F.collect_list(F.struct(order, text_col)))
-    rows = docs.withColumn("label", F.concat_ws(" | ", *named)).groupBy("label").agg(texts.alias("_t"))
-    return rows.select("label", F.array_join(F.transform("_t", lambda x: x[text_col]), "\n\n").alias("text"))
+    rows = numbered(docs.select(F.concat_ws(" | ", *named).alias("label"), order, text_col), ["label"], [order, text_col], "_i")
+    texts = F.array_sort(F.collect_list(F.struct("_i", text_col)))
+    parts = rows.groupBy("label", F.floor((F.col("_i") - 1) / part_rows).alias("part")).agg(texts.alias("_t"))
+    return parts.select("label", "part", F.array_join(F.transform("_t", lambda x: x[text_col]), "\n\n").alias("text"))
 
 
 def crosstab(df: DataFrame, rows: str, columns: str, normalise: str | None = None) -> DataFrame:

@@ -2,27 +2,77 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.functions.text import alternation, key_ascii
+from corpuslab.functions.text import key_ascii
+
+#: Up to so many expressions are folded into one expression of replacements; longer dictionaries are applied in tasks, with the same result.
+MOST_FOLDED = 60
+
+# Apostrophes taken for one, and the letters that a plain letter of an entry stands for.
+APOSTROPHES = "’`´ʼʹ"
+ALIKE = {"a": "aàáâäãå", "e": "eèéêë", "i": "iìíîï", "o": "oòóôöõø", "u": "uùúûü", "y": "yÿ", "c": "cç", "n": "nñ"}
+
+
+def expression_body(key: str) -> str:
+    """A pattern for the entry: plain letters with their accents, œ also as oe, everything else as it is."""
+    return "".join(f"[{ALIKE[c]}]" if c in ALIKE else "(?:œ|oe)" if c == "œ" else re.escape(c) if c.isascii() else c for c in key)
 
-#: Up to so many expressions are folded into one expression of replacements.
-MOST_FOLDED = 200
 
+def expression_order(entries: dict[str, str]) -> list[tuple[str, str]]:
+    """(entry, norm) in the order of use: longest first, of equally long ones as listed; both lower-cased and trimmed, blank ones dropped."""
+    tidy = {}
+    for key, norm in entries.items():
+        key, norm = key.strip().lower().translate(str.maketrans(dict.fromkeys(APOSTROPHES, "'"))), norm.strip().lower()
+        if key and norm:
+            tidy.setdefault(key, norm)
+    return sorted(tidy.items(), key=lambda e: -len(e[0]))
 
-def apply_expressions(df: DataFrame, entries: dict[str, str], text_col: str = "text") -> DataFrame:
-    """Each multi-word entry replaced by its norm, longest first, each seeing what the one before made; `replaced` counts them."""
-    if len(entries) > MOST_FOLDED:
-        raise ValueError(f"give at most {MOST_FOLDED} expressions at a time")
-    rows = df.withColumn("replaced", F.lit(0))
-    for key in sorted(entries, key=lambda k: (-len(k), k)):
-        pattern = alternation([key])
+
+def apply_expressions(df: DataFrame, entries: dict[str, str], text_col: str = "text", most_folded: int = MOST_FOLDED) -> DataFrame:
+    """Each multi-word entry replaced by its norm, longest first, each seeing what the one before made; `replaced` counts them.
+
+    Apostrophes of the texts become plain ones. An entry stands between borders of words, in any case, with or without accents on its plain letters.
+    """
+    order = expression_order(entries)
+    rows = df.withColumn(text_col, F.translate(text_col, APOSTROPHES, "'" * len(APOSTROPHES)))
+    if len(order) > most_folded:
+        return applied_in_tasks(rows, order, text_col)
+    rows = rows.withColumn("replaced", F.when(F.col(text_col).isNotNull(), F.lit(0)))
+    for key, norm in order:
+        pattern = rf"(?iU)(?<![\p{{L}}\p{{N}}_]){expression_body(key)}(?![\p{{L}}\p{{N}}_])"
         rows = rows.withColumn("replaced", F.col("replaced") + F.regexp_count(text_col, F.lit(pattern)))
-        rows = rows.withColumn(text_col, F.regexp_replace(text_col, pattern, entries[key]))
+        rows = rows.withColumn(text_col, F.regexp_replace(text_col, pattern, norm.replace("\\", "\\\\").replace("$", "\\$")))
     return rows
 
 
+def applied_in_tasks(df: DataFrame, order: list[tuple[str, str]], text_col: str) -> DataFrame:
+    """The same for long dictionaries: an entry is looked for by its pattern only in texts that hold it once accents are off."""
+    plain = str.maketrans({x: c for c, all_of in ALIKE.items() for x in all_of} | {"œ": "oe"})
+    listed = [(key.translate(plain), rf"(?<!\w){expression_body(key)}(?!\w)", norm) for key, norm in order]
+
+    @F.pandas_udf("replaced int, text string")
+    def replaced(texts: pd.Series) -> pd.DataFrame:
+        found: dict[str, re.Pattern] = {}
+        out = []
+        for text in texts:
+            n, flat = 0, (text or "").lower().translate(plain)
+            for key, body, norm in listed:
+                if key in flat:
+                    pattern = found.get(body) or found.setdefault(body, re.compile(body, re.IGNORECASE))
+                    text, k = pattern.subn(lambda _, norm=norm: norm, text)
+                    n, flat = n + k, text.lower().translate(plain) if k else flat
+            out.append((None if text is None else n, text))
+        return pd.DataFrame(out, columns=["replaced", "text"])
+
+    rows = df.withColumn("_r", replaced(text_col))
+    return rows.withColumns({"replaced": F.col("_r.replaced"), text_col: F.col("_r.text")}).drop("_r")
+
+
 def merged_expressions(base: DataFrame, user: DataFrame) -> DataFrame:
     """Both dictionaries (dic_mot, dic_norm, dic_morpho); user entries that the base has are ignored, one row for each dic_mot."""
     tidy = lambda df: df.withColumn("dic_mot", F.translate(F.trim(F.lower("dic_mot")), "’ʼ", "''"))

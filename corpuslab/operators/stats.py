@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions import pvalues as P
-from corpuslab.operators.windows import average_rank
+from corpuslab.operators.ranges import numbered, running, running_extreme, with_group
+from corpuslab.operators.shared import broadcast_if_small
+from corpuslab.operators.windows import average_rank, with_average_rank
 
 
 def cells(counts: DataFrame, row: str, column: str, n: str = "n") -> DataFrame:
@@ -77,24 +79,12 @@ def ttests(df: DataFrame, group: str, value: str, pooled: bool = False, with_p:
 
 
 def ranked(df: DataFrame, value: str, name: str = "_rank") -> DataFrame:
-    """Average ranks over the whole table. Distinct values are counted and ranked, so ties cost nothing; the running count goes by value ranges."""
-    counts = df.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    running = with_running_sum(counts, "_v", "_c")
-    mean = running.select("_v", (F.col("_before") + (F.col("_c") + 1) / 2).alias(name), F.col("_c").alias("_ties"))
+    """df with average ranks over the whole table, and _ties. Distinct values are counted and ranked by ranges, so ties cost nothing."""
+    counts = df.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_ties"))
+    mean = running(counts, [], ["_v"], {"_upto": F.col("_ties")}).select("_v", (F.col("_upto") - (F.col("_ties") - 1) / 2).alias(name), "_ties")
     return df.join(mean, df[value] == mean["_v"]).drop("_v")
 
 
-def with_running_sum(df: DataFrame, order: str, weight: str, ranges: int = 64) -> DataFrame:
-    """df with `_before`, the weights of all rows that come earlier in the order: sums by ranges of the value, then within each range."""
-    bounds = df.agg(F.percentile_approx(order, [k / ranges for k in range(1, ranges)], 10_000).alias("b")).first().b or []
-    held = F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<double>")
-    rows = df.withColumn("_range", F.size(F.filter(held, lambda b: b < F.col(order))))
-    sums = rows.groupBy("_range").agg(F.sum(weight).alias("_s"))
-    starts = sums.select(F.col("_range").alias("_r"), F.coalesce(F.sum("_s").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    within = F.coalesce(F.sum(weight).over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("_in", within).join(F.broadcast(starts), F.col("_range") == F.col("_r")).withColumn("_before", F.col("_start") + F.col("_in")).drop("_range", "_r", "_start", "_in")
-
-
 def kruskal(df: DataFrame, group: str, value: str, with_p: bool = True) -> DataFrame:
     """h (with tie correction), df, n_total, n_used (and p); no row for fewer than two groups."""
     total = df.agg(F.count("*").alias("n_total"))
@@ -133,7 +123,7 @@ def wilcoxon(table: DataFrame, with_p: bool = True) -> DataFrame:
     x, y = (table.select("block", F.col("model").alias(m), F.col("x").alias(v)) for m, v in (("a", "xa"), ("b", "xb")))
     d = x.join(y, "block").filter("a < b and xa <> xb").select("a", "b", (F.col("xa") - F.col("xb")).alias("d"))
     d = d.withColumn("_abs", F.round(F.abs("d"), 12))
-    d = d.withColumn("_r", average_rank("_abs", ["a", "b"])).withColumn("_t", F.count("*").over(Window.partitionBy("a", "b", "_abs")))
+    d = with_average_rank(d, "_abs", ["a", "b"], "_r", "_t")
     out = d.groupBy("a", "b").agg(F.count("*").alias("n"), F.least(F.sum(F.when(F.col("d") > 0, F.col("_r")).otherwise(0.0)), F.sum(F.when(F.col("d") < 0, F.col("_r")).otherwise(0.0))).alias("w"), F.sum(F.col("_t") * F.col("_t") - 1).cast("double").alias("ties"))
     return out.withColumn("p", P.wilcoxon_p_column("w", "n", "ties")) if with_p else out
 
@@ -144,44 +134,52 @@ def ks_pairs(df: DataFrame, group: str, value: str, with_p: bool = True) -> Data
     size = rows.groupBy("g").agg(F.sum("c").alias("n"))
     x, y = (size.select(F.col("g").alias(k), F.col("n").alias(f"n{k}")) for k in "ab")
     pairs = x.join(y, x["a"] < y["b"])
-    steps = rows.join(F.broadcast(pairs), (rows["g"] == pairs["a"]) | (rows["g"] == pairs["b"]))
+    steps = rows.join(broadcast_if_small(pairs), (rows["g"] == pairs["a"]) | (rows["g"] == pairs["b"]))
     moved = steps.groupBy("a", "b", "na", "nb", "v").agg(F.sum(F.when(F.col("g") == F.col("a"), F.col("c") / F.col("na")).otherwise(-F.col("c") / F.col("nb"))).alias("step"))
-    gap = F.abs(F.round(F.sum("step").over(Window.partitionBy("a", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)), 12))
-    best = moved.withColumn("gap", gap).groupBy("a", "b", "na", "nb").agg(F.min(F.struct((-F.col("gap")).alias("neg"), "v")).alias("m"))
+    best = running(moved, ["a", "b"], ["v"], {"gap": F.col("step")}).withColumn("gap", F.abs(F.round("gap", 12))).groupBy("a", "b", "na", "nb").agg(F.min(F.struct((-F.col("gap")).alias("neg"), "v")).alias("m"))
     out = best.select("a", "b", (-F.col("m.neg")).alias("d"), F.col("m.v").alias("at"), "na", "nb")
     return out.withColumn("p", P.ks_p_column("d", "na", "nb")) if with_p else out
 
 
 def ecdf(df: DataFrame, group: str, value: str) -> DataFrame:
     """group, v, share of values at most v."""
-    rows = df.groupBy(group, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(group)
-    return rows.select(group, "v", (F.sum("c").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("c").over(w)).alias("share"))
-
-
-def ks_permutation(df: DataFrame, group: str, value: str, n: int = 200, seed: int = 0) -> DataFrame:
-    """d, n, p: the share of n relabellings, drawn by hash, whose gap is no smaller; for two groups. The replicates run side by side."""
-    rows = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"), F.xxhash64(*df.columns).alias("_h"))
-    real = ks_pairs(rows, "g", "v", with_p=False).select("d", "a", "na", "nb")
-    draws = rows.select("v", "_h").withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    draws = draws.crossJoin(F.broadcast(real.select("na", "nb"))).withColumn("_o", F.row_number().over(Window.partitionBy("r").orderBy(F.xxhash64("_h", "r", F.lit(seed)), "_h")))
-    step = F.when(F.col("_o") <= F.col("na"), 1 / F.col("na")).otherwise(-1 / F.col("nb"))
-    by_value = draws.groupBy("r", "v").agg(F.sum(step).alias("step"))
-    gap = F.abs(F.sum("step").over(Window.partitionBy("r").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
-    gaps = by_value.withColumn("gap", gap).groupBy("r").agg(F.max("gap").alias("g"))
+    counts = df.groupBy(group, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    rows = running(counts, [group], ["v"], {"upto": F.col("c")})
+    return with_group(rows, [group], counts.groupBy(group).agg(F.sum("c").alias("n"))).select(group, "v", (F.col("upto") / F.col("n")).alias("share"))
+
+
+def ks_permutation(df: DataFrame, group: str, value: str, n: int = 2000, seed: int = 0, key: str = "doc_id", buckets: int = 4096) -> DataFrame:
+    """d, n, p: the share of n relabellings, drawn by hash, whose gap is no smaller; for two groups.
+
+    Every relabelling gives each row a hash; the rows with the least ones are the first group. Where the hash at its edge lies is found from
+    counts of hashes by bucket, so only the rows of one bucket are ordered. Gaps are running sums over distinct values, by ranges.
+    """
+    rows = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"), F.col(key).alias("_k")).filter("v is not null and not isnan(v)")
+    real = ks_pairs(rows, "g", "v", with_p=False).select("d", "na", "nb")
+    draws = rows.select("v", "_k").withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("_h", F.xxhash64("_k", "r", F.lit(seed)))
+    draws = draws.withColumn("_b", F.shiftrightunsigned("_h", 64 - (buckets - 1).bit_length()).cast("int")).crossJoin(F.broadcast(real.select("na", "nb")))  # a row
+    counts = draws.groupBy("r", "_b", "na").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("r").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))  # at most `buckets` rows of each
+    edge = counts.withColumn("_upto", upto).filter("_upto >= na").groupBy("r").agg(F.min(F.struct("_b", (F.col("na") - F.col("_upto") + F.col("c")).alias("rest"))).alias("e"))
+    placed = draws.join(broadcast_if_small(edge), "r")
+    order = F.row_number().over(Window.partitionBy("r", "_b").orderBy("_h", "_k"))
+    inside = placed.filter(F.col("_b") == F.col("e._b")).withColumn("first", order <= F.col("e.rest")).select("r", "v", "na", "nb", "first")
+    outside = placed.filter(F.col("_b") != F.col("e._b")).select("r", "v", "na", "nb", (F.col("_b") < F.col("e._b")).alias("first"))
+    by_value = inside.unionByName(outside).groupBy("r", "v", "na", "nb").agg(F.sum(F.when(F.col("first"), 1).otherwise(0)).alias("x"), F.count("*").alias("c"))
+    sums = running(by_value, ["r"], ["v"], {"sx": F.col("x"), "sc": F.col("c")})
+    gap = F.abs(F.col("sx") / F.col("na") - (F.col("sc") - F.col("sx")) / F.col("nb"))
+    gaps = sums.groupBy("r").agg(F.max(gap).alias("g"))
     return gaps.crossJoin(F.broadcast(real)).groupBy("d").agg(F.count("*").alias("n"), F.avg((F.col("g") >= F.col("d") - 1e-12).cast("double")).alias("p"))
 
 
 def corrected(df: DataFrame, p: str = "p", by: list[str] = ()) -> DataFrame:
     """df (rows of tests) with bonferroni, holm and bh."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    up = w.orderBy(p, *[c for c in df.columns if c != p])
-    m, k = F.count("*").over(w), F.row_number().over(up)
+    by, order = list(by), [p, *[c for c in df.columns if c != p and c not in by]]
+    rows = with_group(numbered(df, by, order, "_i"), by, df.groupBy(*by).agg(F.count("*").alias("_m")))
     one = F.lit(1.0)
-    rows = df.withColumns({"_m": m, "_k": k})
-    holm = F.max(F.least(one, F.col(p) * (F.col("_m") - F.col("_k") + 1))).over(up.rowsBetween(Window.unboundedPreceding, 0))
-    bh = F.min(F.least(one, F.col(p) * F.col("_m") / F.col("_k"))).over(up.rowsBetween(0, Window.unboundedFollowing))
-    return rows.withColumns({"bonferroni": F.least(one, F.col(p) * F.col("_m")), "holm": holm, "bh": bh}).drop("_m", "_k")
+    rows = running_extreme(rows, by, ["_i"], F.least(one, F.col(p) * (F.col("_m") - F.col("_i") + 1)), "holm")
+    rows = running_extreme(rows, by, ["_i"], F.least(one, F.col(p) * F.col("_m") / F.col("_i")), "bh", most=False, forward=False)
+    return rows.withColumn("bonferroni", F.least(one, F.col(p) * F.col("_m"))).drop("_m", "_i")
 
 
 def variable_types(df: DataFrame) -> DataFrame:

@@ -5,50 +5,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslab.operators.ranges import quantiles, with_group, with_neighbours
+from corpuslab.operators.shared import written
 from corpuslab.operators.windows import islands
 
 
 def robust_z(df: DataFrame, value: str, by: list[str], name: str = "z") -> DataFrame:
     """0.67449 (x - median) / MAD within groups; 0 where the MAD is next to nothing, null for values that are not finite."""
     x = F.when(~F.isnan(value) & (F.abs(value) != float("inf")), F.col(value))
-    med = df.groupBy(*by).agg(F.percentile(x, F.lit(0.5)).alias("_med"))
-    rows = df.join(F.broadcast(med), by) if by else df.crossJoin(F.broadcast(med))  # a row for each series
-    rows = rows.withColumn("_dev", F.abs(x - F.col("_med")))
-    mad = rows.groupBy(*by).agg(F.percentile("_dev", F.lit(0.5)).alias("_mad"))
-    rows = rows.join(F.broadcast(mad), by) if by else rows.crossJoin(F.broadcast(mad))
-    z = F.when(x.isNotNull(), F.when(F.col("_mad") < 1e-12, 0.0).otherwise(0.67449 * (x - F.col("_med")) / F.col("_mad")))
-    return rows.withColumn(name, z).drop("_med", "_dev", "_mad")
+    rows = df.withColumn("_x", x.cast("double"))
+    rows = with_group(rows, by, quantiles(rows, by, "_x", 0.5, "_med")).withColumn("_dev", F.abs(F.col("_x") - F.col("_med")))
+    rows = with_group(rows, by, quantiles(rows, by, "_dev", 0.5, "_mad"))
+    z = F.when(F.col("_x").isNotNull(), F.when(F.col("_mad") < 1e-12, 0.0).otherwise(0.67449 * (F.col("_x") - F.col("_med")) / F.col("_mad")))
+    return rows.withColumn(name, z).drop("_x", "_med", "_dev", "_mad")
 
 
-def local_deviation(value: str, by: list[str], order: str, window: int = 5) -> Column:
-    """Distance from the centred rolling median, cut at the edges; at least 3 rows wide."""
+def with_local_deviation(df: DataFrame, value: str, by: list[str], order: str, window: int = 5, name: str = "x") -> DataFrame:
+    """df with the distance from the centred rolling median, cut at the edges; at least 3 rows wide."""
     n = max(3, window)
-    frame = Window.partitionBy(*by).orderBy(order).rowsBetween(-(n // 2), (n - 1) // 2)
-    return F.abs(F.col(value) - F.percentile(value, F.lit(0.5)).over(frame))
+    before, after = n // 2, (n - 1) // 2
+    made = lambda w: F.abs(F.col(value) - F.percentile(value, F.lit(0.5)).over(w.rowsBetween(-before, after)))
+    return with_neighbours(df, by, [order], before, after, {name: made})
 
 
 def events(series: DataFrame, by: list[str], order: str, value: str, extreme: float = 3.2, jump: float = 3.0, local: float = 3.0) -> DataFrame:
     """by, order, kind, value, z: extreme values, jumps (robust z of the first difference) and local breaks (robust z of the local deviation, one side)."""
     base = series.select(*by, order, F.col(value).cast("double").alias("value"))
-    step = base.withColumn("x", F.col("value") - F.lag("value").over(Window.partitionBy(*by).orderBy(order)))
-    near = base.withColumn("x", local_deviation("value", by, order))
-    far = robust_z(base, "value", by).filter(F.abs("z") >= extreme).withColumn("kind", F.lit("extreme"))
-    moved = robust_z(step.filter("x is not null"), "x", by).filter(F.abs("z") >= jump).withColumn("kind", F.lit("jump"))
-    broken = robust_z(near, "x", by).filter(F.col("z") >= local).withColumn("kind", F.lit("local"))
-    columns = [*by, order, "kind", "value", "z"]
-    return far.select(*columns).union(moved.select(*columns)).union(broken.select(*columns))
+    step = with_neighbours(base, by, [order], 1, 0, {"x": lambda w: F.col("value") - F.lag("value").over(w)})
+    near = with_local_deviation(base, "value", by, order)
+    # the three measures are series of one table, so that medians and deviations are found once for all
+    series = {"extreme": base.withColumn("x", F.col("value")), "jump": step.filter("x is not null"), "local": near}
+    long = None
+    for kind, rows in series.items():
+        one = rows.select(*by, order, F.lit(kind).alias("kind"), "value", "x")
+        long = one if long is None else long.union(one)
+    kind, z = F.col("kind"), F.col("z")
+    wanted = F.when(kind == "extreme", F.abs(z) >= extreme).when(kind == "jump", F.abs(z) >= jump).otherwise(z >= local)
+    return robust_z(written(long, "series"), "x", [*by, "kind"]).filter(wanted).select(*by, order, "kind", "value", "z")
 
 
-def sigma_band(value: str, by: list[str], k: float = 2.0) -> Column:
-    """Whether a value is outside mean +- k population deviations."""
-    w = Window.partitionBy(*by)
-    return F.abs(F.col(value) - F.avg(value).over(w)) > k * F.stddev_pop(value).over(w)
+def with_moments(df: DataFrame, values: tuple[str, ...], by: list[str]) -> DataFrame:
+    """df with _mean_ and _sd_ (population) of each value in its group."""
+    each = [a for v in values for a in (F.avg(v).alias(f"_mean_{v}"), F.stddev_pop(v).alias(f"_sd_{v}"))]
+    return with_group(df, by, df.groupBy(*by).agg(*each))
+
+
+def outside_sigma_band(df: DataFrame, value: str, by: list[str], k: float = 2.0) -> DataFrame:
+    """Rows whose value is outside the group's mean +- k population deviations."""
+    rows = with_moments(df, (value,), by)
+    return rows.filter(F.abs(F.col(value) - F.col(f"_mean_{value}")) > k * F.col(f"_sd_{value}")).drop(f"_mean_{value}", f"_sd_{value}")
 
 
 def peaks(df: DataFrame, value: str, by: list[str], order: str, k: float = 2.0) -> DataFrame:
     """by, first, last, n, at: runs of values at or over mean + k deviations, and the order of the middle one."""
-    w = Window.partitionBy(*by)
-    rows = df.withColumn("_high", F.col(value) >= F.avg(value).over(w) + k * F.stddev_pop(value).over(w))
+    rows = with_moments(df, (value,), by)
+    rows = rows.withColumn("_high", F.col(value) >= F.col(f"_mean_{value}") + k * F.col(f"_sd_{value}")).select(*by, order, "_high")
     runs = islands(rows, "_high", by, [order])
     seen = F.array_sort(F.collect_list(order))
     return runs.groupBy(*by, "run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"), F.element_at(seen, (F.floor(F.count("*") / 2) + 1).cast("int")).alias("at")).drop("run")
@@ -56,14 +67,9 @@ def peaks(df: DataFrame, value: str, by: list[str], order: str, k: float = 2.0)
 
 def composite(df: DataFrame, columns: tuple[str, str], by: list[str], limit: float = 2.5) -> DataFrame:
     """df with score, the mean of two z-scores (no deviation counts as 1), and anomaly where it reaches the limit."""
-    w = Window.partitionBy(*by)
-
-    def z(c: str) -> Column:
-        sd = F.stddev_pop(c).over(w)
-        return (F.col(c) - F.avg(c).over(w)) / F.when(sd == 0, 1.0).otherwise(sd)
-
-    rows = df.withColumn("score", (z(columns[0]) + z(columns[1])) / 2)
-    return rows.withColumn("anomaly", F.col("score") >= limit)
+    z = lambda c: (F.col(c) - F.col(f"_mean_{c}")) / F.when(F.col(f"_sd_{c}") == 0, 1.0).otherwise(F.col(f"_sd_{c}"))
+    rows = with_moments(df, columns, by).withColumn("score", (z(columns[0]) + z(columns[1])) / 2)
+    return rows.withColumn("anomaly", F.col("score") >= limit).drop(*[f"_{a}_{c}" for a in ("mean", "sd") for c in columns])
 
 
 def circular(angle: Column) -> tuple[Column, Column]:
@@ -97,19 +103,29 @@ def pauses(segments: DataFrame, by: list[str], longest: float = 0.5) -> DataFram
 
 def quiet_runs(df: DataFrame, value: str, by: list[str], order: str, share: float = 0.25, least: int = 2) -> DataFrame:
     """by, first, last, n: runs of at least so many samples under the group's quantile."""
-    low = df.groupBy(*by).agg(F.percentile(value, F.lit(share)).alias("_low"))
-    rows = df.join(F.broadcast(low), by).withColumn("_quiet", F.col(value) < F.col("_low"))
+    rows = with_group(df, by, quantiles(df, by, value, share, "_low")).withColumn("_quiet", F.col(value) < F.col("_low")).select(*by, order, "_quiet")
     return islands(rows, "_quiet", by, [order]).groupBy(*by, "run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).filter(F.col("n") >= least).drop("run")
 
 
 def moving_activity(df: DataFrame, flag: Column, by: list[str], order: str, before: int = 2, after: int = 2) -> DataFrame:
-    frame = Window.partitionBy(*by).orderBy(order).rowsBetween(-before, after)
-    return df.withColumn("activity", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.avg(flag.cast("double")).over(frame))))
+    mean = lambda w: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.avg(flag.cast("double")).over(w.rowsBetween(-before, after))))
+    return with_neighbours(df, by, [order], before, after, {"activity": mean})
+
+
+def moving_mean(df: DataFrame, value: str, by: list[str], order: str, margin: int, name: str = "mean") -> DataFrame:
+    """df with the mean of the rows at most `margin` places away."""
+    return with_neighbours(df, by, [order], margin, margin, {name: lambda w: F.avg(value).over(w.rowsBetween(-margin, margin))})
+
+
+def differences(df: DataFrame, value: str, by: list[str], order: str) -> DataFrame:
+    """df with diff (to the value before) and following (the value after)."""
+    made = {"diff": lambda w: F.col(value) - F.lag(value).over(w), "following": lambda w: F.lead(value).over(w)}
+    return with_neighbours(df, by, [order], 1, 1, made)
 
 
 def local_maxima(df: DataFrame, value: str, by: list[str], order: str) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(order)
-    rows = df.withColumn("_top", (F.col(value) > F.lag(value).over(w)) & (F.col(value) > F.lead(value).over(w)))
+    top = lambda w: (F.col(value) > F.lag(value).over(w)) & (F.col(value) > F.lead(value).over(w))
+    rows = with_neighbours(df.select(*by, order, value), by, [order], 1, 1, {"_top": top})
     return rows.groupBy(*by).agg(F.count(F.when(F.col("_top"), 1)).alias("maxima"))
 
 
@@ -122,8 +138,7 @@ def second_bins(df: DataFrame, t: str, value: str, by: list[str] = ()) -> DataFr
     """by, second, t_mean, low, high, middle; the last second, which may be partial, is dropped."""
     rows = df.withColumn("second", F.floor(t)).groupBy(*by, "second").agg(F.avg(t).alias("t_mean"), F.min(value).alias("low"), F.max(value).alias("high"))
     last = rows.groupBy(*by).agg(F.max("second").alias("_last"))
-    kept = rows.join(F.broadcast(last), list(by)) if by else rows.crossJoin(F.broadcast(last))
-    return kept.filter("second < _last").drop("_last").withColumn("middle", (F.col("low") + F.col("high")) / 2)
+    return with_group(rows, list(by), last).filter("second < _last").drop("_last").withColumn("middle", (F.col("low") + F.col("high")) / 2)
 
 
 def second_scores(frames: DataFrame, t: str, image: str, scores: str, by: list[str] = ()) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions import text as T
+from corpuslab.operators.shared import broadcast_if_small
 
 #: Positions of a block when a long text's sliding windows are cut in parallel.
 BLOCK = 2048
@@ -75,29 +78,61 @@ def unit_sets(segments: DataFrame, words: Column) -> DataFrame:
     return segments.select("doc_id", "seg_no", items.alias("items")).filter(F.size("items") > 0)
 
 
-def ngrams(docs: DataFrame, low: int, high: int, keys: list[str] = ("doc_id",), words: Column | None = None) -> DataFrame:
-    """keys, n, ngram for every run of low to high words."""
-    base = docs.select(*keys, (T.words_ngram("text") if words is None else words).alias("_w"))
+def runs(docs: DataFrame, low: int, high: int, keys: list[str], words: Column, made: Callable[[Column], list[Column]]) -> DataFrame:
+    """keys, n and the columns that `made` makes of the array of words, for every run of low to high words."""
+    base = docs.select(*keys, words.alias("_w"))
     rows = base.select(*keys, "_w", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("n")).filter(F.size("_w") >= F.col("n"))
     starts = F.sequence(F.lit(1), F.size("_w") - F.col("n") + 1)
-    return rows.select(*keys, "n", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("_w", i, F.col("n")), " "))).alias("ngram"))
+    found = F.transform(starts, lambda i: F.struct(*made(F.slice("_w", i, F.col("n")))))
+    return rows.select(*keys, "n", F.inline(found))
 
 
-def top_ngrams(grams: DataFrame, by: str, k: int, least: int = 1) -> DataFrame:
-    """n, ngram, freq, rank of the k most frequent of each size, and the modality of `by` that has most of them (`modality`, `in_modality`)."""
-    per = grams.groupBy("n", "ngram", by).agg(F.count("*").alias("c"))
-    total = per.groupBy("n", "ngram").agg(F.sum("c").alias("freq"), F.min(F.struct((-F.col("c")).alias("neg"), F.col(by).alias("m"))).alias("best"))
+def kept_words(stop: list[str] = (), text_col: str = "text") -> Column:
+    """The words that n-grams are made of: stop words go first, so an n-gram may bridge them."""
+    found = T.words_ngram(text_col)
+    return F.filter(found, lambda w: ~w.isin(*stop)) if stop else found
+
+
+def ngrams(docs: DataFrame, low: int, high: int, keys: list[str] = ("doc_id",), words: Column | None = None) -> DataFrame:
+    """keys, n, ngram for every run of low to high words."""
+    return runs(docs, low, high, list(keys), kept_words() if words is None else words, lambda w: [F.array_join(w, " ").alias("ngram")])
+
+
+def top_ngrams(docs: DataFrame, low: int, high: int, by: str, k: int, least: int = 1, stop: list[str] = ()) -> DataFrame:
+    """n, ngram, freq, rank of the k most frequent of each size, and the modality of `by` that has most of them (`modality`, `in_modality`).
+
+    They are counted by two 64-bit hashes; only those as frequent as the k-th of their size are then spelt out.
+    """
+    words = kept_words(list(stop))
+    hashes = lambda w: [F.xxhash64(w).alias("h1"), F.xxhash64(w, F.lit(1)).alias("h2")]
+    per = runs(docs, low, high, [by], words, hashes).groupBy("n", "h1", "h2", by).agg(F.count("*").alias("c"))
+    total = per.groupBy("n", "h1", "h2").agg(F.sum("c").alias("freq"), F.min(F.struct((-F.col("c")).alias("neg"), F.col(by).alias("m"))).alias("best"))
+    place = F.rank().over(Window.partitionBy("n").orderBy(F.desc("freq")))
+    near = total.filter(F.col("freq") >= least).withColumn("_place", place).filter(F.col("_place") <= k).drop("_place")
+    spelt = runs(docs, low, high, [], words, lambda w: [*hashes(w), F.array_join(w, " ").alias("ngram")])
+    named = spelt.join(near, ["n", "h1", "h2"]).groupBy("n", "h1", "h2").agg(F.min("ngram").alias("ngram"), F.first("freq").alias("freq"), F.first("best").alias("best"))
     rank = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("freq"), "ngram"))
-    kept = total.filter(F.col("freq") >= least).withColumn("rank", rank).filter(F.col("rank") <= k)
+    kept = named.withColumn("rank", rank).filter(F.col("rank") <= k)
     return kept.select("n", "ngram", "freq", "rank", F.col("best.m").alias("modality"), (-F.col("best.neg")).alias("in_modality"))
 
 
-def contexts(docs: DataFrame, grams: DataFrame, longest: int = 240) -> DataFrame:
-    """ngram, context: for each kept n-gram the distinct sentences that hold its words in order, cut to so many characters.
+def contexts(docs: DataFrame, grams: DataFrame, longest: int = 240, stop: list[str] = (), header: Column | None = None) -> DataFrame:
+    """n, ngram, context: for each (n, ngram) given and each text that has it, the first sentence that holds its words, distinct.
 
-    The kept n-grams are a report's: few by construction.
+    Between the words any characters may stand that are no letters and digits; borders stand around them. Where no sentence holds them (an
+    n-gram that bridges stop words or sentences) the text's start is taken. A header goes before; what is over the length is cut off. A null text has none.
     """
-    sentences = pieces(docs, r"(?<=[.!?;:\n])\s+")
-    both = sentences.join(F.broadcast(grams.select("ngram").distinct()), F.array_join(T.words_ngram("segment"), " ").contains(F.col("ngram")))
-    cut = F.when(F.length("segment") > longest, F.concat(F.substring("segment", 1, longest), F.lit("…"))).otherwise(F.col("segment"))
-    return both.select("ngram", cut.alias("context")).distinct()
+    sizes = grams.agg(F.min("n"), F.max("n")).first()
+    if sizes[0] is None:
+        return grams.select("n", "ngram", F.lit(None).cast("string").alias("context")).limit(0)
+    rows = docs.select("text", (F.lit(None).cast("string") if header is None else F.trim(header)).alias("_h")).withColumn("_row", F.monotonically_increasing_id())
+    held = ngrams(rows, sizes[0], sizes[1], ["_row"], kept_words(list(stop))).join(broadcast_if_small(grams.select("n", "ngram").distinct()), ["n", "ngram"]).distinct()
+    both = rows.join(held.groupBy("_row").agg(F.collect_set(F.struct("n", "ngram")).alias("_g")), "_row").select("text", "_h", F.inline("_g"))
+    quoted = F.transform(F.split("ngram", " "), lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E")))
+    pattern = F.concat(F.lit(r"(?iU)\b"), F.array_join(quoted, r"[\W_]+"), F.lit(r"\b"))
+    strip = lambda x: F.btrim(x, F.lit(" \n\t\r"))
+    found = F.try_element_at(F.filter(F.split("text", r"(?<=[.!?;:])\s+"), lambda s: F.call_function("rlike", s, pattern)), F.lit(1))
+    body = F.coalesce(strip(found), strip(F.substring(strip(F.col("text")), 1, longest)))
+    context = F.when(F.col("_h") != "", F.concat_ws(" – ", "_h", F.nullif(body, F.lit("")))).otherwise(body)
+    cut = F.when(F.length(context) > longest, F.concat(F.rtrim(F.substring(context, 1, longest)), F.lit("…"))).otherwise(context)
+    return both.select("n", "ngram", cut.alias("context")).distinct()

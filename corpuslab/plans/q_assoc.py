@@ -11,7 +11,7 @@ from corpuslab.plans.q_tokens import TOK, P, docs, tok
 from corpuslab.plans.registry import query
 
 PATTERN = r"[.!?;:]+|\n+"
-WIN = rf"p as (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '{PATTERN}'), lambda x: trim(x, E' \n\t\r')), lambda x: length(x) >= 1) as t from documents where lang = 'fr'), sg as (select doc_id, unnest(range(len(t))) as seg_no, unnest(t) as x from p), win as (select doc_id, seg_no, list_sort(list_distinct(regexp_extract_all(lower(x), '{P}'))) as items from sg where len(regexp_extract_all(lower(x), '{P}')) > 0), it as (select doc_id, seg_no, unnest(items) as w from win), pr as (select a.w as w1, b.w as w2, count(*) as k11 from it a join it b on a.doc_id = b.doc_id and a.seg_no = b.seg_no and a.w < b.w group by a.w, b.w), pres as (select w, count(*) as n from it group by w), tot as (select count(*) as n from win)"
+WIN = rf"p as (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '{PATTERN}'), lambda x: trim(x, E' \n\t\r')), lambda x: length(x) >= 1) as t from documents), sg as (select doc_id, unnest(range(len(t))) as seg_no, unnest(t) as x from p), win as (select doc_id, seg_no, list_sort(list_distinct(regexp_extract_all(lower(x), '{P}'))) as items from sg where len(regexp_extract_all(lower(x), '{P}')) > 0), it as (select doc_id, seg_no, unnest(items) as w from win), pr as (select a.w as w1, b.w as w2, count(*) as k11 from it a join it b on a.doc_id = b.doc_id and a.seg_no = b.seg_no and a.w < b.w group by a.w, b.w), pres as (select w, count(*) as n from it group by w), tot as (select count(*) as n from win)"
 CELL = "case when {x} > 0 then {x} * ln({x}::double * {n} / (({r})::double * ({c}))) else 0 end"
 
 
@@ -22,7 +22,7 @@ def llr_sql(a, f1, f2, n):
 
 
 def windows(spark, d):
-    return K.unit_sets(K.pieces(docs(spark, d).filter("lang = 'fr'"), PATTERN), T.words_lower("segment"))
+    return K.unit_sets(K.pieces(docs(spark, d), PATTERN), T.words_lower("segment"))
 
 
 @query("co_pairs", f"with {WIN} select * from pr where k11 >= 2")
@@ -107,14 +107,14 @@ def sim_cosine(spark, d):
     return N.cosine(vectors(spark, d), "source").withColumn("cosine", F.round("cosine", 8))
 
 
-@query("sim_terms", f"with {TOK}, c as (select doc_id, token as term, count(*) as n from tok group by all), t as (select term, count(*) as df, sum(n) as s from c group by term order by s desc, term limit 60), k as (select doc_id, term, df from c join t using (term)), n as (select count(distinct doc_id) as n from c) select x.term as src, y.term as dst, count(*) as a, round(count(*)::double / (x.df + y.df - count(*)), 8) as weight from k x join k y using (doc_id) where x.term < y.term group by x.term, y.term, x.df, y.df")
+@query("sim_terms", f"with {TOK}, c as (select doc_id, token as term, count(*) as n from tok group by all), t as (select term, count(*) as df, sum(n) as s from c group by term order by s desc, term limit 100), k as (select doc_id, term, df from c join t using (term)), n as (select count(distinct doc_id) as n from c) select x.term as src, y.term as dst, count(*) as a, round(count(*)::double / (x.df + y.df - count(*)), 8) as weight from k x join k y using (doc_id) where x.term < y.term group by x.term, y.term, x.df, y.df")
 def sim_terms(spark, d):
-    return A.term_similarity(K.dfm(tok(spark, d)), "jaccard", 60).withColumn("weight", F.round("weight", 8))
+    return A.term_similarity(K.dfm(tok(spark, d)), "jaccard", 100).withColumn("weight", F.round("weight", 8))
 
 
 @query("sim_binom")
 def sim_binom(spark, d):
-    return A.binomial(K.dfm(tok(spark, d)), 20)
+    return A.binomial(K.dfm(tok(spark, d)), 100)
 
 
 CLS = f"{TOK}, c as (select doc_id, lang as cls, token as term, count(*) as n from tok group by all), cell as (select cls, term, sum(n)::bigint as occ_st, count(*) as eff_st from c group by all), term as (select term, sum(n)::bigint as occ_total, count(*) as eff_total from c group by term), sz as (select cls, sum(n)::bigint as k, count(distinct doc_id) as units from c group by cls), al as (select sum(k)::bigint as n from sz), x as (select cls, term, occ_st, occ_total, eff_st, eff_total, k, units, n, occ_st::double as a, (occ_total - occ_st)::double as b, (k - occ_st)::double as c, (n - k - occ_total + occ_st)::double as d from cell join term using (term) join sz using (cls), al), st as (select *, case when a >= occ_total * k::double / n then 1 else -1 end * case when (a + b) * (c + d) * (a + c) * (b + d) > 0 then n * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d)) else 0 end as chi2, case when a >= occ_total * k::double / n then 1 else -1 end * {llr_sql('a', '(a + b)', '(a + c)', '(a + b + c + d)')} as lr from x)"

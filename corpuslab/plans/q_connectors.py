@@ -128,15 +128,15 @@ def agg_term_presence(spark, d):
 
 
 @query("agg_flesch", r"""
-with w as (select lang, regexp_extract_all(lower(text), '[\p{L}\p{N}_'']+') as t, len(list_filter(regexp_split_to_array(text, '[.!?;:]+|\n+'), lambda x: trim(x, E' \n\t\r') <> '')) as s from documents),
-y as (select lang, s, len(t) as n, coalesce(list_sum(list_transform(t, lambda x: greatest(1, len(regexp_extract_all(x, '[aeiouyàâäéèêëîïôöùûüÿœ]+')) - case when regexp_matches(x, '[^aeiouyàâäéèêëîïôöùûüÿœ](e|es)$') then 1 else 0 end))), 0) as k from w),
-g as (select lang, sum(s)::bigint as sentences, sum(n)::bigint as words, sum(k)::bigint as syllables from y group by lang),
-e as (select *, 206.835 - 1.015 * words / greatest(sentences, 1) - 84.6 * syllables / greatest(words, 1) as ease, 0.39 * words / greatest(sentences, 1) + 11.8 * syllables / greatest(words, 1) - 15.59 as grade from g)
+with w as (select lang, list_transform(regexp_extract_all(lower(text), '[\p{L}\p{N}_'']+'), lambda w: regexp_replace(w, '[^a-zàâäéèêëîïôöùûüÿœç-]', '', 'g')) as t, len(list_filter(regexp_split_to_array(text, '[.!?;:]+|\n+'), lambda x: trim(x, E' \n\t\r') <> '')) as s from documents),
+y as (select lang, s, len(t) as n, coalesce(list_sum(list_transform(t, lambda k: case when k = '' then 0 else greatest(1, len(regexp_extract_all(k, '[aeiouyàâäéèêëîïôöùûüÿœ]+')) - case when suffix(k, 'e') and len(regexp_extract_all(k, '[aeiouyàâäéèêëîïôöùûüÿœ]+')) > 1 then 1 else 0 end) end)), 0) as k from w),
+g as (select lang, (case when sum(n) > 0 then sum(s) else 0 end)::bigint as sentences, sum(n)::bigint as words, sum(k)::bigint as syllables from y group by lang),
+e as (select *, case when words > 0 then 206.835 - 1.015 * words / greatest(sentences, 1) - 84.6 * syllables / words else 0 end as ease, case when words > 0 then 0.39 * words / greatest(sentences, 1) + 11.8 * syllables / words - 15.59 else 0 end as grade from g)
 select lang, sentences, words, syllables, round(ease, 6) as ease, round(grade, 6) as grade, case when ease >= 90 then 1 when ease >= 80 then 2 when ease >= 70 then 3 when ease >= 60 then 4 when ease >= 50 then 5 when ease >= 30 then 6 else 7 end as band from e""")
 def agg_flesch(spark, d):
     return N.readability(docs(spark, d), ["lang"])
 
 
-@query("agg_group_text", "with g as (select 'lang = ' || lang || ' | source = ' || source as label, string_agg(text, chr(10) || chr(10) order by doc_id) as t from documents group by lang, source) select label, md5(t) as text from g")
+@query("agg_group_text", "with r as (select 'lang = ' || lang || ' | source = ' || source as label, doc_id, text, (row_number() over (partition by lang, source order by doc_id) - 1) // 64 as part from documents) select label, part, md5(string_agg(text, chr(10) || chr(10) order by doc_id)) as text from r group by label, part")
 def agg_group_text(spark, d):
     return N.group_text(docs(spark, d), ["lang", "source"]).withColumn("text", F.md5("text"))

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from corpuslab.operators import counts as N
 from corpuslab.operators import policy as Q
-from corpuslab.operators.graph import shared_dir
+from corpuslab.operators.shared import shared_dir
 from corpuslab.plans.q_assoc import vectors
 from corpuslab.plans.q_tokens import docs
 from corpuslab.plans.registry import query, table
 from corpuslab.sources import readers as R
 from corpuslab.sources import writers as W
+from corpuslab.sources.press import header as press_header
 from corpuslab.streaming import twins
 
 
@@ -50,6 +51,29 @@ def src_articles(spark, d):
     return R.articles(table(spark, d, "pages"))
 
 
+def press_pages(spark, d):
+    """Two documents a page, as articles of an export: journal, date, title (the language), text, a link and an advert."""
+    text = F.regexp_replace(F.regexp_replace("text", "[^\\p{L}\\p{N} .,\n]", ""), "[ \n]+", " ")
+    day = F.concat((F.col("doc_id") % 28 + 1).cast("string"), F.lit(" mars 2024"))
+    one = F.concat(
+        F.lit('<article><div class="rdp__DocPublicationName"><span class="DocPublicationName">'), "source", F.lit(", no. 7</span></div><span class='DocHeader'>Monde, "), day,
+        F.lit(", p. 3</span><p class='sm-margin-TopNews titreArticleVisu rdp__articletitle'>"), F.upper("lang"), F.lit("</p><p>"), F.trim(text), F.lit(" <a href='x'>link</a></p><aside>advert</aside></article>"),
+    )
+    rows = docs(spark, d).select(F.floor(F.col("doc_id") / 2).alias("page_id"), "doc_id", one.alias("h"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "h"))), lambda x: x["h"])
+    return rows.groupBy("page_id").agg(F.concat(F.lit("<html>"), F.array_join(parts, ""), F.lit("</html>")).alias("html"))
+
+
+@query("src_press", r"""
+with t as (select doc_id, lang, source, trim(regexp_replace(regexp_replace(text, '[^\p{L}\p{N} .,\n]', '', 'g'), '[ \n]+', ' ', 'g')) as x, doc_id % 28 + 1 as day from documents),
+n as (select *, row_number() over (partition by doc_id // 2 order by doc_id) - 1 as article, trim(upper(lang) || ' ' || x) as y from t)
+select doc_id // 2 as page_id, article::int as article, source || ', no. 7' as journal, '2024-03-' || lpad(day::varchar, 2, '0') as date, upper(lang) as title,
+       '**** *source_' || source || ' *date_2024-03-' || lpad(day::varchar, 2, '0') || ' *am_2024-03 *annee_2024' as header, md5(case when y like '%.' then y else y || '.' end) as text from n""")
+def src_press(spark, d):
+    found = R.press_articles(press_pages(spark, d))
+    return found.select("page_id", "article", "journal", F.col("date").cast("string").alias("date"), "title", press_header(found).alias("header"), F.md5("text").alias("text"))
+
+
 @query("src_rainette_docs", "select doc_id, substr(text, 1, 80) as text from documents where regexp_matches(text, '(?i)tion') order by doc_id limit 30")
 def src_rainette_docs(spark, d):
     return R.cluster_documents(docs(spark, d), "tion", 30, 80).select("doc_id", "text")
@@ -61,9 +85,9 @@ def src_posts_flat(spark, d):
     return R.flat_posts(posts).select("conv_id", F.col("comment.turn").alias("turn"), F.col("n_comments").cast("long").alias("n_comments"))
 
 
-@query("src_timestamps", "select floor(epoch_us(ts)::double / 1e6)::bigint % 86400 as second, string_agg(event_type, ' ' order by event_id) as text from events where event_id < 2000 group by 1")
+@query("src_timestamps", "select floor(epoch_us(ts)::double / 1e6)::bigint % 86400 as second, string_agg(event_type, ' ' order by event_id) as text from events group by 1")
 def src_timestamps(spark, d):
-    rows = table(spark, d, "events").filter("event_id < 2000")
+    rows = table(spark, d, "events")
     stamp = F.concat(F.date_format(F.col("ts"), "HH:mm:ss"), F.lit(","), F.lpad(F.col("event_id").cast("string"), 6, "0"))
     return R.timed_text(rows.select(stamp.alias("start"), F.col("event_type").alias("text")))
 
@@ -79,6 +103,11 @@ def flt_annot_rules(spark, d):
     return R.annotation_rules(src_annotations(spark, d), ["nothing"], ["FR", "De"])
 
 
+@query("flt_annot_include", r"with t as (select lower(text) as text from documents) select 'ART' as label, sum(len(regexp_extract_all(text, '\bthe\b')))::bigint as n from t union all select 'PRE', sum(len(regexp_extract_all(text, '\bof\b')))::bigint from t")
+def flt_annot_include(spark, d):
+    return R.included_annotations(docs(spark, d), {"the": "ART", "of": "PRE"}).groupBy("label").agg(F.count("*").alias("n"))
+
+
 @query("flt_sections")
 def flt_sections(spark, d):
     return docs(spark, d).select("doc_id", R.kept_sections(F.col("text"), ["the", "les"], keep=False).alias("text"))

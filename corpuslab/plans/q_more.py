@@ -19,7 +19,7 @@ from corpuslab.plans.registry import query, table
 
 
 def word_graph(spark, d):
-    return A.term_similarity(K.dfm(tok(spark, d)), "jaccard", 40, above=0.05)
+    return A.term_similarity(K.dfm(tok(spark, d)), "jaccard", 100, above=0.05)
 
 
 @query("gr_max_tree")
@@ -38,7 +38,7 @@ def gr_modularity(spark, d):
     return rounded(G.modularity(edges, G.label_propagation(edges)))
 
 
-SIM = f"with {TOK}, c as (select doc_id, token as term, count(*) as n from tok group by all), t as (select term, count(*) as df, sum(n) as s from c group by term order by s desc, term limit 40), k as (select doc_id, term, df from c join t using (term)), e as (select x.term as src, y.term as dst, round(count(*)::double / (x.df + y.df - count(*)), 8) as weight from k x join k y using (doc_id) where x.term < y.term group by x.term, y.term, x.df, y.df having count(*)::double / (x.df + y.df - count(*)) > 0.05)"
+SIM = f"with {TOK}, c as (select doc_id, token as term, count(*) as n from tok group by all), t as (select term, count(*) as df, sum(n) as s from c group by term order by s desc, term limit 100), k as (select doc_id, term, df from c join t using (term)), e as (select x.term as src, y.term as dst, round(count(*)::double / (x.df + y.df - count(*)), 8) as weight from k x join k y using (doc_id) where x.term < y.term group by x.term, y.term, x.df, y.df having count(*)::double / (x.df + y.df - count(*)) > 0.05)"
 
 
 @query("gr_ego", f"{SIM} select * from e where src = 'the' or dst = 'the'")
@@ -112,17 +112,17 @@ def sim_cosine_vec(spark, d):
 
 @query("tm_lda")
 def tm_lda(spark, d):
-    return X.topics(docs(spark, d), T.words_lda("text"), 4, 5)[0]
+    return X.topics(docs(spark, d), T.words_lda("text"), 4)[0]
 
 
 @query("tm_units")
 def tm_units(spark, d):
-    return X.topics(docs(spark, d), T.words_lda("text"), 4, 5)[1]
+    return X.topics(docs(spark, d), T.words_lda("text"), 4)[1]
 
 
 @query("tm_heat_terms")
 def tm_heat_terms(spark, d):
-    best = X.topics(docs(spark, d), T.words_lda("text"), 4, 5)[0]
+    best = X.topics(docs(spark, d), T.words_lda("text"), 4)[0]
     top = best.groupBy("term").agg(F.min(F.struct((-F.col("weight")).alias("neg"), "topic")).alias("b"))
     return top.select("term", F.col("b.topic").alias("topic"), (-F.col("b.neg")).alias("weight")).orderBy("topic", F.desc("weight"), "term").limit(100)
 
@@ -134,7 +134,7 @@ def an_lof(spark, d):
 
 @query("an_isoforest")
 def an_isoforest(spark, d):
-    return O.isolation_forest(vectors(spark, d), "vec_id", "embedding", 20, 128)
+    return O.isolation_forest(vectors(spark, d), "vec_id", "embedding", 200, 256)
 
 
 @query("dd_exact", r"select doc_id, doc_id > min(doc_id) over (partition by text) as copy, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) < 300 as short from documents")
@@ -191,11 +191,10 @@ def jn_type(spark, d):
     return L.term_types(tok(spark, d).select(F.col("token").alias("term")).distinct(), lexicon(spark))
 
 
-@query("jn_expand", f"with {TOK}, {LEXSQL}, t as (select distinct token as term from tok where length(token) = 2) select term, term as also from t union select term, c_mot from t join lx on c_lemme = term union select term, c_lemme from t join lx on c_mot = term")
+@query("jn_expand", f"with {TOK}, {LEXSQL}, t as (select distinct token as term, regexp_replace(translate(trim(lower(token)), 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9_]', '', 'g') as k from tok) select term, term as also from t union select term, c_mot from t join lx on c_lemme = k union select term, c_lemme from t join lx on c_mot = k")
 def jn_expand(spark, d):
-    terms = tok(spark, d).filter("length(token) = 2 and token rlike '^[a-z0-9_]+$'").select(F.col("token").alias("term")).distinct()
-    rest = tok(spark, d).filter("length(token) = 2 and not token rlike '^[a-z0-9_]+$'").select(F.col("token").alias("term"), F.col("token").alias("also")).distinct()
-    return L.expanded(terms, lexicon(spark)).unionByName(rest)
+    terms = tok(spark, d).select(F.col("token").alias("term")).distinct()
+    return L.expanded(terms, lexicon(spark))
 
 
 @query("flt_pos_lexicon", f"with {TOK}, {LEXSQL}, t as (select distinct token as term from tok) select term from t where term in (select c_mot from lx where c_morpho in ('CON', 'PRE') union select c_lemme from lx where c_morpho in ('CON', 'PRE')) and term <> 'des'")
@@ -242,8 +241,8 @@ def jn_stats_ca(spark, d):
     return a.join(b, "lang", "left").select("lang", F.coalesce("m", "n").alias("chi2"))
 
 
-@query("cl_terminal", "select lang as class, count(*) as units from documents group by lang having count(*) >= 0.1 * (select count(*) from documents) union all select 'none', count(*) from documents where lang in (select lang from documents group by lang having count(*) < 0.1 * (select count(*) from documents)) having count(*) > 0")
-def cl_terminal(spark, d):
+@query("agg_terminal_sizes", "select lang as class, count(*) as units from documents group by lang having count(*) >= 0.1 * (select count(*) from documents) union all select 'none', count(*) from documents where lang in (select lang from documents group by lang having count(*) < 0.1 * (select count(*) from documents)) having count(*) > 0")
+def agg_terminal_sizes(spark, d):
     sizes = docs(spark, d).groupBy("lang").agg(F.count("*").alias("n"))
     total = docs(spark, d).agg(F.count("*").alias("all"))
     rows = sizes.crossJoin(F.broadcast(total)).withColumn("class", F.when(F.col("n") >= 0.1 * F.col("all"), F.col("lang")).otherwise("none"))
@@ -252,23 +251,40 @@ def cl_terminal(spark, d):
 
 @query("cl_double_cross", "with c as (select d.lang as a, s.quality as b, count(*) as o from documents d join labels s using (doc_id) group by all), f as (select a, b, coalesce(o, 0)::bigint as o, r * k::double / n as e from (select a, sum(o) as r from c group by a) cross join (select b, sum(o) as k from c group by b) cross join (select sum(o) as n from c) left join c using (a, b)) select a, b, o as observed, round(case when o >= e then 1 else -1 end * (o - e) ** 2 / e, 6) as chi2 from f")
 def cl_double_cross(spark, d):
-    both = docs(spark, d).select("doc_id", F.col("lang").alias("a")).join(table(spark, d, "labels").select("doc_id", F.col("quality").alias("b")), "doc_id")
-    cells = S.cells(both.groupBy("a", "b").agg(F.count("*").alias("n")), "a", "b")
-    return cells.select("a", "b", "observed", F.round(F.when(F.col("observed") >= F.col("expected"), F.col("contribution")).otherwise(-F.col("contribution")), 6).alias("chi2"))
-
+    first = docs(spark, d).select("doc_id", F.col("lang").alias("class"))
+    second = table(spark, d, "labels").select("doc_id", F.col("quality").alias("class"))
+    return CHD.crossed(first, second, none=None).select("a", "b", "observed", F.round("chi2", 6).alias("chi2"))
 
 
-
-def class_table(spark, d):
+def class_table(spark, d, least=10):
     """Terms in the middle of the frequency range; the invented languages are the classes to be found."""
-    return K.frequent(K.dfm(tok(spark, d)), min_docs=10, max_share=0.5)
+    return K.frequent(K.dfm(tok(spark, d)), min_docs=least, max_share=0.5)
 
 
 @query("cl_chd")
 def cl_chd(spark, d):
-    return CHD.classify(class_table(spark, d), 4)[0]
+    return CHD.terminal(*CHD.classify(class_table(spark, d), 4), 1)
+
+
+@query("cl_terminal")
+def cl_terminal(spark, d):
+    """Sizes of the classes that are large enough, of eight leaves."""
+    found = CHD.terminal(*CHD.classify(class_table(spark, d), 8, refine=0))
+    return found.groupBy("class").agg(F.count("*").alias("units"))
+
+
+@query("cl_double")
+def cl_double(spark, d):
+    """Documents by two classifications, of terms in at least 10 and in at least 30 documents, and the classes on which both agree."""
+    first = CHD.terminal(*CHD.classify(class_table(spark, d), 4, refine=0), 1)
+    second = CHD.terminal(*CHD.classify(class_table(spark, d, 30), 4, refine=0), 1)
+    return CHD.stable_classes(first, second)
 
 
 @query("cl_rainette")
 def cl_rainette(spark, d):
-    return CHD.terminal(CHD.classify(class_table(spark, d), 3, least=20, refine=0)[0], 20)
+    """Segments of 40 words, joined to 80 or more, in a tree whose classes are cut while they have 20 units."""
+    segs = CHD.size_merged(K.segments_fixed(docs(spark, d).withColumn("text", F.lower("text"))), F.col("n_words"), 80)
+    cells = segs.select(F.concat_ws("_", F.col("doc_id").cast("string"), F.col("group").cast("string")).alias("unit"), F.explode(F.split("segment", " ")).alias("token"))
+    table = K.frequent(K.dfm(cells, ["unit"]), "unit", 30, 0.5)
+    return CHD.terminal(*CHD.classify(table, 3, least=20, unit="unit", refine=0), 20, "unit")

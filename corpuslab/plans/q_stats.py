@@ -95,7 +95,7 @@ def st_ks(spark, d):
 @query("st_ks_perm")
 def st_ks_perm(spark, d):
     lengths = table(spark, d, "documents").filter("lang in ('fr', 'de')").select("doc_id", "lang", "n_chars")
-    return S.ks_permutation(lengths, "lang", "n_chars", 100)
+    return S.ks_permutation(lengths, "lang", "n_chars")
 
 
 @query("wf_running", "with c as (select event_type, value as v, count(*) as c from events group by all) select event_type, v, round(sum(c) over (partition by event_type order by v)::double / sum(c) over (partition by event_type), 9) as share from c")
@@ -103,9 +103,9 @@ def wf_running(spark, d):
     return S.ecdf(table(spark, d, "events"), "event_type", "value").withColumn("share", F.round("share", 9))
 
 
-@query("st_correct", "with p as (select event_id, value / 1000.0 as p from events where event_id < 400), k as (select *, count(*) over () as m, row_number() over (order by p, event_id) as k from p) select event_id, round(p, 9) as p, round(least(1, p * m), 9) as bonferroni, round(max(least(1, p * (m - k + 1))) over (order by p, event_id rows between unbounded preceding and current row), 9) as holm, round(min(least(1, p * m / k)) over (order by p, event_id rows between current row and unbounded following), 9) as bh from k")
+@query("st_correct", "with p as (select event_id, value / 1000.0 as p from events), k as (select *, count(*) over () as m, row_number() over (order by p, event_id) as k from p) select event_id, round(p, 9) as p, round(least(1, p * m), 9) as bonferroni, round(max(least(1, p * (m - k + 1))) over (order by p, event_id rows between unbounded preceding and current row), 9) as holm, round(min(least(1, p * m / k)) over (order by p, event_id rows between current row and unbounded following), 9) as bh from k")
 def st_correct(spark, d):
-    rows = table(spark, d, "events").filter("event_id < 400").select("event_id", (F.col("value") / 1000.0).alias("p"))
+    rows = table(spark, d, "events").select("event_id", (F.col("value") / 1000.0).alias("p"))
     return rounded(S.corrected(rows), 9)
 
 

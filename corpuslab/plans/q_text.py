@@ -32,14 +32,14 @@ simple("fn_clean_r", lambda: T.clean("text"), r"trim(regexp_replace(regexp_repla
 simple("fn_strip_meta", lambda: F.md5(T.strip_meta(F.concat(F.lit("**** *lang_"), F.col("lang"), F.lit("\n"), F.col("text")))), "md5(text)")
 simple("fn_strip_blank", lambda: F.md5(T.strip_blank_lines(F.replace("text", F.lit("\n"), F.lit("\r\n \n")))), "md5(array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), chr(10)))")
 simple("fn_accents", lambda: F.md5(T.strip_accents(F.lower("text"))), "md5(translate(lower(text), 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'))")
-simple("fn_key_ascii", lambda: T.key_ascii(F.substring("text", 1, 60)), "regexp_replace(translate(trim(lower(substr(text, 1, 60))), 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9_]', '', 'g')")
+simple("fn_key_ascii", lambda: T.key_ascii("text"), "regexp_replace(translate(trim(lower(text)), 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9_]', '', 'g')")
 simple("fn_emoji", lambda: F.length(T.strip_emoji(F.concat(F.lit("😀 "), F.col("text"), F.lit(" ☀️🚀")))), "length(trim(text)) + case when true then length(chr(65039)) + 1 else 0 end")
 simple("fn_hyphen_eol", lambda: F.md5(T.join_hyphenated(F.regexp_replace("text", "tion ", "-\ntion\n\n\n\n"))), r"md5(lower(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(text, 'tion ', E'-\ntion\n\n\n\n', 'g'), chr(173), ''), '-\n([^\s])', '\1', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', E'\n\n', 'g')))")
 simple("fn_line_filter", lambda: F.md5(T.drop_lines("text", ["The.*", "[0-9 ]+"])), r"md5(array_to_string(list_filter(string_split(text, chr(10)), lambda x: not (regexp_full_match(x, 'The.*|[0-9 ]+') or regexp_full_match(trim(regexp_replace(x, '[ \t]+', ' ', 'g')), 'The.*|[0-9 ]+') or regexp_full_match(regexp_replace(x, '[ \t]+', '', 'g'), 'The.*|[0-9 ]+'))), chr(10)))")
 simple("fn_url_video_id", lambda: T.video_id(F.concat(F.lit("https://www.youtube.com/watch?v="), F.substring(F.md5("url"), 1, 11), F.lit("&t=3"))), "substr(md5(url), 1, 11)", "pages", "page_id")
 simple("fn_source_name", lambda: T.source_name(F.concat("source", F.lit(" d'ici, page 3"))), "'*source_' || source || '_d_ici'")
 simple("fn_var_encode", lambda: T.variable_name(F.concat(F.lit("**"), "source", F.lit(" name,;=rest"))), "source || '-_name'")
-simple("fn_slug", lambda: T.slug(F.substring("text", 1, 40)), "regexp_replace(regexp_replace(translate(lower(substr(text, 1, 40)), 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')")
+simple("fn_slug", lambda: T.slug("text"), "regexp_replace(regexp_replace(translate(lower(text), 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')")
 simple("fn_punct_fr", lambda: F.md5(T.french_punctuation(F.replace("text", F.lit("."), F.lit("  .")))), r"md5(regexp_replace(replace(text, '.', '  .'), ' +([,.;:!?%)])', '\1', 'g'))")
 
 
@@ -48,22 +48,30 @@ def fn_html_annotate(spark, d):
     return docs(spark, d).select("doc_id", T.annotate_html("text", {"and": "AND", "et": "AND", "or": "ALT"}).alias("html"))
 
 
-@query("fn_highlight", r"select doc_id, md5(regexp_replace(text, '\b(and|of)\b', '<span>\1</span>', 'gi')) as value from documents where lang = 'en'")
+@query("fn_highlight", r"select doc_id, md5(regexp_replace(text, '\b(and|of)\b', '<span>\1</span>', 'gi')) as value from documents")
 def fn_highlight(spark, d):
-    return docs(spark, d).filter("lang = 'en'").select("doc_id", F.md5(T.highlight("text", ["and", "of"])).alias("value"))
+    return docs(spark, d).select("doc_id", F.md5(T.highlight("text", ["and", "of"])).alias("value"))
 
 
-@query("fn_expressions", r"""
-with s as (select doc_id, text, len(regexp_extract_all(lower(text), '\bof the\b')) as a from documents where lang = 'en'),
-r as (select doc_id, a, regexp_replace(text, '\bof the\b', 'of_the', 'gi') as text from s)
-select doc_id, a + len(regexp_extract_all(lower(text), '\bto be\b')) as replaced, md5(regexp_replace(text, '\bto be\b', 'to_be', 'gi')) as value from r""")
-def fn_expressions(spark, d):
-    from corpuslab.operators.lexicon import apply_expressions
+def replaced_sql(name, source, key, norm):
+    """A step of the twin: marks between borders, twice as neighbours share a blank, and their number."""
+    made = "text"
+    for _ in range(2):
+        made = rf"regexp_replace({made}, '(^|[^\p{{L}}\p{{N}}_]){key}($|[^\p{{L}}\p{{N}}_])', '\1{norm}\2', 'gi')"
+    return f"{name} as (select doc_id, n + (length(m) - length(replace(m, '{norm}', '')) - length(text) + length(replace(text, '{norm}', ''))) // {len(norm)} as n, m as text from (select doc_id, n, text, {made} as m from {source}))"
+
 
-    out = apply_expressions(docs(spark, d).filter("lang = 'en'"), {"to be": "to_be", "of the": "of_the"})
-    return out.select("doc_id", "replaced", F.md5("text").alias("value"))
+EXPRESSIONS = {"to be": "to_be", "of the": "of_the", "de la": "de_la", "que el": "que_el"}
+STEPS = [("a", "[oòóôöõø]f th[eèéêë]", "of_the"), ("b", "q[uùúûü][eèéêë] [eèéêë]l", "que_el"), ("c", "t[oòóôöõø] b[eèéêë]", "to_be"), ("e", "d[eèéêë] l[aàáâäãå]", "de_la")]
+CHAIN = ", ".join(replaced_sql(n, prev, k, v) for (n, k, v), prev in zip(STEPS, ["z", "a", "b", "c"], strict=True))
 
 
+@query("fn_expressions", f"with z as (select doc_id, 0 as n, translate(text, '’`´ʼʹ', repeat(chr(39), 5)) as text from documents), {CHAIN} select doc_id, n::bigint as replaced, md5(text) as value from e")
+def fn_expressions(spark, d):
+    from corpuslab.operators.lexicon import apply_expressions
+
+    out = apply_expressions(docs(spark, d), EXPRESSIONS)
+    return out.select("doc_id", F.col("replaced").cast("long").alias("replaced"), F.md5("text").alias("value"))
 
 
 @query("fn_date_fr", """
@@ -89,9 +97,8 @@ def fn_hms(spark, d):
 
 
 @query("fn_syllables", """
-with w as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_'']+') as words from documents)
-select doc_id, coalesce(list_sum(list_transform(words, lambda w: greatest(1, len(regexp_extract_all(w, '[aeiouyàâäéèêëîïôöùûüÿœ]+'))
- - case when regexp_matches(w, '[^aeiouyàâäéèêëîïôöùûüÿœ](e|es)$') then 1 else 0 end))), 0)::bigint as syllables from w""")
+with w as (select doc_id, list_transform(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_'']+'), lambda w: regexp_replace(w, '[^a-zàâäéèêëîïôöùûüÿœç-]', '', 'g')) as words from documents)
+select doc_id, coalesce(list_sum(list_transform(words, lambda k: case when k = '' then 0 else greatest(1, len(regexp_extract_all(k, '[aeiouyàâäéèêëîïôöùûüÿœ]+')) - case when suffix(k, 'e') and len(regexp_extract_all(k, '[aeiouyàâäéèêëîïôöùûüÿœ]+')) > 1 then 1 else 0 end) end)), 0)::bigint as syllables from w""")
 def fn_syllables(spark, d):
     total = F.aggregate(F.transform(T.words_flesch("text"), T.syllables), F.lit(0).cast("long"), lambda a, x: a + x)
     return docs(spark, d).select("doc_id", total.alias("syllables"))

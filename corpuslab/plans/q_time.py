@@ -1,7 +1,6 @@
 """Queries on the time axis, over events and over turns of speech."""
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpuslab.operators import timeline as L
 from corpuslab.operators import windows as W
@@ -28,7 +27,7 @@ LOC = "abs(value - quantile_cont(value, 0.5) over (partition by event_type order
 
 @query("ts_local_dev", f"select event_id, round({LOC}, 6) as dev from events")
 def ts_local_dev(spark, d):
-    return ev(spark, d).select("event_id", F.round(L.local_deviation("value", BY, "event_id", 5), 6).alias("dev"))
+    return L.with_local_deviation(ev(spark, d), "value", BY, "event_id", 5).select("event_id", F.round("x", 6).alias("dev"))
 
 
 def zsql(src, col):
@@ -50,7 +49,7 @@ def ts_suggest_cols(spark, d):
 
 @query("ts_sigma_band", "select event_id from (select event_id, abs(value - avg(value) over w) > 2 * stddev_pop(value) over w as far from events window w as (partition by event_type)) where far")
 def ts_sigma_band(spark, d):
-    return ev(spark, d).withColumn("far", L.sigma_band("value", BY)).filter("far").select("event_id")
+    return L.outside_sigma_band(ev(spark, d), "value", BY).select("event_id")
 
 
 RUNS = "(select *, n - row_number() over (partition by event_type order by event_id) as run from (select *, row_number() over (partition by event_type order by event_id) as n from {src}) where {flag})"
@@ -122,20 +121,18 @@ def ts_decibel(spark, d):
 
 @query("wf_lag_diff", "select event_id, round(value - lag(value) over w, 6) as diff, lead(value) over w as following from events window w as (partition by event_type order by event_id)")
 def wf_lag_diff(spark, d):
-    w = Window.partitionBy("event_type").orderBy("event_id")
-    return ev(spark, d).select("event_id", F.round(F.col("value") - F.lag("value").over(w), 6).alias("diff"), F.lead("value").over(w).alias("following"))
+    return L.differences(ev(spark, d), "value", BY, "event_id").select("event_id", F.round("diff", 6).alias("diff"), "following")
 
 
 @query("wf_centred", "select event_id, round(avg(value) over (partition by event_type order by event_id rows between 3 preceding and 3 following), 6) as mean from events")
 def wf_centred(spark, d):
-    w = Window.partitionBy("event_type").orderBy("event_id").rowsBetween(-3, 3)
-    return ev(spark, d).select("event_id", F.round(F.avg("value").over(w), 6).alias("mean"))
+    return rounded(L.moving_mean(ev(spark, d), "value", BY, "event_id", 3).select("event_id", "mean"))
 
 
 @query("wf_ffill", "select event_id, last_value(case when value > 20 then value end ignore nulls) over (partition by event_type order by event_id rows between unbounded preceding and current row) as known from events")
 def wf_ffill(spark, d):
     rows = ev(spark, d).withColumn("v", F.when(F.col("value") > 20, F.col("value")))
-    return rows.select("event_id", W.filled("v", BY, ["event_id"]).alias("known"))
+    return W.filled(rows, "v", BY, ["event_id"], "known").select("event_id", "known")
 
 
 SEC = "epoch_us(ts)::double / 1e6"
@@ -198,10 +195,10 @@ def agg_distribution(spark, d):
     return labels.join(counts, "name", "left").fillna(0, ["n"])
 
 
-@query("jn_interval_text", f"with {SP}, p as (select distinct conv_id, (start + stop) / 2 as t from sp where turn % 2 = 0) select p.conv_id, round(t, 6) as t, turn from p join sp on sp.conv_id = p.conv_id and sp.start <= t + 1 and sp.stop >= t - 1")
+@query("jn_interval_text", f"with {SP}, p as (select distinct conv_id, (start + stop) / 2 as t from sp) select p.conv_id, round(t, 6) as t, turn from p join sp on sp.conv_id = p.conv_id and sp.start <= t + 1 and sp.stop >= t - 1")
 def jn_interval_text(spark, d):
     s = speech(spark, d)
-    points = s.filter("turn % 2 = 0").select("conv_id", ((F.col("start") + F.col("end")) / 2).alias("t"))
+    points = s.select("conv_id", ((F.col("start") + F.col("end")) / 2).alias("t"))
     return L.overlapping(points, s.select("conv_id", "turn", "start", "end"), "conv_id", "t").select("conv_id", F.round("t", 6).alias("t"), "turn")
 
 

@@ -1,7 +1,6 @@
 """Queries of filters, segments, windows and counts over tokens."""
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpuslab.functions import text as T
 from corpuslab.operators import tokens as K
@@ -9,6 +8,7 @@ from corpuslab.operators import windows as W
 from corpuslab.operators.counts import corpus_stats
 from corpuslab.operators.filters import free, in_modalities, since
 from corpuslab.operators.lexicon import without_stop_words
+from corpuslab.operators.ranges import numbered
 from corpuslab.plans.registry import query, table
 
 P = r"[\p{L}\p{N}_]+"
@@ -114,9 +114,9 @@ piece_query("seg_lda", r"[.!?;:\n]", r"[.!?;:\n]", 20)
 piece_query("seg_paragraph", r"\n\s*\n+", r"\n\s*\n+")
 
 
-@query("win_words", f"with {TOK}, w as (select a.doc_id, a.pos, list_sort(list_distinct(list(b.token))) as items from tok a join tok b on a.doc_id = b.doc_id and b.pos between a.pos - 3 and a.pos + 3 where a.doc_id < 150 group by a.doc_id, a.pos) select doc_id, pos::int as pos, array_to_string(items, ' ') as items from w")
+@query("win_words", f"with {TOK}, w as (select doc_id, pos, list_sort(list_distinct(list(token) over (partition by doc_id order by pos rows between 3 preceding and 3 following))) as items from tok) select doc_id, pos::int as pos, array_to_string(items, ' ') as items from w")
 def win_words(spark, d):
-    return K.sliding_sets(tok(spark, d).filter("doc_id < 150"), 3).select("doc_id", "pos", F.array_join("items", " ").alias("items"))
+    return K.sliding_sets(tok(spark, d), 3).select("doc_id", "pos", F.array_join("items", " ").alias("items"))
 
 
 @query("win_pivot", f"with {TOK}, w as (select a.doc_id, a.pos, list_sort(list_distinct(list(b.token))) as items from tok a join tok b on a.doc_id = b.doc_id and b.pos between a.pos - 5 and a.pos + 5 where a.token = 'und' group by a.doc_id, a.pos) select doc_id, pos::int as pos, array_to_string(items, ' ') as items from w")
@@ -144,9 +144,9 @@ def win_document(spark, d):
     return rows.rollup("doc_id").agg(F.count("*").alias("windows"), F.sum(F.size("items")).alias("items"))
 
 
-@query("ngr_explode", rf"with w as (select doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_''-]+') as t from documents where lang = 'es'), g as (select doc_id, n, t, unnest(range(1, len(t) - n + 2)) as i from w, (values (2), (3)) v(n) where len(t) >= n) select doc_id, n, array_to_string(t[i:i + n - 1], ' ') as ngram from g")
+@query("ngr_explode", rf"with w as (select doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_''-]+') as t from documents), g as (select doc_id, n, t, unnest(range(1, len(t) - n + 2)) as i from w, (values (2), (3)) v(n) where len(t) >= n) select doc_id, n, array_to_string(t[i:i + n - 1], ' ') as ngram from g")
 def ngr_explode(spark, d):
-    return K.ngrams(docs(spark, d).filter("lang = 'es'"), 2, 3)
+    return K.ngrams(docs(spark, d), 2, 3)
 
 
 GRAMS = r"w as (select doc_id, lang, regexp_extract_all(lower(text), '[\p{L}\p{N}_''-]+') as t from documents), g as (select lang, n, array_to_string(t[i:i + n - 1], ' ') as ngram from (select lang, n, t, unnest(range(1, len(t) - n + 2)) as i from w, (values (3), (4), (5), (6)) v(n) where len(t) >= n))"
@@ -154,13 +154,22 @@ GRAMS = r"w as (select doc_id, lang, regexp_extract_all(lower(text), '[\p{L}\p{N
 
 @query("agg_ngrams", f"with {GRAMS}, p as (select n, ngram, lang, count(*) as c from g group by all), t as (select n, ngram, sum(c)::bigint as freq, min(struct_pack(neg := -c, m := lang)) as best from p group by n, ngram having sum(c) >= 2), r as (select *, row_number() over (partition by n order by freq desc, ngram) as rank from t) select n, ngram, freq, rank, best.m as modality, -best.neg as in_modality from r where rank <= 20")
 def agg_ngrams(spark, d):
-    return K.top_ngrams(K.ngrams(docs(spark, d), 3, 6, ["lang"]), "lang", 20, 2)
+    return K.top_ngrams(docs(spark, d), 3, 6, "lang", 20, 2)
+
+
+STOP = ["the", "of", "and", "de", "la", "le", "der", "die", "und", "el"]
+STOPPED = GRAMS.replace("regexp_extract_all(lower(text), '[\\p{L}\\p{N}_''-]+') as t", "list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_''-]+'), lambda x: x not in (" + ", ".join(f"'{w}'" for w in STOP) + ")) as t")
+
+
+@query("agg_ngrams_stop", f"with {STOPPED}, p as (select n, ngram, lang, count(*) as c from g group by all), t as (select n, ngram, sum(c)::bigint as freq, min(struct_pack(neg := -c, m := lang)) as best from p group by n, ngram having sum(c) >= 2), r as (select *, row_number() over (partition by n order by freq desc, ngram) as rank from t) select n, ngram, freq, rank, best.m as modality, -best.neg as in_modality from r where rank <= 10")
+def agg_ngrams_stop(spark, d):
+    return K.top_ngrams(docs(spark, d), 3, 6, "lang", 10, 2, STOP)
 
 
 @query("dd_contexts")
 def dd_contexts(spark, d):
-    best = K.top_ngrams(K.ngrams(docs(spark, d), 3, 3, ["lang"]), "lang", 5, 2)
-    return K.contexts(docs(spark, d), best)
+    best = K.top_ngrams(docs(spark, d), 3, 6, "lang", 5, 2, STOP)
+    return K.contexts(docs(spark, d), best, stop=STOP)
 
 
 @query("agg_corpus_stats", f"with {TOK}, c as (select token, count(*) as n from tok group by token), r as (select n, row_number() over (order by n desc, token) as rank from c) select (select count(*) from documents) as texts, (select sum(n)::bigint from c) as tokens, (select count(*) from c) as forms, (select count(*) from c where n = 1) as hapax, round(regr_slope(ln(n), ln(rank)), 6) as slope, round(regr_intercept(ln(n), ln(rank)), 6) as intercept from r where rank <= 160")
@@ -238,8 +247,8 @@ def topk_quota(spark, d):
 
 @query("sort_multi", "select lang, doc_id, n_chars, row_number() over (order by lang desc, n_chars asc nulls last, doc_id) as place from documents")
 def sort_multi(spark, d):
-    rows = docs(spark, d).select("lang", "doc_id", "n_chars").orderBy(F.desc_nulls_last("lang"), F.asc_nulls_last("n_chars"), "doc_id")
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("lang"), F.asc_nulls_last("n_chars"), "doc_id")))
+    rows = docs(spark, d).select("lang", "doc_id", "n_chars")
+    return numbered(rows, [], [F.desc_nulls_last("lang"), F.asc_nulls_last("n_chars"), F.col("doc_id")], "place")
 
 
 @query("spaced_n", "with r as (select lang, doc_id, row_number() over (partition by lang order by doc_id) - 1 as i, count(*) over (partition by lang) as m from documents) select lang, doc_id from r where list_contains(list_transform(range(5), lambda k: floor(k * (m - 1) / 4.0)::bigint), i)")
@@ -247,19 +256,19 @@ def spaced_n(spark, d):
     return W.spaced(docs(spark, d).select("lang", "doc_id"), 5, ["lang"], ["doc_id"])
 
 
-@query("sample_n")
+@query("sample_n", "select doc_id, lang from documents order by md5('42/' || doc_id), doc_id limit 20")
 def sample_n(spark, d):
-    return docs(spark, d).orderBy(F.xxhash64("doc_id", F.lit(42)), "doc_id").limit(20).select("doc_id", "lang")
+    return W.sampled(docs(spark, d), 20, 42).select("doc_id", "lang")
 
 
 @query("wf_avg_rank", "select doc_id, lang, rank() over (partition by lang order by n_chars) + (count(*) over (partition by lang, n_chars) - 1) / 2.0 as r from documents")
 def wf_avg_rank(spark, d):
-    return docs(spark, d).select("doc_id", "lang", W.average_rank("n_chars", ["lang"]).alias("r"))
+    return W.with_average_rank(docs(spark, d).select("doc_id", "lang", "n_chars"), "n_chars", ["lang"], "r").select("doc_id", "lang", "r")
 
 
 @query("wf_share", "select doc_id, round(n_chars::double / sum(n_chars) over (partition by lang), 9) as share from documents")
 def wf_share(spark, d):
-    return docs(spark, d).select("doc_id", F.round(W.share(F.col("n_chars"), ["lang"]), 9).alias("share"))
+    return W.with_share(docs(spark, d).select("doc_id", "lang", "n_chars"), "n_chars", ["lang"], "share").select("doc_id", F.round("share", 9).alias("share"))
 
 
 @query("rs_melt", "select doc_id, 'quality' as variable, quality as value from labels union all select doc_id, 'toxic', toxic from labels")

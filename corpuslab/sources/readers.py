@@ -179,3 +179,15 @@ def kept_sections(text: Column, headings: list[str], keep: bool) -> Column:
 def annotation_rules(items: DataFrame, exclude_texts: list[str], exclude_labels: list[str]) -> DataFrame:
     """Items (text, label) without those excluded by text, or by label in any case."""
     return items.filter(~F.col("text").isin(*exclude_texts) & ~F.lower("label").isin(*[x.lower() for x in exclude_labels]))
+
+
+def included_annotations(df: DataFrame, include: dict[str, str], text_col: str = "text") -> DataFrame:
+    """text, label of every occurrence of the listed texts, between borders of words and in any case, with the label that the rules give it."""
+
+    def items(text: str, label: str) -> Column:
+        return F.transform(F.regexp_extract_all(text_col, F.lit(rf"(?iU)\b\Q{text}\E\b"), F.lit(0)), lambda x: F.struct(x.alias("text"), F.lit(label).alias("label")))
+
+    return df.select(F.inline(F.concat(*[items(t, label) for t, label in include.items()])))
+
+
+from corpuslab.sources.press import press_articles  # noqa: E402, F401

@@ -1,4 +1,8 @@
 import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
 
 from corpuslab.operators import chd
 
@@ -8,7 +12,7 @@ def table(spark, n=60):
     vocabulary = [[f"{c}{k}" for k in range(15)] for c in "abc"] + [[f"z{k}" for k in range(5)]]
     rows = []
     for u in range(n):
-        for t in set(rnd.sample(vocabulary[u % 3], 8) + rnd.sample(vocabulary[3], 2) + rnd.sample(vocabulary[(u + 1) % 3], 1)):
+        for t in sorted(set(rnd.sample(vocabulary[u % 3], 8) + rnd.sample(vocabulary[3], 2) + rnd.sample(vocabulary[(u + 1) % 3], 1))):
             rows.append((u, t, 1))
     return spark.createDataFrame(rows, "doc_id long, term string, n long"), rows
 
@@ -23,25 +27,86 @@ def chi2_by_hand(rows, left):
     return sum((o - (a + b) * m / n) ** 2 / ((a + b) * m / n) for a, b in sums.values() for o, m in ((a, n1), (b, n2))) if n1 and n2 else 0.0
 
 
-def test_sweep_finds_the_best_cut(spark):
+def test_sweep_finds_the_best_cut_and_moves_end_where_single_moves_do(spark):
     counts, rows = table(spark)
-    cells = counts.selectExpr("doc_id as unit", "term").cache()
-    scores = chd.first_axis(cells).cache()
-    sides = chd.sweep(cells, scores)
-    order = [r.unit for r in scores.orderBy("score", "unit").collect()]
+    units, names = chd.unit_rows(counts, "doc_id", 20_000)
+    scored = chd.first_axis(units, names).cache()
+    sides = chd.sweep(scored, len(names))
+    order = [r.unit for r in scored.orderBy("score", "unit").collect()]
     best = max(chi2_by_hand(rows, set(order[: k + 1])) for k in range(len(order) - 1))
     left = {r.unit for r in sides.collect() if r.side == 1}
     assert abs(chi2_by_hand(rows, left) - best) < 1e-6
-    assert abs(chd.chi2_of(cells, sides) - best) < 1e-6
-    assert chd.chi2_of(cells, chd.refined(cells, sides, 2)) >= best - 1e-6
+    a, s = chd.side_sums(sides, len(names))
+    assert abs(chd.chi2_from(a, s) - best) < 1e-6
+    moved = {r.unit for r in chd.refined(sides, len(names), 30).collect() if r.side == 1}
+    end = chi2_by_hand(rows, moved)
+    plain = set(left)  # one move after another, while one helps
+    while True:
+        gain, u = max((chi2_by_hand(rows, plain ^ {u}) - chi2_by_hand(rows, plain), u) for u in range(60))
+        if gain <= 1e-9:
+            break
+        plain ^= {u}
+    assert end >= best - 1e-6 and end >= 0.98 * chi2_by_hand(rows, plain)
+    assert all(chi2_by_hand(rows, moved ^ {u}) <= end + 1e-6 for u in range(60))
+
+
+def test_the_axis_is_the_first_of_a_correspondence_analysis(spark):
+    import numpy as np
+
+    counts, rows = table(spark)
+    units, names = chd.unit_rows(counts, "doc_id", 20_000)
+    got = {r.unit: r.score for r in chd.first_axis(units, names, 400, 1e-12).collect()}
+    m = np.zeros((60, len(names)))
+    for u, t, _ in rows:
+        m[u, names.index(t)] = 1
+    p = m / m.sum()
+    r, c = p.sum(1), p.sum(0)
+    u, _, _ = np.linalg.svd((p - np.outer(r, c)) / np.sqrt(np.outer(r, c)))
+    axis = u[:, 0] / np.sqrt(r)
+    assert abs(np.corrcoef(axis, [got[k] for k in range(60)])[0, 1]) > 1 - 1e-6
 
 
 def test_classes_are_found(spark):
     counts, _ = table(spark)
-    got, tree = chd.classify(counts, 3, refine=1)
+    leaves, tree = chd.classify(counts, 3, refine=1)
     by = {}
-    for r in got.collect():
+    for r in chd.terminal(leaves, tree, 1).collect():
         by.setdefault(r.doc_id % 3, []).append(r["class"])
     main = [max(set(v), key=v.count) for v in by.values()]
     assert len(set(main)) == 3 and all(v.count(m) >= 0.9 * len(v) for v, m in zip(by.values(), main, strict=True))
     assert len(tree) == 4
+
+
+@pytest.mark.parametrize(
+    "sizes, tree, least, want",
+    [
+        ({2: 10, 4: 8, 5: 2}, [(1, 2), (1, 3), (3, 4), (3, 5)], 5, {2: 1, 4: 2, 5: 0}),  # a small leaf beside a class is in none
+        ({2: 10, 4: 3, 5: 4}, [(1, 2), (1, 3), (3, 4), (3, 5)], 5, {2: 1, 4: 2, 5: 2}),  # two small ones together
+        ({2: 10, 4: 1, 5: 1}, [(1, 2), (1, 3), (3, 4), (3, 5)], 2, {2: 1, 4: 2, 5: 2}),
+        ({2: 3, 3: 30}, [(1, 2), (1, 3)], 5, {2: 1, 3: 2}),  # fewer than two classes: all leaves
+    ],
+)
+def test_small_leaves_go_to_their_mother(spark, sizes, tree, least, want):
+    rows = [(100 * leaf + k, leaf) for leaf, n in sizes.items() for k in range(n)] + [(1, 0)]
+    got = chd.terminal(spark.createDataFrame(rows, "doc_id long, leaf int"), tree, least).collect()
+    assert {r.doc_id // 100: r["class"] for r in got if r.doc_id > 1} == want
+    assert [r["class"] for r in got if r.doc_id == 1] == [0]
+
+
+def test_two_classifications(spark):
+    kind = "doc_id long, class int"
+    first = spark.createDataFrame([(k, 1 + k % 2) for k in range(40)] + [(50, 0)], kind)
+    second = spark.createDataFrame([(k, 2 - k % 2 if k < 36 else 1) for k in range(40)] + [(50, 1)], kind)
+    found = {(r.a, r.b): r.chi2 for r in chd.crossed(first, second).collect()}
+    assert found[1, 2] > 3.84 and found[2, 1] > 3.84 and found[1, 1] < 0
+    got = Counter(r["class"] for r in chd.stable_classes(first, second).collect())
+    assert got[0] == 3 and sum(got.values()) == 41  # two that disagree, and the one without a class
+
+
+def test_segments_are_joined_to_a_size(spark):
+    segs = spark.createDataFrame([(d, k, n) for d, ns in ((1, [5, 5, 5, 5, 3]), (2, [2]), (3, [30, 1, 1])) for k, n in enumerate(ns)], "doc_id long, seg_no int, n long")
+    groups = {}
+    for r in chd.size_merged(segs, F.col("n"), 10).collect():
+        groups.setdefault((r.doc_id, r.group), []).append((r.seg_no, r.n))
+    assert {k: sorted(v) for k, v in groups.items() if k[0] != 3} == {(1, 0): [(0, 5), (1, 5)], (1, 1): [(2, 5), (3, 5), (4, 3)], (2, 0): [(0, 2)]}
+    assert sum(len(v) for k, v in groups.items() if k[0] == 3) == 3
