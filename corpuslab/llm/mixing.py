@@ -1,36 +1,50 @@
 """Mixing sources to target weights by entropy balancing.
 
-Targets are words for each source. The rates w of the documents solve
-
-    minimise  sum size * (w ln w - w)   subject to   sum over a source of size * w = the source's target,
-
-whose solution is an exponential tilt, w = exp(lambda of the source). As a document has one source, the Hessian of the convex
-dual is diagonal: Newton's iterations run in parallel on the table of sources, each step one expression, from sums that Spark
-has aggregated over all documents. Rates are then rounded to whole copies, 0 to 2, by systematic sampling: in a source's
-documents by falling size, document k gets floor(k w + 1/2) - floor((k - 1) w + 1/2) copies, and a few documents are moved
-by one copy to close what is left. Large sources are rounded in buckets of about BUCKET_ROWS documents, so that no task
-holds a source. No random numbers are drawn, so reruns agree.
-
-A null text has size 0; a null source is a source of its own, ordered last. Documents of size 0 get copies like others
-and add no words. Repeated rows are separate documents. An empty table gives an empty table. Everything is DataFrame
-expressions. The number of sources is taken to be far smaller than the number of documents (their targets are computed in
-one window over all sources).
+Targets are words for each source. Besides, the mix is to keep the corpus' mean document length: with z = ln(1 + size), less its mean over
+all words, the mix's words should have the mean 0 too. The rates w of the documents solve
+
+    minimise  sum size * (w ln w - w)   subject to   sum over a source of size * w = its target,   sum of size * w * z = 0,   w <= most,
+
+the last sum softly: a quadratic penalty on its multiplier gives a mild tilt also where the limits leave no solution. So a rate is an
+exponential tilt, w = min(most, exp(lambda of the source + mu * z)). Newton's iterations solve the convex dual: each step sums size * w,
+size * w * z and size * w * z^2 over all documents by source. The Hessian has the sources' sums on its diagonal and one full row, that
+of mu; eliminating the sources leaves one equation for mu, after which each source has its own step, so no matrix is formed anywhere. A
+source whose target is ``most`` times its size has all its rates at the limit and takes no part. Documents of one source and size are
+alike, so the steps read their counts. Sums are of whole thousandths of a word: they don't depend on the order of the rows, so reruns agree.
+
+Rates are then rounded to whole copies, 0 to 2, by systematic sampling: with a source's documents by falling size, a document gets
+floor(R + 1/2) - floor(R - w + 1/2) copies, R the sum of the rates up to it, and a few documents are moved by one copy to close what is left.
+Large sources are rounded in buckets of about BUCKET_ROWS documents, so that no task holds a source. No random numbers are drawn.
+
+A null text has size 0; a null source is a source of its own, ordered last. Documents of size 0 get copies like others and add no words.
+Repeated rows are separate documents, ties in size are ordered by id. An empty table, or one without words, gives rates 0 (an empty
+table an empty table). Columns with the names of added ones are carried by mixed(), replaced by with_copies(). Everything is DataFrame
+expressions. The number of sources is taken to be far smaller than the number of documents (their targets are computed in one window over
+all sources).
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import WORD, broadcast_if_small
+from corpuslab.llm.common import WORD, Scratch, broadcast_if_small
 
 BUCKET_ROWS = 256
-NEWTON_STEPS = 60
+NEWTON_STEPS = 40
 CLOSING_MOVES = 5
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
 
+#: Thousandths of a word in sums, and billionths of a copy in rates: whole numbers, whose sums are exact.
+MILLI, NANO = 1000, 1_000_000_000
+
+#: The penalty on the length multiplier, as a share of the words' spread of lengths: high enough that no source is cut into all or nothing by length.
+RIDGE = 0.5
+
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -56,42 +70,99 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weig
     return sums.withColumn("target", F.least(F.col("limit"), first * F.col("weight"))).select("_source", "source_size", "n_docs", "target")
 
 
-def tilt(size: Column, target: Column) -> Column:
-    """exp(lambda) after Newton's steps on the dual of one source, size * exp(lambda) - target * lambda."""
+def length(size: Column) -> Column:
+    return F.ln(1 + size)
+
 
-    def step(lam: Column, _: Column) -> Column:
-        move = (target - size * F.exp(lam)) / (size * F.exp(lam))
-        return lam + F.greatest(F.lit(-2.0), F.least(F.lit(2.0), move))
+def whole(x: Column) -> Column:
+    return F.round(x * MILLI).cast("long")
 
-    solved = F.exp(F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.lit(0.0), step))
-    return F.when((size > 0) & (target > 0), solved).otherwise(0.0)
 
+def tilts(sizes: DataFrame, targets: DataFrame, most: float = 2.0, tolerance: float = 1e-6) -> DataFrame:
+    """targets with lambda, mu and mean (of ln(1 + size) over all words), by Newton's iterations on the dual.
 
-def with_copies(rows: DataFrame, targets: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """rows (with source and size) with source_size, target, rate and copies."""
-    rows = rows.drop("source_size", "target", "rate", "copies", "_source", "_bucket", "_k", "_left", "_best", "_buckets")
-    rated = targets.select(
-        "_source", "source_size", "target", F.round(tilt(F.col("source_size"), F.col("target")), 9).alias("rate"), F.greatest(F.lit(1), F.ceil(F.col("n_docs") / BUCKET_ROWS)).alias("_buckets")
-    )
-    at = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
-    out = rows.join(broadcast_if_small(rated), rows["source"].eqNullSafe(rated["_source"])).withColumn("_bucket", at % F.col("_buckets"))
+    Each iteration is one aggregation of all (source, size, documents) by source; the driver sees one row of it, how far the sums are off.
+    """
+    spark = sizes.sparkSession
+    kept = Scratch(spark, "mix")
+    cells = kept.cut(sizes.filter("size > 0").groupBy("source", "size").agg(F.count("*").alias("n")))
+    mean = cells.agg((F.sum(whole(F.col("n") * F.col("size") * length(F.col("size")))) / F.sum(F.col("n") * F.col("size")) / MILLI).alias("mean")).first()["mean"]
+    z = length(F.col("size")) - F.lit(mean or 0.0)
+    spread = cells.agg((F.sum(whole(F.col("n") * F.col("size") * z * z)) / MILLI).alias("s")).first()["s"]
+    ridge = RIDGE * max(1.0, spread or 0.0)
+    free = (F.col("source_size") > 0) & (F.col("target") > 0) & (F.col("target") < most * F.col("source_size") * (1 - 1e-9))
+    start = F.when((F.col("source_size") > 0) & (F.col("target") > 0), F.ln(F.col("target") / F.col("source_size")))
+    state = kept.cut(targets.withColumns({"free": free, "lambda": start, "move": F.lit(0.0)}))
+    mu, turn, part, best = 0.0, 0.0, 1.0, None
+    for _ in range(NEWTON_STEPS):
+        at, here = mu + part * turn, F.col("lambda") + F.lit(part) * F.col("move")
+        tried = state.withColumn("lambda", F.round(here, 12))
+        rows = cells.join(broadcast_if_small(tried), cells["source"].eqNullSafe(tried["_source"])).filter(F.col("lambda").isNotNull())
+        mass, eta = F.col("n") * F.col("size"), F.col("lambda") + F.when(F.col("free"), at * z).otherwise(0.0)
+        words = mass * F.least(F.lit(most), F.exp(eta))
+        bend = F.when(F.col("free") & (F.exp(eta) < most), words).otherwise(0.0)
+        dual = F.when(F.col("free"), F.when(F.exp(eta) < most, words).otherwise(mass * most * (1 + eta - math.log(most)))).otherwise(0.0)
+        sums = rows.groupBy("source").agg(*[(F.sum(whole(x)) / MILLI).alias(a) for a, x in (("g", words), ("gz", words * z), ("h", bend), ("hz", bend * z), ("hzz", bend * z * z), ("f", dual))])
+        joined = tried.join(broadcast_if_small(sums), tried["_source"].eqNullSafe(sums["source"]), "left").drop("source").fillna(0.0, ["g", "gz", "h", "hz", "hzz", "f"])
+        joined = kept.cut(joined.withColumns({"short": F.when(F.col("free"), F.col("target") - F.col("g")).otherwise(0.0), "h": F.greatest("h", F.col("g") / 50)}))
+        over_h = lambda x: F.when(F.col("free"), x / F.col("h")).otherwise(0.0)
+        one = joined.agg(  # a row: the dual, the equation that is left for mu, and the largest share of a target that is missing
+            F.sum(F.when(F.col("free"), F.col("f") - F.col("target") * F.col("lambda")).otherwise(0.0)).alias("dual"),
+            F.sum(F.when(F.col("free"), 0.0).otherwise(F.col("gz"))).alias("fixed"),
+            (-F.sum("gz") - F.sum(over_h(F.col("hz") * F.col("short")))).alias("top"),
+            (F.sum("hzz") - F.sum(over_h(F.col("hz") * F.col("hz")))).alias("bottom"),
+            F.max(F.abs("short") / F.greatest(F.col("target"), F.lit(1.0))).alias("off"),
+            F.max(F.col("free")).alias("any_free"),
+        ).first()
+        if not one["any_free"]:
+            break
+        value = one["dual"] + at * one["fixed"] + ridge * at * at / 2
+        if best is not None and value > best + 1e-9 * abs(best) and part > 1e-3:
+            part /= 2  # too far: half of the way
+            continue
+        done = abs(part * turn) < 1e-6 and one["off"] < tolerance and best is not None
+        mu, best, part = at, value, 1.0
+        turn = round(max(-1.0, min(1.0, (one["top"] - ridge * mu) / (max(0.0, one["bottom"]) + ridge))), 12)
+        move = over_h(F.col("short") - F.col("hz") * F.lit(turn))
+        state = joined.withColumn("move", F.greatest(F.lit(-2.0), F.least(F.lit(2.0), move))).drop("g", "gz", "h", "hz", "hzz", "f", "short")
+        if done:
+            break
+    return state.drop("move").withColumns({"mu": F.lit(mu), "mean": F.lit(mean or 0.0).cast("double")})
+
+
+def with_copies(rows: DataFrame, solved: DataFrame, id_col: str = "doc_id", most: float = 2.0) -> DataFrame:
+    """rows (with source and size) with source_size, target, rate and copies; solved: see tilts."""
+    rows = rows.drop("source_size", "target", "rate", "copies", "_source", "_bucket", "_nano", "_upto", "_k", "_left", "_best", "_buckets")
+    found = solved.select("_source", "source_size", "target", "free", "lambda", "mu", "mean", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / BUCKET_ROWS)).alias("_buckets"))
+    at = F.conv(F.substring(F.md5(F.concat_ws("/", F.col(id_col).cast("string"), F.col("size").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    eta = F.col("lambda") + F.when(F.col("free"), F.col("mu") * (length(F.col("size")) - F.col("mean"))).otherwise(0.0)
+    nano = F.round(F.when(eta.isNotNull(), F.least(F.lit(most), F.exp(eta))).otherwise(0.0) * NANO).cast("long")
+    out = rows.join(broadcast_if_small(found), rows["source"].eqNullSafe(found["_source"])).withColumns({"_bucket": at % F.col("_buckets"), "_nano": nano})
     bucket = Window.partitionBy("source", "_bucket")
-    out = out.withColumn("_k", F.row_number().over(bucket.orderBy(F.desc("size"), F.asc(id_col))))
-    k, rate = F.col("_k"), F.col("rate")
-    out = out.withColumn("copies", F.floor(k * rate + 0.5) - F.floor((k - 1) * rate + 0.5))
-    out = out.withColumn("_left", F.round(F.sum(F.col("size") * rate).over(bucket) - F.sum(F.col("size") * F.col("copies")).over(bucket)).cast("long"))
+    order = bucket.orderBy(F.desc("size"), F.asc(id_col))
+    out = out.withColumns({"_k": F.row_number().over(order), "_upto": F.sum("_nano").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    copies_to = lambda x: F.floor((x + NANO // 2) / F.lit(NANO))
+    out = out.withColumn("copies", copies_to(F.col("_upto")) - copies_to(F.col("_upto") - F.col("_nano")))
+    out = out.withColumn("_left", F.round(F.sum(F.col("size") * F.col("_nano") / NANO - F.col("size") * F.col("copies")).over(bucket.orderBy("_k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).cast("long"))
     for _ in range(CLOSING_MOVES):
         left = F.col("_left")
-        free = F.when(left > 0, F.col("copies") < F.least(F.lit(2), F.ceil(rate))).otherwise(F.col("copies") > 0) & (F.col("size") > 0) & (F.col("size") <= F.abs(left))
+        free = F.when(left > 0, F.col("copies") < F.least(F.lit(2), F.ceil(F.col("_nano") / NANO))).otherwise(F.col("copies") > 0) & (F.col("size") > 0) & (F.col("size") <= F.abs(left))
         out = out.withColumn("_best", F.max(F.when(free, F.struct("size", "_k"))).over(bucket))
-        moved = F.coalesce(F.col("_best")["_k"] == k, F.lit(False))
+        moved = F.coalesce(F.col("_best")["_k"] == F.col("_k"), F.lit(False))
         out = out.withColumn("copies", F.col("copies") + F.when(moved, F.signum(left).cast("long")).otherwise(0)).withColumn(
             "_left", left - F.signum(left).cast("long") * F.coalesce(F.col("_best")["size"], F.lit(0))
         )
-    return out.drop("_source", "_buckets", "_bucket", "_k", "_left", "_best")
+    out = out.withColumn("rate", F.col("_nano") / F.lit(float(NANO)))
+    return out.drop("_source", "_buckets", "_bucket", "_nano", "_upto", "_k", "_left", "_best", "free", "lambda", "mu", "mean")
+
+
+def solved(sizes: DataFrame) -> DataFrame:
+    """Targets and multipliers from all (source, size) rows."""
+    return tilts(sizes, source_targets(sizes))
 
 
-def mixed(docs: DataFrame, sizes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mixed(docs: DataFrame, sizes: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of docs, each as many times as it has copies, with its own columns. sizes: its (source, size), which may be materialised."""
-    rows = with_copies(docs.withColumn("size", word_count(docs[text_col])), source_targets(sizes), id_col)
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), docs[id_col].alias("doc_id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"))
+    rows = with_copies(rows, solved(sizes))
+    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("doc.*")

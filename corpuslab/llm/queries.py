@@ -67,8 +67,8 @@ QUERIES["op4_jump_shards"] = op4_jump_shards
 def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes are written once, as sources and documents both read them."""
     sizes = written(documents(spark, sf_dir).select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")), "op8")
-    rows = mixing.with_copies(sizes, mixing.source_targets(sizes))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    rows = mixing.with_copies(sizes, mixing.solved(sizes))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
 
 
 QUERIES["op8_entropy_mix"] = op8_entropy_mix
