@@ -125,11 +125,25 @@ def find_spans(text: str) -> list[Span]:
                     out.append(Span(3, m.start(), m.end(), True))
         weak += [(3, m.start(), m.end()) for m in NATIONAL.finditer(text)]
     if weak:
-        taken = sorted((s.start, s.end) for s in out)
-        for kind, a, b in sorted(weak, key=lambda w: (w[1], -w[2])):
-            if a < b and not any(x < b and a < y for x, y in taken):
-                out.append(Span(kind, a, b, False))
-                taken.append((a, b))
+        out += untouched(weak, [(s.start, s.end) for s in out])
+    return out
+
+
+def untouched(weak: list[tuple[int, int, int]], taken: list[tuple[int, int]]) -> list[Span]:
+    """Of the candidates by start, longest first, those that touch no base span and no candidate before them; one sweep over both lists."""
+    ends: list[tuple[int, int]] = []
+    for a, b in sorted(taken):  # base spans of several kinds may overlap: merged
+        if ends and a < ends[-1][1]:
+            ends[-1] = (ends[-1][0], max(b, ends[-1][1]))
+        else:
+            ends.append((a, b))
+    out, at, done = [], 0, 0
+    for kind, a, b in sorted(weak, key=lambda w: (w[1], -w[2])):
+        while at < len(ends) and ends[at][1] <= a:
+            at += 1
+        if a < b and a >= done and not (at < len(ends) and ends[at][0] < b):
+            out.append(Span(kind, a, b, False))
+            done = b
     return out
 
 
