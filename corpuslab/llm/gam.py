@@ -192,7 +192,7 @@ def learned(measured: DataFrame, labels: DataFrame, most_labelled: int = 20_000,
     n = known.count()
     some = known.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < 1_000_000 * min(1.0, most_labelled / max(1, n)))
     # the labelled side is bounded by the sample
-    rows = measured.join(F.broadcast(some), measured["doc_id"] == some["_id"]).select("x", "y").toPandas()
+    rows = measured.join(F.broadcast(some), measured["doc_id"] == some["_id"]).select("_id", "x", "y").dropDuplicates().orderBy("_id", "y", "x").toPandas()
     if not len(rows):
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     return fit(np.array(rows["x"].tolist()), rows["y"].to_numpy())

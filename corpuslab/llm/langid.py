@@ -75,6 +75,8 @@ def snippets(docs: DataFrame, docs_per_lang: int, each: int) -> DataFrame:
         return docs.sparkSession.createDataFrame([], "lang string, words string")
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, docs_per_lang / r["count"]))])
     some = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < 1_000_000 * share[F.col("lang")])
+    one = some.groupBy("doc_id", "lang", F.xxhash64("text").alias("_key")).agg(F.first("text").alias("text"))  # repeated rows count once
+    some = one.select("doc_id", "lang", "text")
 
     def made(it: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, lang, text in it:
