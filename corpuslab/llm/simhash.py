@@ -19,7 +19,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import SPACES
+from corpuslab.llm.common import SPACES, broadcast_if_small, written
+from corpuslab.llm.graphs import SALTS
 
 LANES = 0x0000000100000001
 BLANKS = " \t\n\x0b\x0c\r"
@@ -29,6 +30,11 @@ LEAST_LONG = -(2**63)
 RANGE_ROWS = 1024
 MOST_RANGES = 2000
 
+#: The search's radius in bits and number of blocks; fingerprints of a key in one part of it, about.
+RADIUS = 4
+BLOCKS = 6
+BUCKET_ROWS = 1024
+
 
 def terms(text: Column) -> Column:
     """Array of (first, second) words; second is null for the last word."""
@@ -62,36 +68,59 @@ def distance(hi: Column, lo: Column, hi2: Column, lo2: Column) -> Column:
     return F.bit_count(hi.bitwiseXOR(hi2)) + F.bit_count(lo.bitwiseXOR(lo2))
 
 
-def links(prints: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
-    """a_hi, a_lo, b_hi, b_lo, distance: all pairs of different fingerprints within the radius, each once, smaller one first.
-
-    Equal fingerprints are one row before the search, so groups of copies cost nothing.
-    """
-    if not 0 < radius < blocks <= 128:
-        raise ValueError("give a radius under the number of blocks")
-    one = prints.select("hi", "lo").distinct()
+def block_masks(blocks: int) -> list[tuple[int, int]]:
+    """For each block of bits its masks in hi and lo, as signed numbers."""
     edges = [128 * k // blocks for k in range(blocks + 1)]
+    signed = lambda v: v - 2**64 if v >= 2**63 else v
+    whole = [sum(1 << i for i in range(edges[k], edges[k + 1])) for k in range(blocks)]
+    return [(signed(m >> 64), signed(m & (2**64 - 1))) for m in whole]
 
-    def bits(start: int, stop: int) -> Column:
-        """The bits of that range, as one or two numbers hashed."""
-        parts = []
-        for name, base in (("lo", 0), ("hi", 64)):
-            a, b = max(start, base) - base, min(stop, base + 64) - base
-            if a < b:
-                parts.append(F.shiftrightunsigned(F.shiftleft(name, 64 - b), 64 - b + a))
-        return F.xxhash64(*parts)
-
-    named = one.select("hi", "lo", *[bits(edges[k], edges[k + 1]).alias(f"_b{k}") for k in range(blocks)])
-    tables = F.array(*[F.xxhash64(F.lit(t), *[F.col(f"_b{k}") for k in chosen]) for t, chosen in enumerate(combinations(range(blocks), blocks - radius))])
-    rows = named.select("hi", "lo", F.explode(tables).alias("key"))
-    a, b = (rows.select("key", F.col("hi").alias(f"{x}_hi"), F.col("lo").alias(f"{x}_lo")) for x in "ab")
+
+def links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, queries: DataFrame | None = None) -> DataFrame:
+    """a_hi, a_lo, b_hi, b_lo, distance: pairs of different fingerprints within the radius, each once.
+
+    Without queries all such pairs, smaller one first; else all (query, fingerprint) pairs. Equal fingerprints are one row before the search,
+    so groups of copies cost nothing. Keys that one fingerprint has alone, or no query, are dropped first. A key with very many
+    fingerprints is dealt into parts by one side. A pair that shares several tables is made in the first of them only.
+    """
+    if not 0 < radius < blocks <= 16:
+        raise ValueError("give a radius under the number of blocks, and at most 16 of these")
+    masks = block_masks(blocks)
+    chosen = list(combinations(range(blocks), blocks - radius))
+    named = prints.select("hi", "lo").distinct().withColumn("asked", F.lit(queries is None))
+    if queries is not None:
+        both = named.unionByName(queries.select("hi", "lo", F.lit(True).alias("asked")))
+        named = both.groupBy("hi", "lo").agg(F.max("asked").alias("asked"))
+    named = written(named, "op10-prints")
+
+    def key(t: int, table: tuple[int, ...]) -> Column:
+        hi = sum(masks[k][0] % 2**64 for k in table)
+        lo = sum(masks[k][1] % 2**64 for k in table)
+        kept = lambda c, m: F.col(c).bitwiseAND(F.lit(m - 2**64 if m >= 2**63 else m))
+        return F.xxhash64(F.lit(t), kept("hi", hi), kept("lo", lo))
+
+    rows = named.select("hi", "lo", "asked", F.posexplode(F.array(*[key(t, c) for t, c in enumerate(chosen)])).alias("t", "key"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("c"), F.max("asked").alias("asked")).filter("c > 1 and asked")
+    shared = written(shared.select("key", (F.floor(F.col("c") / BUCKET_ROWS) + 1).alias("parts")), "op10-keys")
+    rows = rows.join(broadcast_if_small(shared), "key")
+    part = F.pmod(F.xxhash64("hi", "lo"), F.col("parts"))
+    a = rows.filter("asked").select("key", "t", F.col("hi").alias("a_hi"), F.col("lo").alias("a_lo"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    b = rows.select("key", F.col("hi").alias("b_hi"), F.col("lo").alias("b_lo"), part.alias("part"))
     apart = distance(F.col("a_hi"), F.col("a_lo"), F.col("b_hi"), F.col("b_lo"))
-    before = (F.col("a_hi") < F.col("b_hi")) | ((F.col("a_hi") == F.col("b_hi")) & (F.col("a_lo") < F.col("b_lo")))
-    return a.join(b, "key").filter(before & (apart <= radius)).select("a_hi", "a_lo", "b_hi", "b_lo", apart.alias("distance")).distinct()
+    equal = sum(
+        F.when((F.col("a_hi").bitwiseXOR(F.col("b_hi")).bitwiseAND(F.lit(hi)) == 0) & (F.col("a_lo").bitwiseXOR(F.col("b_lo")).bitwiseAND(F.lit(lo)) == 0), 1 << k).otherwise(0)
+        for k, (hi, lo) in enumerate(masks)
+    )
+    first = [next((t for t, c in enumerate(chosen) if all(e >> k & 1 for k in c)), -1) for e in range(1 << blocks)]
+    wanted = (F.col("a_hi") < F.col("b_hi")) | ((F.col("a_hi") == F.col("b_hi")) & (F.col("a_lo") < F.col("b_lo")))
+    if queries is not None:
+        wanted = (F.col("a_hi") != F.col("b_hi")) | (F.col("a_lo") != F.col("b_lo"))
+    met = (F.element_at(F.array(*[F.lit(t) for t in first]), (equal + 1).cast("int")) == F.col("t")) & (apart <= radius) & wanted
+    return a.join(b, ["key", "part"]).filter(met).select("a_hi", "a_lo", "b_hi", "b_lo", apart.alias("distance"))
 
 
 def with_next_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text and next_text: the text that follows by descending id, after the last the first.
+    """doc_id, text, next_text (the text that follows by descending id, after the last the first), _id, _hash, next_id, next_hash (which rows these are).
 
     Rows of one id follow each other by a hash of their text; null ids come last. The table is cut into ranges of about RANGE_ROWS rows by
     quantiles of the id, an id with very many rows also by the hash. Each range ends with a copy of the next one's first row, so one
@@ -115,31 +144,41 @@ def with_next_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = rows.join(F.broadcast(guard), (rows["_id"] == guard["_gid"]) & (rows["_hash"] == guard["_ghash"]))
     both = ranged.withColumn("_guard", F.lit(0)).unionByName(copies.select("doc_id", "text", "_id", "_hash", F.col("_to").alias("_range"), F.lit(1).alias("_guard")))
     order = Window.partitionBy("_range").orderBy("_guard", F.desc("_id"), F.desc("_hash"))
-    return both.withColumn("next_text", F.lead("text").over(order)).filter("_guard = 0").select("doc_id", "text", "next_text")
+    following = {f"next_{c.strip('_')}": F.lead(c).over(order) for c in ("text", "_id", "_hash")}
+    return both.withColumns(following).filter("_guard = 0").select("doc_id", "text", "next_text", "_id", "_hash", "next_id", "next_hash")
 
 
-def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", asked: str = "doc_id % 20 = 0") -> DataFrame:
     """For each row its fingerprint, that of its edited text (its last half replaced by the start of the next document), and their likeness.
 
-    Likeness is the share of equal bits. Repeated rows are rows of their own. A single document follows itself.
+    Likeness is the share of equal bits. n_near: for the rows asked for (null for others), how many other fingerprints of the table lie within
+    RADIUS bits. Repeated rows are rows of their own. A single document follows itself. An empty table gives an empty table. Only the
+    named columns are read, others cannot clash.
     """
     pair = with_next_text(docs, id_col, text_col)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
-    named = pair.select("doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_text")
+    named = pair.select("doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "_id", "_hash", "next_id", "next_hash")
     named = named.withColumns({"edited_sha256": F.sha2("edited", 256), "_uid": F.monotonically_increasing_id()})
-    keys = ["_uid", "doc_id", "n_chars", "edited_sha256"]
-    three = F.array(*[F.struct(F.lit(k).alias("which"), F.col(c).alias("t")) for k, c in enumerate(("text", "edited", "next_text"))])
-    texts = named.select(*keys, F.explode(three).alias("_x")).select(*keys, "_x.which", F.col("_x.t").alias("text"))
+    keys = ["_uid", "doc_id", "n_chars", "edited_sha256", "_id", "_hash", "next_id", "next_hash"]
+    two = F.array(*[F.struct(F.lit(k).alias("which"), F.col(c).alias("t")) for k, c in enumerate(("text", "edited"))])
+    texts = named.select(*keys, F.explode(two).alias("_x")).select(*keys, "_x.which", F.col("_x.t").alias("text"))
     prints = fingerprints(texts, [*keys, "which"])
-    sides = [F.max(F.when(F.col("which") == k, F.col(h))).alias(f"{h}{k}") for k in range(3) for h in ("hi", "lo")]
-    row = prints.groupBy(*keys).agg(*sides)
+    sides = [F.max(F.when(F.col("which") == k, F.col(h))).alias(f"{h}{k}") for k in range(2) for h in ("hi", "lo")]
+    row = written(prints.groupBy(*keys).agg(*sides).drop("_uid"), "op10-rows")
+    # the next document's fingerprint is the one it has as itself: texts of one id and hash are equal
+    own = row.groupBy(F.col("_id").alias("next_id"), F.col("_hash").alias("next_hash")).agg(F.first("hi0").alias("hi2"), F.first("lo0").alias("lo2"))
+    found = links(row.select(F.col("hi0").alias("hi"), F.col("lo0").alias("lo")), queries=row.filter(asked).select(F.col("hi0").alias("hi"), F.col("lo0").alias("lo")))
+    near = found.groupBy(F.col("a_hi").alias("hi0"), F.col("a_lo").alias("lo0")).agg(F.count("*").alias("n_near"))
+    out = row.join(own, ["next_id", "next_hash"], "left").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "edited_sha256"), F.lit(SALTS)).cast("int"))
+    near = near.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # copies share a fingerprint: they are dealt into parts
+    out = out.join(near, ["hi0", "lo0", "_salt"], "left")
 
     def likeness(k: int) -> Column:
         return 1 - distance(F.col("hi0"), F.col("lo0"), F.col(f"hi{k}"), F.col(f"lo{k}")) / F.lit(128.0)
 
-    return row.select(
+    return out.select(
         "doc_id", "n_chars", "edited_sha256", written_hex(F.col("hi0"), F.col("lo0")).alias("fingerprint"), written_hex(F.col("hi1"), F.col("lo1")).alias("edited_fingerprint"),
-        likeness(1).alias("near_edited"), likeness(2).alias("near_next"),
+        likeness(1).alias("near_edited"), likeness(2).alias("near_next"), F.when(F.expr(asked), F.coalesce("n_near", F.lit(0))).alias("n_near"),
     )

@@ -1,6 +1,10 @@
 import hashlib
 import random
+import re
 from collections import Counter
+from functools import reduce
+
+import xxhash
 
 from corpuslab.llm import simhash
 
@@ -9,9 +13,23 @@ def rows_of(n):
     rnd = random.Random(2)
     word = lambda: "".join(rnd.choice("abcdefé") for _ in range(rnd.randint(1, 7)))
     docs = [(k, " ".join(word() for _ in range(rnd.randint(0, 60)))) for k in rnd.sample(range(10**6), n)]
+    long = " ".join(word() for _ in range(400))
+    docs += [(20 * k, long + f" {k} end") for k in range(50_001, 50_012)]  # near copies, some asked for
     return docs + [(None, "no id"), (5, "same id"), (5, "same id"), (5, "other"), (6, None), (7, ""), (8, " \n "), (9, "x" * 50_000)]
 
 
+def by_hand(text):
+    """The fingerprint as a number: 64-bit hashes of word pairs vote, chained as Spark's hash function chains its arguments."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    chain = lambda *parts: reduce(lambda seed, p: xxhash.xxh64(p, seed=seed).intdigest(), [p.encode() if isinstance(p, str) else p for p in parts if p is not None], 42)
+    votes = [0] * 128
+    for first, second in zip(words, [*words[1:], None], strict=False):
+        term = chain(first, second) << 64 | chain(second, first, (1).to_bytes(4, "little"))
+        for b in range(128):
+            votes[b] += 1 if term >> b & 1 else -1
+    return sum(1 << b for b in range(128) if votes[b] > 0)
+
+
 def check(spark, docs):
     df = spark.createDataFrame([(*d, "c") for d in docs], "doc_id long, text string, fingerprint string")
     got = simhash.edit_report(df).collect()
@@ -27,8 +45,17 @@ def check(spark, docs):
         t = t or ""
         half = len(t) // 2
         assert by[i].n_chars == len(t)
-        assert by[i].edited_sha256 in {hashlib.sha256((t[: len(t) - half] + o[:half]).encode()).hexdigest() for o in options}
-        assert 0 <= by[i].near_next <= 1 and len(by[i].fingerprint) == 32
+        edits = {hashlib.sha256(e.encode()).hexdigest(): (e, o) for o in options for e in [t[: len(t) - half] + o[:half]]}
+        assert by[i].edited_sha256 in edits
+        assert by[i].fingerprint == f"{by_hand(t):032x}"
+        edited, nexts = edits[by[i].edited_sha256][0], {by_hand(o) for o in options}
+        assert by[i].edited_fingerprint == f"{by_hand(edited):032x}"
+        assert by[i].near_edited == 1 - (by_hand(t) ^ by_hand(edited)).bit_count() / 128
+        assert by[i].near_next in {1 - (by_hand(t) ^ x).bit_count() / 128 for x in nexts}
+    prints = {by_hand(t) for _, t in docs}
+    for r in got:
+        others = sum(0 < (int(r.fingerprint, 16) ^ x).bit_count() <= simhash.RADIUS for x in prints)
+        assert r.n_near == (others if r.doc_id is not None and r.doc_id % 20 == 0 else None)
     return got
 
 
@@ -55,7 +82,7 @@ def test_an_id_with_very_many_rows(spark, monkeypatch):
     assert len(seen) == len(docs)
 
 
-def test_links_find_all_within_the_radius(spark):
+def test_links_find_all_within_the_radius(spark, monkeypatch):
     rnd = random.Random(4)
     prints = []
     for _ in range(40):
@@ -67,7 +94,8 @@ def test_links_find_all_within_the_radius(spark):
             prints.append(x)
     signed = lambda v: v - 2**64 if v >= 2**63 else v
     df = spark.createDataFrame([(signed(x >> 64), signed(x & (2**64 - 1))) for x in prints], "hi long, lo long")
-    for radius, blocks in ((3, 6), (2, 3), (1, 5)):
+    for radius, blocks, rows in ((3, 6, 1024), (2, 3, 2), (1, 5, 1024)):
+        monkeypatch.setattr(simhash, "BUCKET_ROWS", rows)
         got = simhash.links(df, radius, blocks).collect()
         want = {frozenset((x, y)) for x in prints for y in prints if x != y and (x ^ y).bit_count() <= radius}
         assert {frozenset((((r.a_hi % 2**64) << 64) | r.a_lo % 2**64, ((r.b_hi % 2**64) << 64) | r.b_lo % 2**64)) for r in got} == want
