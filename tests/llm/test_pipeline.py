@@ -60,3 +60,25 @@ def test_stages(spark, tmp_path):
     assert Counter((r.doc_id, tuple(r.ids)) for r in encoded) == Counter((r.doc_id, tuple(enc.encode_ordinary(texts[r.doc_id]))) for r in mixed)
     assert len(corpus_pipeline.run(spark, str(tmp_path)).collect()) == len(encoded)
     assert public_tokenizers.PATTERN
+
+
+def test_odd_tables_pass_each_stage(spark, tmp_path):
+    """Nulls, repeated rows, ties, clashing column names and an empty table."""
+    kind = "doc_id long, text string, lang string, source string, n_chars int, kept string, n_words string, size string, target string, doc string, host string"
+    good = " ".join(f"word{k}" for k in range(60))
+    mine = ("k", "n", "s", "t", "d", "h")
+    rows = [(1, good, "en", "a", 1, *mine), (1, good, "en", "a", 1, *mine), (None, good + " more", None, None, None, *mine), (None, None, None, None, None, *mine), (2, "", "en", "a", 0, *mine)]
+    rows += [(k, " ".join(f"w{k}x{j}" for j in range(40)) + " a@b.org", "en", "a", 9, *mine) for k in range(3, 9)]
+    for table in (rows, []):
+        docs = spark.createDataFrame(table, kind)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            if name != "token ids":
+                assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+                assert all((r.kept, r.n_words, r["size"], r.target, r.doc, r.host) == mine for r in out.collect())
+            got = out.collect()
+            assert bool(got) == bool(table)
+            if name == "near-dedup" and table:
+                assert sum(r.text.startswith("word0") for r in got) == 1
+        again = stage(spark, docs, str(tmp_path))
+        assert len(again.collect()) == len(table)
