@@ -81,7 +81,10 @@ def pair_lines(tokens: DataFrame, w1: str, w2: str, k: int, margin: int = 5) ->
     """doc_id, start, end of the distinct spans that hold both words within k places, with a margin."""
     x = tokens.filter(F.col("token") == w1).select("doc_id", F.col("pos").alias("p1"))
     y = tokens.filter(F.col("token") == w2).select("doc_id", F.col("pos").alias("p2"))
-    near = x.join(y, "doc_id").filter(F.abs(F.col("p1") - F.col("p2")) <= k)
+    # words meet in cells of k + 1 places, so a long text is not compared with itself
+    x = x.withColumn("cell", F.explode(F.sequence(F.floor((F.col("p1") - k) / (k + 1)), F.floor((F.col("p1") + k) / (k + 1)))))
+    y = y.withColumn("cell", F.floor(F.col("p2") / (k + 1)))
+    near = x.join(y, ["doc_id", "cell"]).filter(F.abs(F.col("p1") - F.col("p2")) <= k)
     return near.select("doc_id", F.greatest(F.lit(0), F.least("p1", "p2") - margin).alias("start"), (F.greatest("p1", "p2") + margin).alias("end")).distinct()
 
 

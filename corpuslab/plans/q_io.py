@@ -144,7 +144,7 @@ def snk_csv(spark, d):
     return through_files(spark, sums, "csv")
 
 
-@query("snk_json")
+@query("snk_json", """select case when lang is null then '{"doc_id":' || doc_id || '}' else '{"doc_id":' || doc_id || ',"lang":"' || lang || '"}' end as value from documents""")
 def snk_json(spark, d):
     return through_files(spark, W.as_json(docs(spark, d).select("doc_id", "lang")), "text")
 
@@ -165,6 +165,45 @@ def snk_graph(spark, d):
     return spark.read.csv(f"{path}/vertices", header=True)
 
 
+@query("src_txt_multi", "with r as (select source, doc_id % 4 as part, md5(text) as h from documents) select source, part::int as part, count(*) as lines, md5(string_agg(h || chr(10), '' order by h)) as text from r group by source, part")
+def src_txt_multi(spark, d):
+    """A text file for each source and quarter, read again as whole texts."""
+    path = f"{shared_dir(spark)}/texts-{uuid.uuid4().hex}"
+    rows = docs(spark, d).select("source", (F.col("doc_id") % 4).cast("int").alias("part"), F.md5("text").alias("value"))
+    rows.repartition("source", "part").sortWithinPartitions("source", "part", "value").write.partitionBy("source", "part").text(path)
+    found = R.read_texts(spark, f"{path}/source=*/part=*/*.txt")
+    name = lambda key: F.regexp_extract("file", rf"/{key}=([^/]+)/", 1)
+    return found.select(name("source").alias("source"), name("part").cast("int").alias("part"), F.regexp_count("text", F.lit("\n")).cast("long").alias("lines"), F.md5("text").alias("text"))
+
+
+def nation_file(spark, d):
+    """A dictionary file made of the nations, with blanks round the keys and one blank key."""
+    path = f"{shared_dir(spark)}/connectors-{uuid.uuid4().hex}"
+    entry = F.struct(F.concat(F.lit(" "), "n_name", F.lit("\t")).alias("key"), F.col("n_regionkey").cast("string").alias("label"))
+    entries = table(spark, d, "nation").agg(F.collect_list(entry).alias("e"))
+    entries.select(F.to_json(F.map_from_entries(F.concat("e", F.array(F.struct(F.lit("  ").alias("key"), F.lit("none").alias("label")))))).alias("value")).write.text(path)
+    return f"{path}/*.txt"
+
+
+@query("src_connectors", "select n_name as connector, n_regionkey::varchar as label from nation")
+def src_connectors(spark, d):
+    return spark.createDataFrame(list(R.read_connectors(spark, nation_file(spark, d)).items()), "connector string, label string")
+
+
+@query("src_connectors_check", "select n_regionkey::varchar as label, count(*) as entries from nation group by 1")
+def src_connectors_check(spark, d):
+    checked = R.checked_connectors(R.read_connectors(spark, nation_file(spark, d)))
+    return spark.createDataFrame(list(checked.items()), "connector string, label string").groupBy("label").agg(F.count("*").alias("entries"))
+
+
+@query("src_regex_rules", r"select r_name as label, '\b' || lower(r_name) || '\b' as regex from region")
+def src_regex_rules(spark, d):
+    path = f"{shared_dir(spark)}/rules-{uuid.uuid4().hex}"
+    rule = F.struct(F.col("r_name").alias("label"), F.concat(F.lit(r"\b"), F.lower("r_name"), F.lit(r"\b")).alias("regex"))
+    table(spark, d, "region").agg(F.collect_list(rule).alias("patterns")).write.json(path)
+    return spark.createDataFrame(R.read_rules(spark, path), "label string, regex string")
+
+
 @query("seg_policy")
 def seg_policy(spark, d):
     return Q.segments_policy(docs(spark, d))

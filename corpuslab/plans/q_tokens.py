@@ -98,17 +98,23 @@ def seg_double(spark, d):
     return K.segments_double(docs(spark, d)).select("seg_id", "n_words")
 
 
-def piece_query(name, spark_pattern, sql_pattern, least=1, oracle=True):
-    sql = rf"with p as (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '{sql_pattern}'), lambda x: trim(x, E' \n\t\r')), lambda x: length(x) >= {least}) as t from documents) select doc_id, unnest(range(len(t)))::int as seg_no, md5(unnest(t)) as segment from p"
+def piece_query(name, spark_pattern, sql_pattern, least=1, source="documents"):
+    """source: in SQL, the documents as they are or with marks where a pattern that looks back would cut."""
+    sql = rf"with p as (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '{sql_pattern}'), lambda x: trim(x, E' \n\t\r')), lambda x: length(x) >= {least}) as t from {source}) select doc_id, unnest(range(len(t)))::int as seg_no, md5(unnest(t)) as segment from p"
 
     def run(spark, d):
         return K.pieces(docs(spark, d), spark_pattern, least).withColumn("segment", F.md5("segment"))
 
-    query(name, sql if oracle else None)(run)
+    query(name, sql)(run)
+
+
+def marked(pattern):
+    """The documents with a private-use character in place of the blanks after a match of one character."""
+    return rf"(select doc_id, regexp_replace(text, '({pattern})[ \t\n\x0B\f\r]+', '\1' || chr(57344), 'g') as text from documents)"
 
 
-piece_query("seg_sentence_strong", r"\r?\n+|(?<=[.!?])\s+", "", oracle=False)
-piece_query("seg_sentence_wide", r"(?<=[.!?;:\n])\s+", "", oracle=False)
+piece_query("seg_sentence_strong", r"\r?\n+|(?<=[.!?])\s+", r"\r?\n+|\x{E000}", source=marked("[.!?]"))
+piece_query("seg_sentence_wide", r"(?<=[.!?;:\n])\s+", r"\x{E000}", source=marked(r"[.!?;:\n]"))
 piece_query("seg_sentence_flesch", r"[.!?;:]+|\n+", r"[.!?;:]+|\n+")
 piece_query("seg_lda", r"[.!?;:\n]", r"[.!?;:\n]", 20)
 piece_query("seg_paragraph", r"\n\s*\n+", r"\n\s*\n+")
