@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpuslab.llm import bpe, gam, hostrules, langid, minhash, mixing, pii, sharding, simhash, urlfilter
+from corpuslab.llm import bpe, gam, hostrules, katz, langid, minhash, mixing, pii, sharding, simhash, urlfilter
 from corpuslab.llm.common import crc_of_id, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def crc_sql(column: str) -> str:
+    """DuckDB's expression of the crc32 of a number's decimal text, as it has no such function: a fold over the digits' bytes, bit by bit."""
+    bits = "xor(crc, b) & 255"
+    for _ in range(8):
+        bits = f"list_transform([{bits}], lambda x: xor(x >> 1, 3988292384 * (x & 1)))[1]"
+    digits = f"list_transform(range(1, length({column}::varchar) + 1), lambda _at: ascii(substr({column}::varchar, _at::int, 1))::bigint)"
+    folded = f"xor(4294967295, list_reduce(list_prepend(4294967295::bigint, {digits}), lambda crc, b: xor(crc >> 8, {bits})))"
+    return f"case when {column} is not null then {folded} end"
+
+
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of each document. The measures are written once, as hosts and documents both read them."""
     rows = written(hostrules.measured(documents(spark, sf_dir).select("doc_id", "source", "text")).drop("text"), "op6")
@@ -146,6 +156,40 @@ def op9_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op9_crf_language"] = op9_crf_language
 
 
+def op13_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by pairs of words; rounded to millionths, as sums of logarithms differ in their last digits with the order of adding."""
+    docs = documents(spark, sf_dir)
+    rows = katz.scores(docs, ~katz.held_out(docs["doc_id"]))
+    return rows.select("doc_id", (~F.col("learnt")).alias("held_out"), "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
+
+
+QUERIES["op13_katz_scores"] = op13_katz_scores
+ORACLES["op13_katz_scores"] = rf"""
+with d as (select row_number() over () as rid, doc_id, coalesce(({crc_sql('doc_id')}) % 7 = 2, false) as held_out,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+w as (select rid, held_out, list_append(regexp_extract_all(text, '[^ 	-
+]+'), ' ') as words from d),
+t as (select rid, held_out, unnest(words) as w, unnest(list_prepend(null, words[:-2])) as h from w),
+u as (select w, count(*) as c from t where not held_out group by w),
+b as (select h, w, count(*) as c from t where not held_out and h is not null group by h, w),
+n as (select sum(c)::bigint as total, count(*) as v from u),
+s1 as (select 1 + regr_slope(ln(n), ln(c)) as s from (select c, count(*) as n from u where c <= 6 group by c)),
+s2 as (select 1 + regr_slope(ln(n), ln(c)) as s from (select c, count(*) as n from b where c <= 6 group by c)),
+d1 as (select {", ".join(f"((1 + 1 / {r}::double) ** s - 6 ** s) / (1 - 6 ** s) as d{r}" for r in range(1, 6))} from s1),
+d2 as (select {", ".join(f"((1 + 1 / {r}::double) ** s - 6 ** s) / (1 - 6 ** s) as d{r}" for r in range(1, 6))} from s2),
+p1 as (select w, c, (case c {" ".join(f"when {r} then {r} * d{r}" for r in range(1, 6))} else c - 0.01::double end) / total as p from u, d1, n),
+k2 as (select h, w, c, case c {" ".join(f"when {r} then {r} * d{r}" for r in range(1, 6))} else c - 0.01::double end as kept from b, d2),
+a as (select h, sum(k2.c) as ch, (1 - sum(kept) / sum(k2.c)) / (1 - sum(p)) as alpha from k2 join p1 using (w) group by h),
+r as (select 1 - sum(p) as rest from p1),
+s as (select rid, t.w, coalesce(p1.c, 0) as c1,
+             case when k2.c is not null then kept / ch else coalesce(alpha, 1) * coalesce(p1.p, rest) end as p
+      from t cross join r left join p1 on p1.w = t.w left join a on a.h = t.h left join k2 on k2.h = t.h and k2.w = t.w),
+q as (select rid, count(*) as n_tokens, count(*) filter (where c1 > 0) as n_known, sum(log10((c1 + 1) / (total + v + 1)::double)) as base_score,
+             sum(log10(p)) as score from s, n group by rid)
+select doc_id, held_out, n_tokens, n_known, total as train_tokens, round(base_score, 6) as base_score, round(score, 6) as score from q join d using (rid), n
+"""
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
