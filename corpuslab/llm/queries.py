@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpuslab.llm import bpe, gam, hostrules, katz, langid, minhash, mixing, pii, sharding, simhash, urlfilter
+from corpuslab.llm import bpe, gam, hostrules, katz, langid, minhash, mixing, pii, runs, sharding, simhash, urlfilter
 from corpuslab.llm.common import crc_of_id, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,6 +156,14 @@ def op9_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op9_crf_language"] = op9_crf_language
 
 
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+    return runs.repeated_stretches(documents(spark, sf_dir), plant=True).select(*columns)
+
+
+QUERIES["op12_word_runs"] = op12_word_runs
+
+
 def op13_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores by pairs of words; rounded to millionths, as sums of logarithms differ in their last digits with the order of adding."""
     docs = documents(spark, sf_dir)
