@@ -44,6 +44,8 @@ from corpuslab.llm.common import Scratch, crc_of_id, fields, mix, word_hashes, w
 #: Tokens of a block and n-grams of a bucket, about.
 BLOCK_TOKENS = 4_000_000
 BUCKET_KEYS = 1_500_000
+#: Tokens of a block that are evaluated at a time.
+STEP = 1 << 18
 #: Occurrences of a context that one bucket takes.
 HOT = 500_000
 #: Counts up to K are discounted as Good and Turing say, those above by so much of one count.
@@ -115,30 +117,34 @@ class Block:
 
     def __init__(self, row: pa.Table):
         one = {c: row.column(c)[0].as_py() for c in row.column_names}
-        self.number, self.ids, self.words, self.tokens = one["block"], one["ids"], unpack(one["words"]), unpack(one["tokens"], np.uint32).astype(np.int64)
+        self.number, self.ids, self.words, self.tokens = one["block"], one["ids"], unpack(one["words"]), unpack(one["tokens"], np.uint32).view(np.int32)
         lengths = np.array(one["lengths"])
         self.starts = np.r_[0, np.cumsum(lengths)[:-1]]
         self.lengths, self.learnt = lengths, np.repeat(np.array(one["learnt"], bool), lengths)
-        self.depth = np.arange(len(self.tokens)) - np.repeat(self.starts, lengths)
         # of order 1: number at each token, hashes, numbers of contexts
         self.at, self.hashes, self.contexts = [None, self.tokens], [None, self.words], [None, np.zeros(len(self.words), np.int64)]
         self.counts: list[np.ndarray | None] = [None]
 
     def grow(self) -> None:
-        """One order more."""
+        """One order more. Numbers take four bytes at each token, as a block's tokens are few enough."""
         k = len(self.at)
-        valid = np.flatnonzero(self.depth >= k - 1)
-        pair = self.at[k - 1][valid - 1] * len(self.words) + self.tokens[valid]
+        deep = np.ones(len(self.tokens), bool)
+        for j in range(k - 1):  # the first k - 1 tokens of each text
+            deep[self.starts[self.lengths > j] + j] = False
+        valid = np.flatnonzero(deep)
+        pair = self.at[k - 1][valid - 1] * np.int64(len(self.words)) + self.tokens[valid]
         order = np.argsort(pair, kind="stable")
         pair = pair[order]
         new = np.r_[True, pair[1:] != pair[:-1]] if len(pair) else np.zeros(0, bool)
-        at = np.full(len(self.tokens), -1, np.int64)
-        at[valid[order]] = np.cumsum(new) - 1
-        context, word = np.divmod(pair[new], max(1, len(self.words)))
+        pair, valid = pair[new], valid[order]
+        del order
+        at = np.full(len(self.tokens), -1, np.int32)
+        at[valid] = np.cumsum(new, dtype=np.int32) - 1
+        del valid, new
+        context, word = np.divmod(pair, max(1, len(self.words)))
         self.at.append(at)
         self.contexts.append(context)
         self.hashes.append(mix(self.hashes[k - 1][context] * GOLDEN + self.words[word]))
-        self.words_of = word
 
     def asked(self, k: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         """The n-grams of order k that are counted elsewhere, by bucket, and where each bucket begins. Those with an unseen context need no counting."""
@@ -329,23 +335,27 @@ def scores(docs: DataFrame, learnt: Column, order: int = 2, id_col: str = "doc_i
         block = told(row, answers, buckets, order)
         given = answers.filter(pc.is_valid(answers["context"]))
         at = {k: given.filter(pc.equal(given["k"], k)) for k in range(2, order + 1)}
-        c = block.counts[1][block.tokens]
+        size = len(block.tokens)
+        known, base, value = np.zeros(size, bool), np.zeros(size), np.zeros(size)
+        names = [None, None, *[at[k]["context"].to_numpy().view(np.uint64) for k in range(2, order + 1)]]
+        sorts = [None if x is None else np.argsort(x) for x in names]
         with np.errstate(divide="ignore", invalid="ignore"):
-            value = np.log10(np.where(c > 0, kept_count(c, discounts[0]) / max(1, total), unknown))
-            base = np.log10((c + 1) / (total + distinct + 1))
-            for k in range(2, order + 1):
-                names, alphas = at[k]["context"].to_numpy().view(np.uint64), at[k]["alpha"].to_numpy()
-                sort = np.argsort(names)
-                some = np.flatnonzero(block.at[k] >= 0)
-                gram = block.at[k][some]
-                context = block.contexts[k][gram]
-                seen, before = block.counts[k][gram], block.counts[k - 1][context]
-                back = np.flatnonzero((seen == 0) & (before > 0))
-                value[some[seen > 0]] = np.log10(kept_count(seen[seen > 0], discounts[k - 1]) / before[seen > 0])
-                if len(back):
-                    value[some[back]] += np.log10(alphas[sort][np.searchsorted(names[sort], block.hashes[k - 1][context[back]])])
+            for part in (slice(a, a + STEP) for a in range(0, size, STEP)):
+                c = block.counts[1][block.tokens[part]]
+                known[part], base[part] = c > 0, np.log10((c + 1) / (total + distinct + 1))
+                value[part] = np.log10(np.where(c > 0, kept_count(c, discounts[0]) / max(1, total), unknown))
+                for k in range(2, order + 1):
+                    some = np.flatnonzero(block.at[k][part] >= 0)
+                    gram = block.at[k][part][some]
+                    context, some = block.contexts[k][gram], some + part.start
+                    seen, before = block.counts[k][gram], block.counts[k - 1][context]
+                    back = np.flatnonzero((seen == 0) & (before > 0))
+                    value[some[seen > 0]] = np.log10(kept_count(seen[seen > 0], discounts[k - 1]) / before[seen > 0])
+                    if len(back):
+                        place = sorts[k][np.searchsorted(names[k], block.hashes[k - 1][context[back]], sorter=sorts[k])]
+                        value[some[back]] += np.log10(at[k]["alpha"].to_numpy()[place])
         add = lambda x: np.add.reduceat(x, block.starts)
-        columns = [block.ids, row.column("learnt")[0].as_py(), block.lengths, add((c > 0).astype(np.int64)), np.full(len(block.ids), total), add(base), add(value)]
+        columns = [block.ids, row.column("learnt")[0].as_py(), block.lengths, add(known.astype(np.int64)), np.full(len(block.ids), total), add(base), add(value)]
         return pa.Table.from_arrays([pa.array(x, t.type) for x, t in zip(columns, out, strict=True)], schema=out)
 
     told_all = answers if weights is None else answers.union(weights)
