@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpuslab.llm import bpe, gam, hostrules, katz, langid, minhash, mixing, pii, runs, sharding, simhash, urlfilter
+from corpuslab.llm import bpe, gam, hostrules, katz, langid, minhash, mixing, pii, runs, sharding, simhash, tries, urlfilter
 from corpuslab.llm.common import crc_of_id, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,6 +156,30 @@ def op9_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op9_crf_language"] = op9_crf_language
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.rebuilt_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+QUERIES["op11_prefix_trie"] = op11_prefix_trie
+ORACLES["op11_prefix_trie"] = rf"""
+with t as (select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text,
+                  row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos
+           from conversations where conv_id is not null),
+k as (select c, pos, md5(length(role) || ':' || role || text) as key, strlen(text) as bytes from t),
+i as (select c, c - c % 5 as base, ({crc_sql('c')}) % 9 as h from (select distinct c from t)),
+r as (select i.c, 0 as part, pos, key, bytes from i join k on k.c = base and pos <= h union all select i.c, 1, pos, key, bytes from i join k on k.c = i.c and pos > h),
+o as (select *, row_number() over w as d, md5(string_agg(key, '' order by part, pos) over w) as node from r window w as (partition by c order by part, pos)),
+m as (select c, d, node, bytes from o union all select c, 0, '', 0 from i),
+l as (select *, lag(node) over (partition by c order by d) as up, lead(node) over (partition by c order by d) is null as ends from m),
+n as (select node, min(up) as up, min(d) as depth, min(c) as conv_id, count(*) as n_convs, max(bytes) as bytes, string_agg(c::varchar, ',' order by c) filter (where ends) as ids from l group by node),
+ch as (select up as node, count(*) as n_children from n where up is not null group by up),
+a as (select distinct x.node as top, y.node as node from m x join m y on x.c = y.c and y.d >= x.d),
+s as (select top as node, count(*) filter (where n_children is null) as n_leaves, sum((n_convs - 1) * bytes) as saved from a join n using (node) left join ch using (node) group by top)
+select n.conv_id, n.depth::bigint as depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(n_children, 0) as n_children, n_leaves, saved::bigint as saved_tokens,
+       sha256(coalesce(n.ids, '')) as ends_sha256 from n join s using (node) left join ch using (node) left join n p on p.node = n.up
+"""
+
+
 def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
     return runs.repeated_stretches(documents(spark, sf_dir), plant=True).select(*columns)
