@@ -42,8 +42,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from corpuslab.llm.common import Scratch, crc_of_id, fields, mix, word_hashes, words_of, written
 
 #: Tokens of a block and n-grams of a bucket, about.
-BLOCK_TOKENS = 4_000_000
-BUCKET_KEYS = 1_500_000
+BLOCK_TOKENS = 2_200_000
+BUCKET_KEYS = 1_000_000
 #: Tokens of a block that are evaluated at a time.
 STEP = 1 << 18
 #: Occurrences of a context that one bucket takes.
@@ -115,7 +115,8 @@ def packed_blocks(docs: DataFrame, learnt: Column, id_col: str, text_col: str, b
 class Block:
     """A block's n-grams: for each order the local number of the n-gram that ends at each token (-1: the text is too short before it)."""
 
-    def __init__(self, row: pa.Table):
+    def __init__(self, row: pa.Table, hot: int):
+        self.hot = hot
         one = {c: row.column(c)[0].as_py() for c in row.column_names}
         self.number, self.ids, self.words, self.tokens = one["block"], one["ids"], unpack(one["words"]), unpack(one["tokens"], np.uint32).view(np.int32)
         lengths = np.array(one["lengths"])
@@ -153,7 +154,7 @@ class Block:
         else:
             seen = self.counts[k - 1][self.contexts[k]]
             some = np.flatnonzero(seen > 0)
-            spread = (seen[some] // HOT + 1).astype(np.uint64)
+            spread = (seen[some] // self.hot + 1).astype(np.uint64)
             bucket = mix(self.hashes[k - 1][self.contexts[k][some]] + (self.hashes[k][some] >> np.uint64(20)) % spread * GOLDEN) % np.uint64(buckets)
         bucket = bucket.astype(np.uint16 if buckets < 65536 else np.uint64)
         order = np.argsort(bucket, kind="stable")
@@ -184,13 +185,13 @@ class Block:
         self.counts.append(counts)
 
 
-def told(block: pa.Table, answers: pa.Table, buckets: list[int], orders: int) -> Block:
+def told(block: pa.Table, answers: pa.Table, buckets: list[int], orders: int, hot: int) -> Block:
     """The block with its n-grams up to so many orders, and the counts of those that have been answered."""
     found: dict[int, dict[int, bytes]] = {}
     for k, b, counted in zip(*(answers.column(c).to_pylist() for c in ("k", "bucket", "counts")), strict=True):
         if counted is not None:
             found.setdefault(k, {})[b] = counted
-    out = Block(block)
+    out = Block(block, hot)
     for k in range(1, orders + 1):
         if k > 1:
             out.grow()
@@ -199,12 +200,12 @@ def told(block: pa.Table, answers: pa.Table, buckets: list[int], orders: int) ->
     return out
 
 
-def asking(k: int, buckets: list[int], here: int, total: int):
+def asking(k: int, buckets: list[int], here: int, total: int, hot: int):
     """Functions from a block (and its answers so far) to its rows of SENT for order k; buckets: of the orders before, here: of this one."""
     sent = to_arrow_schema(fields(SENT))
 
     def ask(block: pa.Table, answers: pa.Table) -> pa.Table:
-        rows = list(told(block, answers, buckets, k).sent(k, here, total))
+        rows = list(told(block, answers, buckets, k, hot).sent(k, here, total))
         return pa.Table.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), sent, strict=True)], schema=sent) if rows else sent.empty_table()
 
     def ask_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +297,7 @@ def context_weights(counted: DataFrame, discounts: np.ndarray) -> DataFrame:
     return asked.join(sums.select("context", alpha.alias("alpha")), "context").select("block", "context", "alpha")
 
 
-def scores(docs: DataFrame, learnt: Column, order: int = 2, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+def scores(docs: DataFrame, learnt: Column, order: int = 2, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, bucket_keys: int = BUCKET_KEYS, hot: int = HOT) -> DataFrame:
     """id, learnt, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability): a row for each row of docs.
 
     learnt says which rows the model learns from; all are scored. base_score is that of counts of single words plus one.
@@ -309,7 +310,7 @@ def scores(docs: DataFrame, learnt: Column, order: int = 2, id_col: str = "doc_i
     answers = weights = None
     for k in range(1, order + 1):
         here = max(1, -(-(sizes["words" if k == 1 else "tokens"] or 0) // bucket_keys))
-        ask, ask_first = asking(k, list(buckets), here, total)
+        ask, ask_first = asking(k, list(buckets), here, total, hot)
         if k == 1:
             asked = blocks.mapInArrow(ask_first, fields(SENT))
         else:
@@ -332,7 +333,7 @@ def scores(docs: DataFrame, learnt: Column, order: int = 2, id_col: str = "doc_i
     out = to_arrow_schema(kind)
 
     def evaluate(row: pa.Table, answers: pa.Table) -> pa.Table:
-        block = told(row, answers, buckets, order)
+        block = told(row, answers, buckets, order, hot)
         given = answers.filter(pc.is_valid(answers["context"]))
         at = {k: given.filter(pc.equal(given["k"], k)) for k in range(2, order + 1)}
         size = len(block.tokens)

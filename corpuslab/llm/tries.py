@@ -204,24 +204,28 @@ def shard_nodes(rows: list[dict]) -> list[tuple]:
     return out
 
 
-def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Nodes of sorted sequences, a shard at a time."""
-    out = to_arrow_schema(fields(NODE))
-    rows: list[dict] = []
-    size = 0
-
-    def made() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*shard_nodes(rows), strict=True), out, strict=True)], schema=out)
-
-    for batch in batches:
-        for r in batch.to_pylist():
-            if size + len(r["keys"]) + 1 > SHARD_TURNS and rows:
-                yield made()
-                rows, size = [], 0
-            rows.append(r)
-            size += len(r["keys"]) + 1
-    if rows:
-        yield made()
+def shards(shard_turns: int):
+    """A function from sorted sequences to their nodes, a shard at a time."""
+
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = to_arrow_schema(fields(NODE))
+        rows: list[dict] = []
+        size = 0
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*shard_nodes(rows), strict=True), out, strict=True)], schema=out)
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if size + len(r["keys"]) + 1 > shard_turns and rows:
+                    yield made()
+                    rows, size = [], 0
+                rows.append(r)
+                size += len(r["keys"]) + 1
+        if rows:
+            yield made()
+
+    return nodes
 
 
 def merged(nodes: DataFrame) -> DataFrame:
@@ -238,7 +242,7 @@ def merged(nodes: DataFrame) -> DataFrame:
     return one.drop("n_leaves", "saved_tokens", "path", "more", *TAIL).join(whole, "key")
 
 
-def hashed_ids(ends: DataFrame) -> DataFrame:
+def hashed_ids(ends: DataFrame, chunk: int) -> DataFrame:
     """end_key, ends_sha256: SHA-256 of the decimal ids of each end, ascending, comma-joined. Ids are joined in many tasks; one hashes their chunks one after the other."""
     n = int(ends.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -246,7 +250,7 @@ def hashed_ids(ends: DataFrame) -> DataFrame:
         key, ids, size, rows = None, [], 0, []
         for batch in batches:
             for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if k != key or size > CHUNK:
+                if k != key or size > chunk:
                     if ids:
                         rows.append((key, ids[0], ",".join(map(str, ids))))
                     key, ids, size = k, [], 0
@@ -278,7 +282,7 @@ def hashed_ids(ends: DataFrame) -> DataFrame:
     return parts.repartition(n, "end_key").sortWithinPartitions("end_key", "least").mapInArrow(digests, fields("end_key binary, ends_sha256 string"))
 
 
-def prefix_trie(rows: DataFrame, ids: DataFrame, band: int = BAND) -> DataFrame:
+def prefix_trie(rows: DataFrame, ids: DataFrame, band: int = BAND, shard_turns: int = SHARD_TURNS, chunk: int = CHUNK) -> DataFrame:
     """conv_id (least member), depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256: a row for each node.
 
     rows: conv, pos (rising), key, bytes; ids: conv, all conversations, those without turns too.
@@ -298,7 +302,7 @@ def prefix_trie(rows: DataFrame, ids: DataFrame, band: int = BAND) -> DataFrame:
         else:
             part = part.join(tails, "end_key", "left")
         dealt = part.drop("band").repartitionByRange(n, "p", "keys").sortWithinPartitions("p", "keys")
-        nodes = scratch.cut(dealt.mapInArrow(shards, fields(NODE)))
+        nodes = scratch.cut(dealt.mapInArrow(shards(shard_turns), fields(NODE)))
         upper = scratch.cut(merged(nodes))
         columns = ["parent_key", "end_key", "depth", "conv_id", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens"]
         mine = nodes.filter(~F.col("edge")).select(*columns)
@@ -310,14 +314,14 @@ def prefix_trie(rows: DataFrame, ids: DataFrame, band: int = BAND) -> DataFrame:
         whole, known = (mine, names) if whole is None else (whole.unionByName(mine), known.unionByName(names))
     lost = whole.filter("parent_conv_id is null and depth > 0").drop("parent_conv_id").join(known.withColumnRenamed("key", "parent_key"), "parent_key").withColumnRenamed("up", "parent_conv_id")
     every = whole.filter("parent_conv_id is not null or depth = 0").unionByName(lost)
-    ends = hashed_ids(seqs.filter("last").select("end_key", "conv"))
+    ends = hashed_ids(seqs.filter("last").select("end_key", "conv"), chunk)
     out = every.join(ends, "end_key", "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.lit(hashlib.sha256(b"").hexdigest())))
     result = written(out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"), "op11")
     scratch.drop()
     return result
 
 
-def rebuilt_trie(table: DataFrame, band: int = BAND) -> DataFrame:
+def rebuilt_trie(table: DataFrame, band: int = BAND, shard_turns: int = SHARD_TURNS, chunk: int = CHUNK) -> DataFrame:
     """The trie of the rebuilt conversations of a table with conv_id, turn, role and text."""
     rows = written(turns(table), "op11-turns")
-    return prefix_trie(rebuilt(rows), rows.select("conv").distinct(), band)
+    return prefix_trie(rebuilt(rows), rows.select("conv").distinct(), band, shard_turns, chunk)
