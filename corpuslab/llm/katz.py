@@ -27,6 +27,7 @@ row, in a block of its own.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -112,6 +113,13 @@ def packed_blocks(docs: DataFrame, learnt: Column, id_col: str, text_col: str, b
     return docs.select(id_col, learnt.alias("_learnt"), text_col).mapInArrow(packed, kind)
 
 
+def bucketed(blocks: DataFrame, name: str, path: str) -> DataFrame:
+    """The blocks as a table that is bucketed by block: answers are brought to the blocks, which are never shuffled."""
+    spark = blocks.sparkSession
+    blocks.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 class Block:
     """A block's n-grams: for each order the local number of the n-gram that ends at each token (-1: the text is too short before it)."""
 
@@ -304,7 +312,7 @@ def scores(docs: DataFrame, learnt: Column, order: int = 2, id_col: str = "doc_i
     """
     id_type = docs.schema[id_col].dataType
     scratch = Scratch(docs.sparkSession, "op13")
-    blocks = scratch.cut(packed_blocks(docs, learnt, id_col, text_col, block_tokens))
+    blocks = bucketed(packed_blocks(docs, learnt, id_col, text_col, block_tokens), name := f"op13_{uuid.uuid4().hex}", f"{scratch.path}/blocks")
     sizes = blocks.agg(F.sum("n_words").alias("words"), F.sum("n_tokens").alias("tokens")).first()
     buckets, discounts, total, distinct = [0], [], 0, 0
     answers = weights = None
@@ -361,6 +369,7 @@ def scores(docs: DataFrame, learnt: Column, order: int = 2, id_col: str = "doc_i
 
     told_all = answers if weights is None else answers.union(weights)
     result = written(blocks.groupBy("block").cogroup(told_all.groupBy("block")).applyInArrow(evaluate, kind), "op13")
+    docs.sparkSession.sql(f"drop table {name}")
     scratch.drop()
     return result
 

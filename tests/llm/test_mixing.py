@@ -131,7 +131,7 @@ def test_a_solve_that_does_not_settle_says_so(spark, monkeypatch):
     sizes = spark.createDataFrame([(x, k, s) for k, x, s in corpus(4, 300)], "source string, doc_id long, size long")
     monkeypatch.setattr(mixing, "NEWTON_STEPS", 0)
     with warnings.catch_warnings(), pytest.raises((RuntimeError, UserWarning), match="still off"):
-        warnings.simplefilter("error")
+        warnings.simplefilter("error", UserWarning)
         mixing.solved(sizes.select("source", "size"))
 
 
