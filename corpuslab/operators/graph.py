@@ -69,17 +69,26 @@ def maximum_tree(edges: DataFrame) -> DataFrame:
         labels = kept(labels.join(roots, labels["c"] == roots["_c"], "left").select("id", F.coalesce("up", "c").alias("c")))
 
 
-def label_propagation(edges: DataFrame, rounds: int = 8) -> DataFrame:
-    """id, community: each vertex takes the label with the most weight among its neighbours and itself, the least of ties; all at once, so many rounds."""
+def label_propagation(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """id, community: each vertex takes the label with the most weight among its neighbours and itself, the least of ties, all at once, until no label changes.
+
+    Labels that come back to where they were two rounds before (vertices that swap for ever) end it as well: the lesser label of both rounds stays. It is an
+    error if neither has happened after so many rounds.
+    """
     both = kept(edges.select("src", "dst", "weight").union(edges.select("dst", "src", "weight")))
     loops = both.groupBy("src").agg(F.max("weight").alias("weight")).select("src", F.col("src").alias("dst"), "weight")
     both = kept(both.union(loops.select("src", "dst", "weight")))
-    labels = kept(both.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id")))
+    labels = kept(both.select(F.col("src").alias("id")).distinct().withColumns({"community": F.col("id"), "before": F.col("id")}))
     for _ in range(rounds):
         votes = both.join(labels, both["dst"] == labels["id"]).groupBy("src", "community").agg(F.sum("weight").alias("w"))
         best = votes.groupBy("src").agg(F.min(F.struct((-F.round("w", 9)).alias("neg"), "community")).alias("b"))
-        labels = kept(best.select(F.col("src").alias("id"), F.col("b.community").alias("community")))
-    return labels
+        after = best.select(F.col("src").alias("id"), F.col("b.community").alias("next")).join(labels, "id")
+        after = kept(after.select("id", F.col("next").alias("community"), F.col("community").alias("before"), (F.col("next") != F.col("community")).alias("moved"), (F.col("next") != F.col("before")).alias("new")))
+        seen = after.agg(F.max("moved").alias("moved"), F.max("new").alias("new")).first()
+        labels = after.select("id", "community", "before")
+        if not seen["moved"] or not seen["new"]:
+            return labels.select("id", F.least("community", "before").alias("community"))
+    raise RuntimeError(f"labels still change after {rounds} rounds")
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:

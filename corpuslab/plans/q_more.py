@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from corpuslab.functions import text as T
 from corpuslab.operators import assoc as A
 from corpuslab.operators import chd as CHD
+from corpuslab.operators import communities as C
 from corpuslab.operators import dedup as D
 from corpuslab.operators import factor as X
 from corpuslab.operators import frames as R
@@ -29,13 +30,19 @@ def gr_max_tree(spark, d):
 
 @query("gr_communities")
 def gr_communities(spark, d):
+    return C.louvain(word_graph(spark, d))
+
+
+@query("gr_propagation")
+def gr_propagation(spark, d):
     return G.label_propagation(G.kept(word_graph(spark, d)))
 
 
 @query("gr_modularity")
 def gr_modularity(spark, d):
     edges = G.kept(word_graph(spark, d))
-    return rounded(G.modularity(edges, G.label_propagation(edges)))
+    found = [G.modularity(edges, f(edges)).withColumn("method", F.lit(name)) for name, f in (("louvain", C.louvain), ("propagation", G.label_propagation))]
+    return rounded(found[0].unionByName(found[1]))
 
 
 SIM = f"with {TOK}, c as (select doc_id, token as term, count(*) as n from tok group by all), t as (select term, count(*) as df, sum(n) as s from c group by term order by s desc, term limit 100), k as (select doc_id, term, df from c join t using (term)), e as (select x.term as src, y.term as dst, round(count(*)::double / (x.df + y.df - count(*)), 8) as weight from k x join k y using (doc_id) where x.term < y.term group by x.term, y.term, x.df, y.df having count(*)::double / (x.df + y.df - count(*)) > 0.05)"
