@@ -3,21 +3,21 @@
 A level moves vertices between communities until no move promises more than a least gain of modularity, and then folds each community into one
 vertex of a smaller graph. At last the vertices of the first graph may move once more from where the levels have put them.
 
-Moves of a round are made at once, and yet none can undo another. By a hash that changes with the round a community either gives or takes. A move
-v: A -> B, A giving and B taking, is worth
+Moves of a round are made at once, and yet none can undo another. A community gives if the best of all moves at it leaves it, else it takes; the best
+move of all is always possible. A move v: A -> B, A giving and B taking, is worth
 
     (k(v, B) - k(v, A)) / m + k(v) * (S(A) - k(v) - S(B)) / (2 * m^2)
 
 (m the weight of all edges, k(v, C) that of the edges between v and C, k(v) that of all edges at v, S(C) the sum of k over C). Two moves that
 share A or B change each other's worth by their edge, which never lowers it, and by - k(v) * k(u) / (2 * m^2). So with the moves of a community
 ordered by worth, a move is made if its worth is still positive after k(v) * (sum of k over the earlier ones that leave A or enter B) / (2 * m^2)
-has been taken off. The modularity of the graph then rises by at least the sum of these. Ties are ordered by vertex, and hashes are of names, so
-the result does not depend on how rows are dealt out.
+has been taken off. The modularity of the graph then rises by at least the sum of these. Ties are ordered by vertex, so the result does not
+depend on how rows are dealt out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from corpuslab.operators.ranges import running
@@ -53,11 +53,14 @@ def proposals(ways: DataFrame, state: DataFrame, m: float) -> DataFrame:
     return best.select(F.col("a").alias("id"), "k", "c", F.col("b.to").alias("to"), (-F.col("b.neg")).alias("worth"))
 
 
-def chosen(moves: DataFrame, m: float, turn: int, many: bool) -> DataFrame:
+def chosen(moves: DataFrame, m: float, many: bool) -> DataFrame:
     """id, to, sure: the moves of proposals that are made in this round, and what each adds at least. many: more than a task should order."""
-    gives = lambda c: F.xxhash64(F.col(c), F.lit(turn)) % 2 == 0
-    some = moves.filter(gives("c") & ~gives("to"))
     order = [F.desc("worth"), F.asc("id")]
+    rank = F.struct((-F.col("worth")).alias("neg"), F.col("id"))
+    leaves, enters = moves.groupBy("c").agg(F.min(rank).alias("out")), moves.groupBy(F.col("to").alias("c")).agg(F.min(rank).alias("in"))
+    roles = leaves.join(enters, "c", "left").select("c", (F.col("in").isNull() | (F.col("out") <= F.col("in"))).alias("gives"))
+    takes = roles.select(F.col("c").alias("to"), F.col("gives").alias("target_gives"))
+    some = moves.join(roles.filter("gives").select("c"), "c").join(takes, "to", "left").filter(~F.coalesce("target_gives", F.lit(False))).drop("target_gives")
     if many:
         some = running(some, ["c"], order, {"out_before": F.col("k")}, inclusive=False)
         some = running(some, ["to"], order, {"in_before": F.col("k")}, inclusive=False)
@@ -68,24 +71,25 @@ def chosen(moves: DataFrame, m: float, turn: int, many: bool) -> DataFrame:
     return some.withColumn("sure", sure).filter("sure > 0").select("id", "to", "sure")
 
 
+def told(df: DataFrame, scratch: Scratch, column: str) -> tuple[DataFrame, float, int]:
+    """The rows, written, with the sum of a column and the number of rows that have it, counted in the same job."""
+    seen = Observation()
+    rows = scratch.cut(df.observe(seen, F.sum(column).alias("s"), F.count(column).alias("n")))
+    return rows, seen.get.get("s") or 0.0, seen.get.get("n") or 0
+
+
 def local_moves(ways: DataFrame, state: DataFrame, m: float, scratch: Scratch, least: float) -> tuple[DataFrame, float]:
     """state (id, k, c) after rounds of moves, and by how much modularity has risen at least."""
-    risen, turn, idle = 0.0, 0, False
+    risen = 0.0
     while True:
-        moves = scratch.cut(proposals(ways, state, m))
-        seen = moves.agg(F.sum("worth").alias("hoped"), F.count("*").alias("n")).first()
-        if (seen["hoped"] or 0.0) <= least:
+        moves, hoped, n = told(proposals(ways, state, m), scratch, "worth")
+        if hoped <= least:
+            return state, risen
+        made = chosen(moves, m, n > MOST_IN_TASK)
+        after, gain, _ = told(state.join(made, "id", "left").select("id", "k", F.coalesce("to", "c").alias("c"), "sure"), scratch, "sure")
+        state, risen = after.drop("sure"), risen + gain
+        if gain <= 0:  # only rounding can bring this about: the best move is always made
             return state, risen
-        if idle:  # no giving community met a taking one: the best move alone, which is always safe
-            made = moves.orderBy(F.desc("worth"), "id").limit(1).select("id", "to", F.col("worth").alias("sure"))
-        else:
-            made = chosen(moves, m, turn, seen["n"] > MOST_IN_TASK)
-        after = scratch.cut(state.join(made, "id", "left").select("id", "k", F.coalesce("to", "c").alias("c"), "sure"))
-        gain = after.agg(F.sum("sure").alias("s")).first()["s"] or 0.0
-        state = after.drop("sure")
-        idle = not gain
-        risen += gain
-        turn += 1
 
 
 def louvain(edges: DataFrame, least: float = LEAST_GAIN) -> DataFrame:
@@ -95,7 +99,7 @@ def louvain(edges: DataFrame, least: float = LEAST_GAIN) -> DataFrame:
     """
     scratch = Scratch(edges.sparkSession, "louvain")
     graph = edges.filter("src is not null and dst is not null and weight > 0").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-    graph = graph.agg(F.sum(F.col("weight").cast("double")).alias("weight"))
+    graph = scratch.cut(graph.agg(F.sum(F.col("weight").cast("double")).alias("weight")))
     first = scratch.cut(both_ways(graph))
     m = first.agg(F.sum(F.when(F.col("a") == F.col("b"), 2 * F.col("w")).otherwise(F.col("w"))).alias("s")).first()["s"]
     labels = strengths(first).select("id", F.col("id").alias("c"))

@@ -7,31 +7,43 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslab.operators import vectors as V
+from corpuslab.operators.ranges import quantiles
+from corpuslab.operators.shared import Scratch, written
 
-def neighbours(points: DataFrame, key: str, array_col: str, k: int, cells: int = 16) -> DataFrame:
-    """key, other, d, rank: the k nearest others, by distance and key.
 
-    All points are compared with all, in blocks of a cell each: for sets of a size where an exact search is meant. Each cell keeps its own k
-    nearest first, so no task holds a point's whole list.
+def neighbours(points: DataFrame, key: str, array_col: str, k: int) -> DataFrame:
+    """key, other, d, rank: the k nearest others, by distance and key, found by comparing all with all."""
+    near = V.all_pairs(points.select(F.col(key).alias("v"), F.col(array_col).cast("array<double>").alias("x")), k)
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("v").orderBy("d", "other"))).withColumnRenamed("v", key)
+
+
+def local_outlier_factor(points: DataFrame, key: str, array_col: str, k: int = 10, share: float = 0.05, exact: bool = False) -> DataFrame:
+    """key, lof, outlier: density of the k nearest over one's own; the given share of the largest are outliers.
+
+    Neighbours come from the index of vectors.py, or, exact, from comparing all with all. Equal vectors are each other's first neighbours, at distance 0; they
+    are searched once and counted. A null key, vector or element leaves the row out; fewer than two vectors have no neighbours and no rows.
     """
-    a = points.select(F.col(key), F.col(array_col).cast("array<double>").alias("x"))
-    b = a.select(F.col(key).alias("other"), F.col("x").alias("y"), F.pmod(F.xxhash64(key), F.lit(cells)).alias("cell"))
-    grid = a.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))))
-    d = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
-    rows = grid.join(b, "cell").filter(F.col(key) != F.col("other")).select(key, "cell", "other", d.alias("d"))
-    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy(key, "cell").orderBy("d", "other"))).filter(F.col("_r") <= k)
-    return first.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("d", "other"))).filter(F.col("rank") <= k).select(key, "other", "d", "rank")
-
-
-def local_outlier_factor(points: DataFrame, key: str, array_col: str, k: int = 10, share: float = 0.05) -> DataFrame:
-    """key, lof, outlier: density of the neighbours over one's own; the given share of the largest are outliers."""
-    near = neighbours(points, key, array_col, k)
-    reach = near.groupBy(key).agg(F.max("d").alias("kd"))
-    far = reach.select(F.col(key).alias("other"), F.col("kd").alias("other_kd"))
-    density = near.join(far, "other").groupBy(key).agg((1 / F.greatest(F.avg(F.greatest("d", "other_kd")), F.lit(1e-12))).alias("lrd"))
-    theirs = density.select(F.col(key).alias("other"), F.col("lrd").alias("other_lrd"))
-    lof = near.join(theirs, "other").groupBy(key).agg(F.avg("other_lrd").alias("_l")).join(density, key).select(key, (F.col("_l") / F.col("lrd")).alias("lof"))
-    limit = lof.agg(F.percentile("lof", F.lit(1 - share)).alias("_limit"))
+    distinct = V.distinct_vectors(points, key, array_col)
+    one = Scratch(points.sparkSession, "vectors")
+    vectors = one.cut(distinct)
+    near = V.all_pairs(vectors, k) if exact else V.index(vectors, max(k, V.KEPT))
+    copies = vectors.select(F.col("v").alias("other"), F.col("copies").alias("n"))
+    own = vectors.filter("copies > 1").select("v", F.col("v").alias("other"), F.lit(0.0).alias("d"), (F.col("copies") - 1).alias("n"))
+    rows = near.join(copies, "other").select("v", "other", "d", "n").unionByName(own)
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("v").orderBy("d", "other").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = one.cut(rows.withColumn("w", F.least(F.col("n"), k - before)).filter("w > 0").select("v", "other", "d", "w"))
+    reach = near.groupBy("v").agg(F.max("d").alias("kd"))
+    far = reach.select(F.col("v").alias("other"), F.col("kd").alias("other_kd"))
+    mean = F.sum(F.col("w") * F.greatest("d", "other_kd")) / F.sum("w")
+    density = one.cut(near.join(far, "other").groupBy("v").agg((1 / F.greatest(mean, F.lit(1e-12))).alias("lrd")))
+    theirs = density.select(F.col("v").alias("other"), F.col("lrd").alias("other_lrd"))
+    around = near.join(theirs, "other").groupBy("v").agg((F.sum(F.col("w") * F.col("other_lrd")) / F.sum("w")).alias("_l"))
+    scored = vectors.join(around.join(density, "v").select("v", (F.col("_l") / F.col("lrd")).alias("lof")), "v").select("x", "lof")
+    rows = points.select(F.col(key), F.col(array_col).cast("array<double>").alias("x")).filter(F.col(key).isNotNull())
+    lof = written(rows.join(scored, "x").select(key, "lof"), "lof")
+    one.drop()
+    limit = quantiles(lof, [], "lof", 1 - share, "_limit")  # one row
     return lof.crossJoin(F.broadcast(limit)).select(key, "lof", (F.col("lof") > F.col("_limit")).alias("outlier"))
 
 

@@ -78,8 +78,8 @@ GRAPHS = {
     "karate": [(*map(int, e.split("-")), 1.0) for e in KARATE.split()],
     "cliques": cliques(8, 5),
     "star": [(0, k, 1.0) for k in range(1, 40)],
-    "planted": planted(1),
-    "two parts": planted(2, 2, 15) + [(a + 1000, b + 1000, w) for a, b, w in planted(3, 2, 10)],
+    "planted": planted(1, 4, 12),
+    "two parts": planted(2, 2, 8) + [(a + 1000, b + 1000, w) for a, b, w in planted(3, 2, 7)],
 }
 
 
@@ -100,7 +100,7 @@ def test_no_worse_than_a_plain_louvain(spark, name):
 
 
 def test_dealing_and_ranges_do_not_matter(spark, monkeypatch):
-    edges = planted(7, 3, 12)
+    edges = planted(7, 2, 9)
     one = labels_of(C.louvain(spark.createDataFrame(edges, "src long, dst long, weight double")))
     turned = [(b, a, w / 2) for a, b, w in edges] + [(a, b, w / 2) for a, b, w in edges]
     assert labels_of(C.louvain(spark.createDataFrame(turned, "src long, dst long, weight double").repartition(7))) == one
