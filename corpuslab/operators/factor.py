@@ -1,4 +1,4 @@
-"""Factor analysis, classification and topics.
+"""Factor analysis and classification.
 
 Matrices whose size is a parameter (labels, classes, at most MOST terms, axes) are solved on the driver; everything with a row for each unit stays in Spark.
 """
@@ -6,8 +6,8 @@ Matrices whose size is a parameter (labels, classes, at most MOST terms, axes) a
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.clustering import LDA, KMeans
-from pyspark.ml.feature import PCA, CountVectorizer, StandardScaler
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,18 +78,3 @@ def kmeans(points: DataFrame, array_col: str, key: str, ks: range = range(2, 7),
         return rows.select(key, F.lit(None).cast("int").alias("cluster")).limit(0), 0
     best = max(((ClusteringEvaluator().evaluate((m := KMeans(k=k, seed=seed).fit(rows)).transform(rows)), -k, m) for k in ks), key=lambda x: x[:2])
     return best[2].transform(rows).select(key, F.col("prediction").alias("cluster")), -best[1]
-
-
-def topics(docs: DataFrame, words, k: int = 4, iterations: int = 30, min_docs: int = 2, max_share: float = 0.95, seed: int = 1, vocabulary: int = 20_000, key: str = "doc_id"):
-    """Topic terms (topic, rank, term, weight) and units (key, topic or null where no term was kept, share, terms)."""
-    rows = docs.select(key, words.alias("w"))
-    counted = CountVectorizer(inputCol="w", outputCol="features", minDF=min_docs, maxDF=max_share, vocabSize=vocabulary).fit(rows)
-    vectors = kept(counted.transform(rows).withColumn("terms", F.size("w")).select(key, "terms", "features"))
-    model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online", subsamplingRate=1.0).fit(vectors)  # each iteration sees all documents
-    names = docs.sparkSession.createDataFrame(list(enumerate(counted.vocabulary)), "at int, term string")
-    best = model.describeTopics(10).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t"))
-    described = best.join(names, F.col("t.termIndices") == F.col("at")).select("topic", (F.col("rank") + 1).alias("rank"), "term", F.col("t.termWeights").alias("weight"))
-    shares = model.transform(vectors).select(key, "terms", vector_to_array("topicDistribution").alias("d"))
-    top = F.array_max("d")
-    units = shares.select(key, F.when(top > 0, F.array_position("d", top) - 1).alias("topic"), top.alias("share"), "terms")
-    return described, units

@@ -14,6 +14,7 @@ from corpuslab.operators import lexicon as L
 from corpuslab.operators import outliers as O
 from corpuslab.operators import stats as S
 from corpuslab.operators import tokens as K
+from corpuslab.operators import topics as TM
 from corpuslab.plans.q_stats import rounded
 from corpuslab.plans.q_tokens import TOK, docs, tok
 from corpuslab.plans.registry import query, table
@@ -119,17 +120,17 @@ def sim_cosine_vec(spark, d):
 
 @query("tm_lda")
 def tm_lda(spark, d):
-    return X.topics(docs(spark, d), T.words_lda("text"), 4)[0]
+    return TM.lda(docs(spark, d), T.words_lda("text"), 4)[0]
 
 
 @query("tm_units")
 def tm_units(spark, d):
-    return X.topics(docs(spark, d), T.words_lda("text"), 4)[1]
+    return TM.lda(docs(spark, d), T.words_lda("text"), 4)[1]
 
 
 @query("tm_heat_terms")
 def tm_heat_terms(spark, d):
-    best = X.topics(docs(spark, d), T.words_lda("text"), 4)[0]
+    best = TM.lda(docs(spark, d), T.words_lda("text"), 4)[0]
     top = best.groupBy("term").agg(F.min(F.struct((-F.col("weight")).alias("neg"), "topic")).alias("b"))
     return top.select("term", F.col("b.topic").alias("topic"), (-F.col("b.neg")).alias("weight")).orderBy("topic", F.desc("weight"), "term").limit(100)
 
