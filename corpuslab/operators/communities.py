@@ -17,6 +17,8 @@ depend on how rows are dealt out.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ from corpuslab.operators.shared import Scratch, written
 
 #: Gain of modularity below which a round is the last of its level, and a level the last.
 LEAST_GAIN = 1e-6
+#: Edges of a graph whose rounds one task goes through.
+IN_ONE_TASK = 200_000
 #: Moves at one community that are ordered in one task; beyond it they are ordered by ranges.
 MOST_IN_TASK = 500_000
 
@@ -92,10 +96,82 @@ def local_moves(ways: DataFrame, state: DataFrame, m: float, scratch: Scratch, l
             return state, risen
 
 
-def louvain(edges: DataFrame, least: float = LEAST_GAIN) -> DataFrame:
+def moved_here(a: np.ndarray, b: np.ndarray, w: np.ndarray, c: np.ndarray, m: float, least: float) -> tuple[np.ndarray, float]:
+    """The rounds of local_moves on arrays: communities c of vertices 0, 1, ... in their order, edges (a, b, w) both ways."""
+    n = len(c)
+    k = np.bincount(a, weights=np.where(a == b, 2 * w, w), minlength=n)
+    a, b, w = a[a != b], b[a != b], w[a != b]
+    risen = 0.0
+    while True:
+        s = np.bincount(c, weights=k, minlength=n)
+        pair, at = np.unique(a * n + c[b], return_inverse=True)
+        v, to = np.divmod(pair, n)
+        kin = np.bincount(at, weights=w, minlength=len(pair))
+        own = np.zeros(n)
+        mine = to == c[v]
+        own[v[mine]] = kin[mine]
+        worth = np.round((kin - own[v]) / m + k[v] * (s[c[v]] - k[v] - s[to]) / (2 * m * m), 12)
+        some = np.flatnonzero(~mine & (worth > 0))
+        some = some[np.lexsort((to[some], -worth[some], v[some]))]
+        some = some[np.r_[True, v[some][1:] != v[some][:-1]]] if len(some) else some
+        if worth[some].sum() <= least:
+            return c, risen
+        some = some[np.lexsort((v[some], -worth[some]))]  # the best first
+        place = np.arange(len(some))
+        out, into = np.full(n, len(some)), np.full(n, len(some))
+        np.minimum.at(out, c[v[some]], place)
+        np.minimum.at(into, to[some], place)
+        gives = (out < len(some)) & (out <= into)
+        some = some[gives[c[v[some]]] & ~gives[to[some]]]
+        left, entered, gain = np.zeros(n), np.zeros(n), 0.0
+        after = c.copy()
+        for e in some:
+            x, source, target = v[e], c[v[e]], to[e]
+            sure = worth[e] - k[x] * (left[source] + entered[target]) / (2 * m * m)
+            left[source] += k[x]
+            entered[target] += k[x]
+            if sure > 0:
+                after[x] = target
+                gain += sure
+        c, risen = after, risen + gain
+        if gain <= 0:
+            return c, risen
+
+
+def solved_here(least: float, m: float):
+    """All levels on one small graph, as a function from its edges (a, b, w) to (id, up)."""
+
+    def solve(edges: pd.DataFrame) -> pd.DataFrame:
+        names, at = np.unique(np.concatenate([edges["a"], edges["b"]]), return_inverse=True)
+        a, b, w = at[: len(edges)], at[len(edges) :], edges["w"].to_numpy()
+        first = (a, b, w)
+        label = np.arange(len(names))
+        while True:
+            n = int(max(a.max(), b.max())) + 1
+            c, risen = moved_here(a, b, w, np.arange(n), m, least)
+            if risen <= least:
+                break
+            used, c = np.unique(c, return_inverse=True)
+            label = c[label]
+            one = a <= b
+            pair, group = np.unique(np.minimum(c[a], c[b])[one] * len(used) + np.maximum(c[a], c[b])[one], return_inverse=True)
+            x, y = np.divmod(pair, len(used))
+            sums = np.bincount(group, weights=w[one])
+            loops = x == y
+            a, b, w = np.r_[x, y[~loops]], np.r_[y, x[~loops]], np.r_[sums, sums[~loops]]
+        label, _ = moved_here(*first, label, m, least)
+        least_of = np.full(len(names), len(names))
+        np.minimum.at(least_of, label, np.arange(len(names)))
+        return pd.DataFrame({"id": names, "up": names[least_of[label]]})
+
+    return solve
+
+
+def louvain(edges: DataFrame, least: float = LEAST_GAIN, in_one_task: int = IN_ONE_TASK) -> DataFrame:
     """id, community (its least vertex), of an undirected graph with edges (src, dst, weight >= 0); vertices without edges are not in it.
 
-    Edges that come twice count together, loops count at their vertex; null ends and weights of null or 0 are left out. An empty graph has no rows.
+    A level whose graph has at most in_one_task edges, counted, goes through the same rounds, and those of the levels above it, in one task. Edges that come twice count
+    together, loops count at their vertex; null ends and weights of null or 0 are left out. An empty graph has no rows.
     """
     scratch = Scratch(edges.sparkSession, "louvain")
     graph = edges.filter("src is not null and dst is not null and weight > 0").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
@@ -105,8 +181,14 @@ def louvain(edges: DataFrame, least: float = LEAST_GAIN) -> DataFrame:
     labels = strengths(first).select("id", F.col("id").alias("c"))
     if m:
         m = m / 2
-        ways, labels = first, scratch.cut(labels)
+        ways, labels, levels = first, scratch.cut(labels), 0
         while True:
+            if ways.count() <= 2 * in_one_task:
+                kind = ways.schema["a"].dataType.simpleString()
+                up = ways.groupBy(F.col("w") < 0).applyInPandas(solved_here(least, m), f"id {kind}, up {kind}").withColumnRenamed("id", "c")
+                labels = scratch.cut(labels.join(up, "c").select("id", F.col("up").alias("c")))
+                break
+            levels += 1
             state = scratch.cut(strengths(ways).withColumn("c", F.col("id")))
             moved, risen = local_moves(ways, state, m, scratch, least)
             if risen <= least:
@@ -116,7 +198,8 @@ def louvain(edges: DataFrame, least: float = LEAST_GAIN) -> DataFrame:
             a, b = up.select(F.col("c").alias("a"), F.col("up").alias("src")), up.select(F.col("c").alias("b"), F.col("up").alias("dst"))
             folded = ways.filter("a <= b").join(a, "a").join(b, "b").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
             ways = scratch.cut(both_ways(folded.agg(F.sum("w").alias("weight"))))
-        labels, _ = local_moves(first, scratch.cut(strengths(first).join(labels, "id")), m, scratch, least)
+        if levels:
+            labels, _ = local_moves(first, scratch.cut(strengths(first).join(labels, "id")), m, scratch, least)
     names = labels.groupBy("c").agg(F.min("id").alias("community"))
     found = written(labels.join(names, "c").select("id", "community"), "communities")
     scratch.drop()

@@ -87,11 +87,13 @@ def labels_of(rows):
     return {r.id: r.community for r in rows.collect()}
 
 
-@pytest.mark.parametrize("name", sorted(GRAPHS))
-def test_no_worse_than_a_plain_louvain(spark, name):
+@pytest.mark.parametrize("name, in_one_task", [*[(name, C.IN_ONE_TASK) for name in sorted(GRAPHS)], ("karate", 0)])
+def test_no_worse_than_a_plain_louvain(spark, name, in_one_task):
     edges = GRAPHS[name]
     df = spark.createDataFrame(edges, "src long, dst long, weight double")
-    got = labels_of(C.louvain(df))
+    got = labels_of(C.louvain(df, in_one_task=in_one_task))
+    if not in_one_task:
+        assert got == labels_of(C.louvain(df)) == labels_of(C.louvain(df, in_one_task=len(edges) // 3))  # wherever the rounds are made
     assert set(got) == {v for a, b, _ in edges for v in (a, b)}
     assert all(min(v for v in got if got[v] == c) == c for c in set(got.values()))
     assert quality(edges, got) >= quality(edges, plain_louvain(edges)) - 1e-9
@@ -101,11 +103,11 @@ def test_no_worse_than_a_plain_louvain(spark, name):
 
 def test_dealing_and_ranges_do_not_matter(spark, monkeypatch):
     edges = planted(7, 2, 9)
-    one = labels_of(C.louvain(spark.createDataFrame(edges, "src long, dst long, weight double")))
+    one = labels_of(C.louvain(spark.createDataFrame(edges, "src long, dst long, weight double"), in_one_task=0))
     turned = [(b, a, w / 2) for a, b, w in edges] + [(a, b, w / 2) for a, b, w in edges]
     assert labels_of(C.louvain(spark.createDataFrame(turned, "src long, dst long, weight double").repartition(7))) == one
     monkeypatch.setattr(C, "MOST_IN_TASK", 0)
-    assert labels_of(C.louvain(spark.createDataFrame(edges, "src long, dst long, weight double"))) == one
+    assert labels_of(C.louvain(spark.createDataFrame(edges, "src long, dst long, weight double"), in_one_task=0)) == one
 
 
 def test_loops_nulls_and_nothing(spark):
