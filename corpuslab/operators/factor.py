@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.operators.graph import kept
+from corpuslab.operators.shared import Scratch, written
 
-#: Columns of a correspondence table at most.
+#: Columns of a correspondence table whose matrix of products is formed on the driver; beyond it the sparse table is iterated on.
 MOST = 400
 
 
@@ -36,8 +37,87 @@ def gram(counts: DataFrame, row: str, column: str, n: str = "n") -> tuple[list[s
     return names, mass, s / np.sqrt(np.outer(mass, mass)) - np.sqrt(np.outer(mass, mass)) / mass.sum()
 
 
+def wide_correspondence(counts: DataFrame, row: str, column: str, axes: int = 2, n: str = "n", more: int = 8, most_rounds: int = 60, tolerance: float = 1e-9) -> tuple[DataFrame, DataFrame, list[float]]:
+    """What correspondence gives, for any number of rows and columns: subspace iteration on the sparse table from a random start (by hash of the column).
+
+    With a = n / sqrt(row sum * column sum), a round multiplies (axes + more) column vectors by a and by its transpose, two joins and sums, takes the trivial axis away
+    and makes them orthonormal. Only products of the vectors among themselves reach the driver. Rounds end when no wanted eigenvalue changes by more than the
+    tolerance; most_rounds without that is an error.
+    """
+    scratch = Scratch(counts.sparkSession, "subspace")
+    cells = counts.filter(F.col(n) > 0).groupBy(F.col(row).alias("r"), F.col(column).alias("c")).agg(F.sum(n).cast("double").alias("n"))
+    cells = scratch.cut(cells)
+    by_row, by_column = scratch.cut(cells.groupBy("r").agg(F.sum("n").alias("rm"))), scratch.cut(cells.groupBy("c").agg(F.sum("n").alias("cm")))
+    size = by_column.agg(F.sum("cm").alias("n"), F.count("*").alias("k")).first()
+    total, q = float(size["n"] or 0), min(axes + more, max(0, min(size["k"], by_row.count()) - 1))
+    axes = min(axes, q)
+    names = [f"v{k}" for k in range(q)]
+    cells = scratch.cut(cells.join(by_row, "r").join(by_column, "c").select("r", "c", (F.col("n") / F.sqrt(F.col("rm") * F.col("cm"))).alias("a")))
+
+    def products(df: DataFrame, others: list[str]) -> np.ndarray:
+        one = df.agg(*[F.sum(F.col(x) * F.col(y)).alias(f"{i}_{j}") for i, x in enumerate(names) for j, y in enumerate(others)]).first()
+        return np.array([float(x or 0.0) for x in one]).reshape(len(names), len(others))
+
+    def times(df: DataFrame, m: np.ndarray, made: list[str]) -> DataFrame:
+        rest = [c for c in df.columns if c not in names]
+        return df.select(*rest, *[sum((F.col(x) * float(v) for x, v in zip(names, m[:, j], strict=True)), F.lit(0.0)).alias(a) for j, a in enumerate(made)])
+
+    def straight(df: DataFrame) -> DataFrame:
+        """Without the trivial axis, orthonormal; twice, as once leaves rounding errors."""
+        for _ in range(2):
+            along = products(df.withColumn("t", F.sqrt(F.col("cm") / total)), ["t"])
+            df = df.select("c", "cm", *[(F.col(x) - float(along[k, 0]) * F.sqrt(F.col("cm") / total)).alias(x) for k, x in enumerate(names)])
+            df = scratch.cut(times(df, np.linalg.inv(np.linalg.cholesky(products(df, names) + 1e-300 * np.eye(q))).T, names))
+        return df
+
+    labels = [f"axis{k + 1}" for k in range(axes)]
+    if not q:
+        scratch.drop()
+        return counts.select(row).distinct(), counts.select(column).distinct(), []
+    random = [(F.pmod(F.xxhash64(F.col("c"), F.lit(k)), F.lit(2_000_003)) / 1_000_001.5 - 1).alias(x) for k, x in enumerate(names)]
+    vectors = straight(by_column.select("c", "cm", *random))
+    before = None
+    for _ in range(most_rounds):
+        images = scratch.cut(cells.join(vectors.drop("cm"), "c").groupBy("r").agg(*[F.sum(F.col("a") * F.col(x)).alias(x) for x in names]))
+        values, turn = np.linalg.eigh(products(images, names))
+        values, turn = values[::-1], turn[:, ::-1]
+        if before is not None and np.abs(values[:axes] - before).max() <= tolerance:
+            break
+        before = values[:axes]
+        back = cells.join(images, "r").groupBy("c").agg(*[F.sum(F.col("a") * F.col(x)).alias(x) for x in names])
+        vectors = straight(scratch.cut(back.join(by_column, "c").select("c", "cm", *names)))
+    else:
+        raise RuntimeError(f"eigenvalues still change after {most_rounds} rounds")
+    turn = turn[:, :axes]
+    columns = scratch.cut(times(vectors, turn, labels))
+    largest = columns.agg(*[F.max(F.struct(F.abs(F.round(a, 9)).alias("size"), F.col("c"), F.signum(a).alias("sign"))).alias(a) for a in labels]).first()
+    sign = np.array([largest[a]["sign"] or 1.0 for a in labels])
+    lengths = np.sqrt(np.maximum(values[:axes], 0))
+    columns = columns.select(F.col("c").alias(column), *[(F.col(a) * float(sign[k] * lengths[k]) / F.sqrt(F.col("cm") / total)).alias(a) for k, a in enumerate(labels)])
+    rows = times(images.join(by_row, "r"), turn * sign, labels).select(F.col("r").alias(row), *[(F.col(a) / F.sqrt(F.col("rm") / total)).alias(a) for a in labels])
+    rows, columns = written(rows, "row-axes"), written(columns, "column-axes")
+    scratch.drop()
+    return rows, columns, [float(max(v, 0.0)) for v in values[:axes]]
+
+
+def modalities(docs: DataFrame, variables: list[str], only_variables: list[str] | None = None, only_modalities: list[str] | None = None) -> DataFrame:
+    """docs with variable and modality (variable_value, blanks and stars around taken off, lower case): a row for each variable that has a value.
+
+    Selections are compared in the same form; an empty one selects all.
+    """
+    plain = lambda x: x.strip().lstrip("*").strip().lower()
+    entries = F.array(*[F.struct(F.lit(plain(v)).alias("variable"), F.lower(F.trim(F.col(v).cast("string"))).alias("value")) for v in variables])
+    rows = docs.withColumn("_e", F.explode(entries)).filter(F.coalesce(F.col("_e.value"), F.lit("")) != "")
+    rows = rows.withColumns({"variable": F.col("_e.variable"), "modality": F.concat_ws("_", "_e.variable", F.regexp_replace("_e.value", r"\s+", "_"))}).drop("_e")
+    if only_variables:
+        rows = rows.filter(F.col("variable").isin([plain(v) for v in only_variables]))
+    return rows.filter(F.col("modality").isin([plain(m) for m in only_modalities])) if only_modalities else rows
+
+
 def correspondence(counts: DataFrame, row: str, column: str, axes: int = 2, n: str = "n") -> tuple[DataFrame, DataFrame, list[float]]:
     """Row coordinates (row, axis1..), column coordinates (column, axis1..), eigenvalues; principal coordinates, the largest loading of an axis positive."""
+    if counts.select(column).distinct().limit(MOST + 1).count() > MOST:
+        return wide_correspondence(counts, row, column, axes, n)
     names, mass, s = gram(counts, row, column, n)
     values, vectors = np.linalg.eigh(s)
     order = np.argsort(values)[::-1][: min(axes, len(names))]

@@ -78,6 +78,29 @@ def fa_ca_variables(spark, d):
     return counts.agg(F.round(F.lit(float(sum(values))), 6).alias("inertia"))
 
 
+@query("fa_ca_terms")
+def fa_ca_terms(spark, d):
+    """All terms by sources, with the coordinates of the sources: more terms than a matrix on the driver could hold."""
+    counts = docs(spark, d).select("source", F.explode(T.words_lda("text")).alias("term")).groupBy("source", "term").agg(F.count("*").alias("n"))
+    rows, _, _ = X.wide_correspondence(counts, "source", "term", 2)
+    return rounded(rows, 5)
+
+
+@query("fa_ca_modalities")
+def fa_ca_modalities(spark, d):
+    """Modalities of two variables by class of quality: those of the source make the axes, those of the language are placed among them."""
+    rows = docs(spark, d).join(table(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("class")), "doc_id", "left")
+    rows = X.modalities(rows.withColumn("class", F.coalesce("class", F.lit("none"))), ["source", "lang"]).groupBy("variable", "modality", "class").agg(F.count("*").alias("n"))
+    rows = G.kept(rows)
+    active = rows.filter("variable = 'source'")
+    coordinates, classes, values = X.correspondence(active, "modality", "class", 2)
+    by_class = classes.withColumnRenamed("class", "_c")
+    more = X.supplementary(rows.filter("variable = 'lang'"), "modality", "class", classes, values)
+    kinds = [("active", coordinates, "modality"), ("supplementary", more, "modality"), ("class", by_class, "_c")]
+    parts = [x.select(F.lit(kind).alias("kind"), F.col(c).alias("name"), *[a for a in x.columns if a.startswith("axis")]) for kind, x, c in kinds]
+    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), 5)
+
+
 @query("fa_ca_labels")
 def fa_ca_labels(spark, d):
     from corpuslab.operators.connectors import connector_counts
