@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.functions.pvalues import binom_p_column, chi2_p_column
+from corpuslab.operators.shared import written
 
 
 def pairs(windows: DataFrame) -> DataFrame:
@@ -139,6 +140,22 @@ def term_similarity(counts: DataFrame, measure: str, n_terms: int = 100, unit: s
     return both.select("src", "dst", "a", MEASURES[measure](a, b, c, d).alias("weight")).filter(F.col("weight") > above)
 
 
+def word_similarity(docs: DataFrame, words: Column, measure: str, n_terms: int = 100, unit: str = "doc_id", above: float = 0.0) -> DataFrame:
+    """What term_similarity gives, from the words of each unit's rows: only the n_terms most frequent leave a row, so no table of all (unit, term) is dealt out."""
+    base = docs.select(F.col(unit).alias("u"), words.alias("w"))
+    order = [F.desc("s"), F.asc("term")]
+    top = [r["term"] for r in base.select(F.explode("w").alias("term")).groupBy("term").agg(F.count("*").alias("s")).orderBy(*order).limit(n_terms).collect()]
+    inside = F.array_intersect("w", F.array(*[F.lit(t) for t in top]).cast("array<string>"))
+    rows = base.filter(F.size("w") > 0).select("u", inside.alias("t"))
+    units = written(rows.groupBy("u").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("t")))).alias("items")), "terms-of-units")
+    n = units.count()
+    df = units.select(F.explode("items").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    f1, f2 = (F.broadcast(df.select(F.col("term").alias(w), F.col("df").alias(f))) for w, f in (("w1", "f1"), ("w2", "f2")))  # n_terms rows
+    both = pairs(units).join(f1, "w1").join(f2, "w2").select(F.col("w1").alias("src"), F.col("w2").alias("dst"), F.col("k11").alias("a"), "f1", "f2")
+    a, b, c = F.col("a").cast("double"), (F.col("f1") - F.col("a")).cast("double"), (F.col("f2") - F.col("a")).cast("double")
+    return both.select("src", "dst", "a", MEASURES[measure](a, b, c, F.lit(float(n)) - a - b - c).alias("weight")).filter(F.col("weight") > above)
+
+
 def binomial(counts: DataFrame, n_terms: int = 50, unit: str = "doc_id") -> DataFrame:
     """src, dst, a, p: how likely at least so many units hold both terms, if they were independent."""
     total = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("_s")).orderBy(F.desc("_s"), "term").limit(n_terms)

@@ -62,14 +62,20 @@ def ngrams(words: Column, most: int) -> Column:
 
 
 def counted(units: DataFrame, key: str, terms: Column, min_units: int, max_share: float, vocabulary: int) -> tuple[DataFrame, DataFrame]:
-    """key, ids, n (arrays; empty for a unit without a kept term), and the vocabulary (id, term), terms by rank of total count."""
-    rows = units.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    """key, ids, n (arrays; empty for a unit without a kept term), and the vocabulary (id, term), terms by rank of the number of units (rows, where a unit has several).
+
+    Terms are counted by hash, and spelt only where the hash is kept; no table of all (unit, term) is dealt out.
+    """
+    rows = units.select(key, terms.alias("_t"))
     total = units.count()
-    freq = rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("s"))
-    kept = freq.filter((F.col("df") >= min_units) & (F.col("df") <= max_share * total)).orderBy(F.desc("s"), "term").limit(vocabulary)
-    names = written(kept.select((F.row_number().over(Window.orderBy(F.desc("s"), "term")) - 1).alias("id"), "term"), "vocabulary")
-    packed = rows.join(broadcast_if_small(names, vocabulary), "term").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("t"))
-    packed = packed.select(key, F.col("t.id").alias("ids"), F.col("t.n").alias("n"))
+    freq = rows.select(F.explode(F.array_distinct(F.transform("_t", lambda x: F.xxhash64(x)))).alias("h")).groupBy("h").agg(F.count("*").alias("df"))
+    best = freq.filter((F.col("df") >= min_units) & (F.col("df") <= max_share * total)).orderBy(F.desc("df"), "h").limit(vocabulary)
+    best = written(best, "vocabulary-hashes")
+    spelt = rows.select(F.explode("_t").alias("term")).withColumn("h", F.xxhash64("term")).join(broadcast_if_small(best, vocabulary), "h")
+    named = spelt.groupBy("h", "df").agg(F.min("term").alias("term"))
+    names = written(named.select((F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1).alias("id"), "term"), "vocabulary")
+    packed = rows.select(key, F.explode("_t").alias("term")).join(broadcast_if_small(names, vocabulary), "term").groupBy(key, "id").agg(F.count("*").alias("n"))
+    packed = packed.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("t")).select(key, F.col("t.id").alias("ids"), F.col("t.n").alias("n"))
     empty = units.select(key).distinct().join(packed, key, "left")
     return empty.select(key, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"), F.coalesce("n", F.array().cast("array<bigint>")).alias("n")), names
 

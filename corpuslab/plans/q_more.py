@@ -21,7 +21,7 @@ from corpuslab.plans.registry import query, table
 
 
 def word_graph(spark, d):
-    return A.term_similarity(K.dfm(tok(spark, d)), "jaccard", 100, above=0.05)
+    return A.word_similarity(docs(spark, d), T.words_lower("text"), "jaccard", 100, above=0.05)
 
 
 @query("gr_max_tree")
