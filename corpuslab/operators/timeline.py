@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslab.operators import ranges as R
 from corpuslab.operators.ranges import quantiles, with_group, with_neighbours
 from corpuslab.operators.shared import written
 from corpuslab.operators.windows import islands
@@ -180,6 +181,36 @@ def nearest(points: DataFrame, others: DataFrame, by: str, t: str, at: str, valu
     return rows.select("_p.*", found.alias("near"), F.when(distance <= within, distance).alias("distance"))
 
 
+def word_contexts(points: DataFrame, words: DataFrame, by: str, t: str, within: float = 0.6, before: int = 6, after: int = 8) -> DataFrame:
+    """points with word_n (from 1, in its key's order of t0, t1 and word), delta (t less the word's centre) and context of the timed word nearest to t, null beyond the limit.
+
+    The context is the word with so many before and after it, blanks cleaned, an ellipsis where the key's words go on. The earlier word wins ties; the centre of a word
+    without an end is its start. Points and words are one stream for each key, dealt out by ranges of time, along which the last and the next word are carried: a key
+    with all rows is many tasks. Points without a time, or whose key has no words, get nulls; columns named like the added ones are replaced.
+    """
+    placed = words.filter(F.col("t0").isNotNull()).select(F.col(by).alias("_by"), "word", "t0", "t1", F.coalesce((F.col("t0") + F.col("t1")) / 2, F.col("t0")).alias("_c"))
+    placed = written(R.numbered(placed, ["_by"], ["t0", "t1", "word"], "_n"), "placed")
+    points = points.drop("word_n", "delta", "context")
+    a = points.select(F.col(by).alias("_by"), F.col(t).cast("double").alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_k"), F.struct(*points.columns).alias("_p"))
+    b = placed.select("_by", F.col("_c").alias("_t"), F.lit(0).alias("_side"), F.col("_n").alias("_k"), F.lit(None).cast(a.schema["_p"].dataType).alias("_p"))
+    order, word = ["_t", "_side", "_k"], F.when(F.col("_side") == 0, F.struct("_t", "_k"))
+    rows = R.carried(a.unionByName(b), ["_by"], order, word, lambda v: F.last(v, ignorenulls=True), "_last")
+    rows = R.carried(rows, ["_by"], order, word, lambda v: F.first(v, ignorenulls=True), "_next", forward=False).filter("_side = 1")
+    rows = rows.withColumns({"_l": F.coalesce("_last_own", "_last_far"), "_r": F.coalesce("_next_own", "_next_far")})
+    back, ahead = F.col("_t") - F.col("_l._t"), F.col("_r._t") - F.col("_t")
+    use_last = back.isNotNull() & (ahead.isNull() | (back <= ahead))
+    delta = F.when(use_last, back).otherwise(-ahead)
+    rows = written(rows.select("_by", "_p", F.when(F.abs(delta) <= within, F.when(use_last, F.col("_l._k")).otherwise(F.col("_r._k"))).alias("_w"), delta.alias("_d")), "near-words")
+    wanted = rows.filter("_w is not null").select("_by", "_w").distinct().withColumn("_n", F.explode(F.sequence(F.col("_w") - before, F.col("_w") + after)))
+    around = wanted.join(placed.select("_by", "_n", "word"), ["_by", "_n"]).groupBy("_by", "_w").agg(F.sort_array(F.collect_list(F.struct("_n", "word"))).alias("_x"))
+    around = R.with_group(around, ["_by"], placed.groupBy("_by").agg(F.max("_n").alias("_all")))
+    text = F.trim(F.regexp_replace(F.array_join(F.col("_x.word"), " "), r"\s+", " "))
+    shown = F.concat(F.when(F.col("_w") - before > 1, "… ").otherwise(""), text, F.when(F.col("_w") + after < F.col("_all"), " …").otherwise(""))
+    told = around.select(F.col("_by").alias("_b"), F.col("_w").alias("_v"), shown.alias("context"))
+    out = rows.join(told, rows["_by"].eqNullSafe(told["_b"]) & (rows["_w"] == told["_v"]), "left")
+    return out.select("_p.*", F.col("_w").alias("word_n"), F.when(F.col("_w").isNotNull(), F.col("_d")).alias("delta"), "context")
+
+
 def every_second(segments: DataFrame, by: list[str], text: str = "text") -> DataFrame:
     """by, second, texts: the texts of the segments that cover each second, in order of start."""
     rows = segments.withColumn("second", F.explode(F.sequence(F.floor("start"), F.floor(F.greatest("start", "end")))))

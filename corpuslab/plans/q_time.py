@@ -209,6 +209,14 @@ def jn_asof_word(spark, d):
     return L.nearest(points, others, "user_id", "t", "at", "other", 36000.0).select("event_id", "near", F.round("distance", 4).alias("distance"))
 
 
+@query("jn_word_context", f"with {SP}, w as (select conv_id, start, stop, t, len(t) as n, unnest(range(len(t))) as k from (select *, regexp_split_to_array(trim(text), '[ \\n\\t]+') as t from sp)), x as (select conv_id, t[k + 1] as word, start + k * ((stop - start) / n) as t0, start + (k + 1) * ((stop - start) / n) as t1 from w), y as (select *, (t0 + t1) / 2 as c, row_number() over (partition by conv_id order by t0, t1, word) as n from x), l as (select conv_id, list(word order by n) as words, count(*) as total from y group by 1), p as (select conv_id, unnest(range(0, ceil(max(stop))::bigint + 1, 5)) as t from sp group by 1), j as (select p.conv_id, t, n, t - c as delta, row_number() over (partition by p.conv_id, t order by abs(t - c), n) as r from p join y on y.conv_id = p.conv_id and abs(t - c) <= 0.6) select p.conv_id, p.t, n as word_n, round(delta, 6) as delta, case when n is not null then md5(case when n - 6 > 1 then '… ' else '' end || array_to_string(words[greatest(1, n - 6):n + 8], ' ') || case when n + 8 < total then ' …' else '' end) end as context from p left join (select * from j where r = 1) k on k.conv_id = p.conv_id and k.t = p.t left join l on l.conv_id = p.conv_id")
+def jn_word_context(spark, d):
+    said = speech(spark, d)
+    points = said.groupBy("conv_id").agg(F.max("end").alias("_e")).select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil("_e"), F.lit(5).cast("long"))).alias("t"))
+    out = L.word_contexts(points, L.timed_words(said, "conv_id"), "conv_id", "t")
+    return out.select("conv_id", "t", "word_n", F.round("delta", 6).alias("delta"), F.md5("context").alias("context"))
+
+
 @query("jn_expand_seconds", f"with {SP}, e as (select conv_id, unnest(range(floor(start)::bigint, floor(stop)::bigint + 1)) as second, start, text from sp) select conv_id, second, count(*) as n, md5(string_agg(text, ' ' order by start)) as texts from e group by all")
 def jn_expand_seconds(spark, d):
     out = L.every_second(speech(spark, d), ["conv_id"])

@@ -12,6 +12,7 @@ from corpuslab.operators import dedup as D
 from corpuslab.operators import factor as X
 from corpuslab.operators import graph as G
 from corpuslab.operators import outliers as O
+from corpuslab.operators import timeline as TL
 from corpuslab.operators import policy as Q
 from corpuslab.operators import stats as S
 from corpuslab.operators import tokens as K
@@ -180,3 +181,16 @@ def test_streams_close_their_last_windows(spark):
     whole = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     for name, want in (("stream_sessions", twins.sessions(whole, "ts", "user_id")), ("stream_second_bins", twins.second_bins(whole, "ts", "value", "1 hour"))):
         assert sorted(map(tuple, registry.QUERIES[name](spark, sf).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_words_around_a_time(spark):
+    words = [(k, 0.4 * i, 0.4 * i + 0.4, f"w{i}") for k in ("a", "b") for i in range(30)] + [("c", 5.0, None, " one "), ("c", 5.0, 5.0, "two"), ("d", None, 1.0, "lost")]
+    points = [("a", 6.1, "x"), ("a", 0.0, "x"), ("a", 0.4, "tie"), ("b", 99.0, "far"), ("c", 5.3, "x"), ("c", None, "x"), ("d", 0.5, "x"), ("e", 1.0, "x"), (None, 1.0, "x"), ("a", 6.1, "x")]
+    got = TL.word_contexts(spark.createDataFrame(points, "k string, t double, context string"), spark.createDataFrame(words, "k string, t0 double, t1 double, word string"), "k", "t", 0.6, 2, 3).collect()
+    rows = sorted([(r.k, r.t, r.word_n, r.context) for r in got], key=repr)
+    want = [
+        ("a", 6.1, 16, "… w13 w14 w15 w16 w17 w18 …"), ("a", 6.1, 16, "… w13 w14 w15 w16 w17 w18 …"), ("a", 0.0, 1, "w0 w1 w2 w3 …"), ("a", 0.4, 1, "w0 w1 w2 w3 …"),
+        ("b", 99.0, None, None), ("c", 5.3, 2, "one two"), ("c", None, None, None), ("d", 0.5, None, None), ("e", 1.0, None, None), (None, 1.0, None, None),
+    ]
+    assert [r for r in rows if r[0] != "c"] == sorted([w for w in want if w[0] != "c"], key=repr)
+    assert {r[3] for r in rows if r[0] == "c"} == {"one two", None} and [r.delta for r in got if r.k == "b"] == [None]
