@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions import pvalues as P
 from corpuslab.operators.ranges import numbered, running, running_extreme, with_group
-from corpuslab.operators.shared import broadcast_if_small
+from corpuslab.operators.shared import broadcast_if_small, written
 from corpuslab.operators.windows import average_rank, with_average_rank
 
 
@@ -148,28 +150,65 @@ def ecdf(df: DataFrame, group: str, value: str) -> DataFrame:
     return with_group(rows, [group], counts.groupBy(group).agg(F.sum("c").alias("n"))).select(group, "v", (F.col("upto") / F.col("n")).alias("share"))
 
 
-def ks_permutation(df: DataFrame, group: str, value: str, n: int = 2000, seed: int = 0, key: str = "doc_id", buckets: int = 4096) -> DataFrame:
-    """d, n, p: the share of n relabellings, drawn by hash, whose gap is no smaller; for two groups.
+def drawn(good: np.ndarray, total: int, taken: int, seed: tuple[int, ...]) -> np.ndarray:
+    """For each relabelling how many of `taken` items, out of total with `good` of the first group among them, are of that group: one hypergeometric draw each.
 
-    Every relabelling gives each row a hash; the rows with the least ones are the first group. Where the hash at its edge lies is found from
-    counts of hashes by bucket, so only the rows of one bucket are ordered. Gaps are running sums over distinct values, by ranges.
+    Beyond what the generator takes, a thousand million, the draw is a normal one of the same mean and variance, rounded.
     """
-    rows = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"), F.col(key).alias("_k")).filter("v is not null and not isnan(v)")
+    rnd = np.random.default_rng(seed)
+    if total < 10**9:
+        return rnd.hypergeometric(good, total - good, taken)
+    share = good / total
+    spread = np.sqrt(taken * share * (1 - share) * (total - taken) / max(1, total - 1))
+    least, most = np.maximum(0, taken - (total - good)), np.minimum(taken, good)
+    return np.clip(np.rint(taken * share + spread * rnd.standard_normal(len(good))), least, most).astype(np.int64)
+
+
+def relabelled(n: int, seed: int, na: int, totals: list[int]):
+    """A function from the rows (_part, _i, c) of one range of distinct values to (r, g), the widest gap of each relabelling within the range.
+
+    The ranges are the leaves of a binary tree. At each node the first group's items are shared out between its halves, by a draw that depends on the seed and the node only; so
+    every range finds its own numbers on the way down from the root, and all ranges agree.
+    """
+    ends = np.r_[0, np.cumsum(totals)]
+
+    def gaps(rows: pd.DataFrame) -> pd.DataFrame:
+        part, all_rows = int(rows["_part"].iloc[0]), int(ends[-1])
+        lo, hi, good, before = 0, len(totals), np.full(n, na), np.zeros(n, np.int64)
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            left = drawn(good, int(ends[hi] - ends[lo]), int(ends[mid] - ends[lo]), (seed, lo, hi))
+            if part < mid:
+                hi, good = mid, left
+            else:
+                lo, good, before = mid, good - left, before + left
+        widest, seen, rest = np.zeros(n), int(ends[lo]), int(ends[hi] - ends[lo])
+        for i, c in enumerate(rows.sort_values("_i")["c"].tolist()):
+            x = drawn(good, rest, c, (seed, part, len(totals) + 1, i))
+            good, before, rest, seen = good - x, before + x, rest - c, seen + c
+            widest = np.maximum(widest, np.abs(before / na - (seen - before) / (all_rows - na)))
+        return pd.DataFrame({"r": np.arange(1, n + 1), "g": widest})
+
+    return gaps
+
+
+def ks_permutation(df: DataFrame, group: str, value: str, n: int = 2000, seed: int = 0, buckets: int = 2048) -> DataFrame:
+    """d, n, p: the share of n relabellings, drawn at random by the seed, whose gap is no smaller; for two groups.
+
+    Rows are counted by distinct value first. A relabelling is a hypergeometric number of the first group for each value, drawn down a tree of ranges of values, so the work is
+    distinct values times relabellings, whatever the number of rows, and ranges, of `buckets` values each, are independent tasks. Null and NaN values are left out.
+    """
+    rows = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).filter("v is not null and not isnan(v)")
     real = ks_pairs(rows, "g", "v", with_p=False).select("d", "na", "nb")
-    draws = rows.select("v", "_k").withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("_h", F.xxhash64("_k", "r", F.lit(seed)))
-    draws = draws.withColumn("_b", F.shiftrightunsigned("_h", 64 - (buckets - 1).bit_length()).cast("int")).crossJoin(F.broadcast(real.select("na", "nb")))  # a row
-    counts = draws.groupBy("r", "_b", "na").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy("r").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))  # at most `buckets` rows of each
-    edge = counts.withColumn("_upto", upto).filter("_upto >= na").groupBy("r").agg(F.min(F.struct("_b", (F.col("na") - F.col("_upto") + F.col("c")).alias("rest"))).alias("e"))
-    placed = draws.join(broadcast_if_small(edge), "r")
-    order = F.row_number().over(Window.partitionBy("r", "_b").orderBy("_h", "_k"))
-    inside = placed.filter(F.col("_b") == F.col("e._b")).withColumn("first", order <= F.col("e.rest")).select("r", "v", "na", "nb", "first")
-    outside = placed.filter(F.col("_b") != F.col("e._b")).select("r", "v", "na", "nb", (F.col("_b") < F.col("e._b")).alias("first"))
-    by_value = inside.unionByName(outside).groupBy("r", "v", "na", "nb").agg(F.sum(F.when(F.col("first"), 1).otherwise(0)).alias("x"), F.count("*").alias("c"))
-    sums = running(by_value, ["r"], ["v"], {"sx": F.col("x"), "sc": F.col("c")})
-    gap = F.abs(F.col("sx") / F.col("na") - (F.col("sc") - F.col("sx")) / F.col("nb"))
-    gaps = sums.groupBy("r").agg(F.max(gap).alias("g"))
-    return gaps.crossJoin(F.broadcast(real)).groupBy("d").agg(F.count("*").alias("n"), F.avg((F.col("g") >= F.col("d") - 1e-12).cast("double")).alias("p"))
+    counts = numbered(rows.groupBy("v").agg(F.count("*").alias("c")), [], ["v"], "_i")
+    counts = written(counts.withColumn("_part", F.floor((F.col("_i") - 1) / buckets)).select("_part", "_i", "c"), "values")
+    sizes = [r["c"] for r in counts.groupBy("_part").agg(F.sum("c").alias("c")).orderBy("_part").collect()]  # a number for each range
+    one = real.first()
+    if one is None:
+        return real.select("d", F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("p")).limit(0)
+    gaps = counts.groupBy("_part").applyInPandas(relabelled(n, seed, one["na"], sizes), "r int, g double").groupBy("r").agg(F.max("g").alias("g"))
+    d = F.lit(float(one["d"]))
+    return gaps.agg(d.alias("d"), F.count("*").alias("n"), F.avg((F.col("g") >= d - 1e-12).cast("double")).alias("p"))
 
 
 def corrected(df: DataFrame, p: str = "p", by: list[str] = ()) -> DataFrame:

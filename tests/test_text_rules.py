@@ -1,9 +1,11 @@
 """Rules of texts held against examples worked out by hand and plain Python versions."""
 
+import itertools
 import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +153,28 @@ def test_permutations_and_corrections(spark):
         assert abs(out[k].holm - max(min(1, ps[j] * (5 - i)) for i, j in enumerate(order[: at + 1]))) < 1e-12
         assert abs(out[k].bh - min(min(1, ps[j] * 5 / (i + 1)) for i, j in list(enumerate(order))[at:])) < 1e-12
         assert abs(out[k].bonferroni - min(1, 5 * ps[k])) < 1e-12
+
+
+def test_permutations_equal_all_relabellings(spark):
+    rows = [("a", 1.0), ("a", 2.0), ("a", 2.0), ("a", 5.0), ("b", 2.0), ("b", 6.0), ("b", 7.0), ("b", 7.0), ("b", 9.0), ("a", None), ("b", float("nan"))]
+    values = [v for _, v in rows[:9]]
+
+    def gap(first):
+        return max(abs(sum(values[i] <= x for i in first) / len(first) - sum(values[i] <= x for i in range(9) if i not in first) / (9 - len(first))) for x in values)
+
+    d = gap((0, 1, 2, 3))
+    every = [gap(c) for c in itertools.combinations(range(9), 4)]
+    want = sum(g >= d - 1e-12 for g in every) / len(every)
+    df = spark.createDataFrame(rows, "g string, v double")
+    for buckets in (1, 2, 2048):
+        got = S.ks_permutation(df, "g", "v", 4000, seed=buckets, buckets=buckets).first()
+        assert abs(got.d - d) < 1e-12 and got.n == 4000 and abs(got.p - want) < 4 * math.sqrt(want * (1 - want) / 4000)
+    assert S.ks_permutation(df, "g", "v", 50, 1).first() == S.ks_permutation(df.repartition(5), "g", "v", 50, 1).first()
+    assert S.ks_permutation(df.limit(0), "g", "v", 50).collect() == []
+
+
+def test_draws_of_any_size():
+    x = S.drawn(np.full(4000, 40), 100, 10, (1, 2))
+    assert x.min() >= 0 and x.max() <= 10 and abs(x.mean() - 4) < 0.1
+    y = S.drawn(np.full(4000, 4 * 10**9), 10**10, 10**6, (1, 2))
+    assert abs(y.mean() - 4e5) < 60 and 400 < y.std() < 580
