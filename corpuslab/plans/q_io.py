@@ -220,22 +220,30 @@ def cl_hier(spark, d):
     return spark.createDataFrame(Q.average_linkage(names, distance), "a string, b string, height double, size int")
 
 
-def streamed(spark, d, make, name, windows=False):
+def streamed(spark, d, make, name, windows=False, files=1000):
     """Run a streaming query over the events file until it is done, and read what it wrote.
 
-    Windows that the watermark has not passed are closed by a marker row a day after the last event; its own window stays open and is never written.
+    Windows that the watermark has not passed are closed by a second run of the same query, from its checkpoint, which finds one more row: a marker a day after the last
+    event. It comes when all events, in however many batches, have gone through, so it makes none of them late; its own window stays open and is never written.
     """
     events = table(spark, d, "events")
     schema = events.schema
-    stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    read = lambda path: spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
     base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    stream = read(f"{d}/events.parquet*")
     if windows:
-        last = events.agg((F.max(F.col("ts").cast("timestamp")) + F.expr("interval 1 day")).alias("ts"))
-        last.select(*[(F.col("ts") if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]).write.parquet(f"{base}/marker")
-        stream = stream.unionByName(spark.readStream.schema(schema).parquet(f"{base}/marker").withColumn("ts", F.col("ts").cast("timestamp")))
+        events.limit(0).write.parquet(f"{base}/marker")
+        stream = stream.unionByName(read(f"{base}/marker"))
     out = make(stream)
-    run = out.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
+
+    def run():
+        out.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    if windows:
+        last = events.agg((F.max(F.col("ts").cast("timestamp")) + F.expr("interval 1 day")).alias("ts"))
+        last.select(*[(F.col("ts") if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]).write.mode("append").parquet(f"{base}/marker")
+        run()
     return spark.read.schema(out.schema).parquet(f"{base}/out")
 
 
@@ -249,6 +257,21 @@ def stream_sessions(spark, d):
     return streamed(spark, d, lambda s: twins.sessions(s, "ts", "user_id"), "sessions", windows=True)
 
 
+MICROS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
+@query("stream_seconds", "select strftime(date_trunc('second', ts::timestamp), '%Y-%m-%d %H:%M:%S.%f') as start, count(*) as n, min(value) as low, max(value) as high, round((min(value) + max(value)) / 2, 6) as middle from events group by all")
+def stream_seconds(spark, d):
+    out = streamed(spark, d, lambda s: twins.second_bins(s, "ts", "value", "1 second"), "seconds", windows=True)
+    return out.select(F.date_format("start", MICROS).alias("start"), "n", "low", "high", F.round("middle", 6).alias("middle"))
+
+
+@query("stream_user_runs", "with g as (select user_id, ts::timestamp as ts, case when ts::timestamp - lag(ts::timestamp) over (partition by user_id order by ts) <= interval 30 minute then 0 else 1 end as fresh from events), k as (select *, sum(fresh) over (partition by user_id order by ts rows between unbounded preceding and current row) as k from g) select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') as start, strftime(max(ts) + interval 30 minute, '%Y-%m-%d %H:%M:%S.%f') as \"end\", count(*) as n from k group by user_id, k")
+def stream_user_runs(spark, d):
+    out = stream_sessions(spark, d)
+    return out.select("user_id", F.date_format("start", MICROS).alias("start"), F.date_format("end", MICROS).alias("end"), "n")
+
+
 @query("stream_dedup")
 def stream_dedup(spark, d):
     return streamed(spark, d, lambda s: twins.first_texts(s, "ts", "props", "1 day"), "dedup").select("event_id", "props")

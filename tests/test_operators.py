@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -194,3 +195,22 @@ def test_words_around_a_time(spark):
     ]
     assert [r for r in rows if r[0] != "c"] == sorted([w for w in want if w[0] != "c"], key=repr)
     assert {r[3] for r in rows if r[0] == "c"} == {"one two", None} and [r.delta for r in got if r.k == "b"] == [None]
+
+
+def test_stream_of_several_batches_loses_no_row(spark, tmp_path):
+    """Events that come in files of rising time, one batch each: no row is late, and the last windows are closed too."""
+    from corpuslab.plans import q_io
+    from corpuslab.streaming import twins
+
+    sf = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    cuts = [None, *[r[0] for r in events.selectExpr("ntile(4) over (order by ts) as k", "ts").groupBy("k").agg({"ts": "max"}).orderBy("k").select("max(ts)").collect()[:3]], None]
+    for a, b in zip(cuts[:-1], cuts[1:]):  # one file after the other, as the source takes files by their age
+        part = events.filter((events["ts"] > a) if a else "true").filter((events["ts"] <= b) if b else "true")
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+        time.sleep(1.1)
+    rows = spark.read.parquet(str(tmp_path / "events.parquet"))
+    got = q_io.streamed(spark, str(tmp_path), lambda s: twins.second_bins(s, "ts", "value", "1 second"), "batches", windows=True, files=1)
+    assert got.agg({"n": "sum"}).first()[0] == rows.count()
+    want = twins.second_bins(rows.withColumn("ts", rows["ts"].cast("timestamp")), "ts", "value", "1 second")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
