@@ -10,6 +10,7 @@ fall, but for the tolerance of the fixed points.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -51,12 +52,11 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
 
 
 def ngrams(words: Column, most: int) -> Column:
-    """The words and their runs of up to so many words, joined by blanks."""
+    """The words and their runs of up to so many words, joined by blanks. The words stand outside of the lambdas, so they are found a few times for each row, not for each run."""
 
     def runs(n: int) -> Column:
-        last = F.size(words) - F.lit(n - 1)
-        made = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
-        return F.when(last > 0, made).otherwise(F.array().cast("array<string>"))
+        parts = [F.slice(words, 1 + j, F.greatest(F.size(words) - (n - 1), F.lit(0))) for j in range(n)]
+        return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.concat_ws(" ", x, y)), parts)
 
     return F.concat(words, *[runs(n) for n in range(2, most + 1)])
 
