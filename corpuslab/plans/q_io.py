@@ -88,8 +88,7 @@ def src_posts_flat(spark, d):
 @query("src_timestamps", "select floor(epoch_us(ts)::double / 1e6)::bigint % 86400 as second, string_agg(event_type, ' ' order by event_id) as text from events group by 1")
 def src_timestamps(spark, d):
     rows = table(spark, d, "events")
-    stamp = F.concat(F.date_format(F.col("ts"), "HH:mm:ss"), F.lit(","), F.lpad(F.col("event_id").cast("string"), 6, "0"))
-    return R.timed_text(rows.select(stamp.alias("start"), F.col("event_type").alias("text")))
+    return R.timed_text(rows.select(F.date_format("ts", "HH:mm:ss").alias("start"), F.col("event_type").alias("text"), "event_id"), order="event_id")
 
 
 @query("src_annotations", "select substr(text, 3, 8) as text, lang as label from documents where length(text) >= 10")

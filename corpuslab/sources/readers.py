@@ -77,14 +77,15 @@ def read_rules(spark: SparkSession, path: str) -> list[tuple[str, str]]:
     return [(r["label"], r["regex"]) for r in rows.select("k", "p.label", "p.regex").collect()]
 
 
-def timed_text(df: DataFrame, time_names: tuple[str, ...] = ("time", "start", "t", "debut", "ts"), text_names: tuple[str, ...] = ("text", "texte", "caption", "value")) -> DataFrame:
-    """second, text from a table with one of the named columns each: texts of one second joined in order."""
+def timed_text(df: DataFrame, time_names: tuple[str, ...] = ("time", "start", "t", "debut", "ts"), text_names: tuple[str, ...] = ("text", "texte", "caption", "value"), order: str | None = None) -> DataFrame:
+    """second, text from a table with one of the named columns each: texts of one second joined in order of time, then of the order column, if given, and of text."""
     pick = lambda names: next((c for n in names for c in df.columns if c.lower() == n), None)
     t, x = pick(time_names), pick(text_names)
     if t is None or x is None:
         raise ValueError("no time or text column found")
-    rows = df.select(T.seconds_of(F.col(t).cast("string")).alias("_t"), F.col(x).cast("string").alias("_x")).filter("_t is not null")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_t", "_x"))), lambda s: s["_x"]), " ")
+    then = [] if order is None else [F.col(order).alias("_o")]
+    rows = df.select(T.seconds_of(F.col(t).cast("string")).alias("_t"), *then, F.col(x).cast("string").alias("_x")).filter("_t is not null")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*rows.columns))), lambda s: s["_x"]), " ")
     return rows.groupBy(F.floor("_t").alias("second")).agg(joined.alias("text"))
 
 

@@ -19,5 +19,11 @@ def test_hms_of_long_texts_is_that_of_the_sql(spark, tmp_path):
     assert got == set(duckdb.sql(sql).fetchall())
 
 
+def test_texts_of_a_second_come_in_order_of_events_numbered_beyond_six_digits(spark, tmp_path):
+    rows = [(10_000_001, "a", "2024-01-01 00:00:05"), (9_999_999, "c", "2024-01-01 00:00:05"), (2_000_000, "b", "2024-01-02 00:00:05")]
+    spark.createDataFrame(rows, "event_id long, event_type string, t string").withColumn("ts", F.to_timestamp("t")).write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in registry.QUERIES["src_timestamps"](spark, str(tmp_path)).collect()] == [(5, "b c a")]
+
+
 def shuffles_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
