@@ -25,5 +25,19 @@ def test_texts_of_a_second_come_in_order_of_events_numbered_beyond_six_digits(sp
     assert [tuple(r) for r in registry.QUERIES["src_timestamps"](spark, str(tmp_path)).collect()] == [(5, "b c a")]
 
 
+def test_class_terms_from_words_equal_those_from_counts(spark):
+    rows = [(1, "a", "x y x"), (1, "a", "x z"), (2, "a", "y"), (2, "b", "y y"), (3, "b", ""), (4, "b", None), (None, "b", "x"), (5, None, "z x")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    words = T.words_lower("text")
+    plain = C.class_terms(K.dfm(K.tokens(docs, ["doc_id", "lang"]), ["doc_id", "lang"]), "lang", with_p=False)
+    got = C.word_class_terms(docs, words, "lang", with_p=False)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, plain.select(got.columns).collect())) and got.count() > 4
+
+
 def shuffles_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_class_statistics_do_not_deal_out_all_words_of_all_units(spark):
+    plan = shuffles_of(registry.QUERIES["st_class_view"](spark, "/root/testdata/sf0.001"))
+    assert "doc_id" not in plan
