@@ -25,6 +25,16 @@ def test_texts_of_a_second_come_in_order_of_events_numbered_beyond_six_digits(sp
     assert [tuple(r) for r in registry.QUERIES["src_timestamps"](spark, str(tmp_path)).collect()] == [(5, "b c a")]
 
 
+def test_binomial_tail_of_many_draws(spark):
+    import time
+
+    start = time.time()
+    assert all(P.binom_sf(k, 3_000_000, 0.25) >= P.binom_sf(k + 1, 3_000_000, 0.25) for k in range(749_900, 750_100))
+    assert time.time() - start < 5
+    assert P.binom_sf(750_000, 3_000_000, 0.25) == pytest.approx(0.5, abs=1e-3)
+    assert P.binom_sf(2, 10, 0.5) == pytest.approx(1 - 11 / 1024) and P.binom_sf(10, 10, 0.5) == pytest.approx(1 / 1024)
+
+
 def test_class_terms_from_words_equal_those_from_counts(spark):
     rows = [(1, "a", "x y x"), (1, "a", "x z"), (2, "a", "y"), (2, "b", "y y"), (3, "b", ""), (4, "b", None), (None, "b", "x"), (5, None, "z x")]
     docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
