@@ -51,3 +51,28 @@ def shuffles_of(df):
 def test_class_statistics_do_not_deal_out_all_words_of_all_units(spark):
     plan = shuffles_of(registry.QUERIES["st_class_view"](spark, "/root/testdata/sf0.001"))
     assert "doc_id" not in plan
+
+
+def shuffled_mb(spark):
+    return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite() / 1e6
+
+
+def test_top_ngrams_do_not_deal_out_all_runs(spark):
+    vocabulary = [f"w{i}" for i in range(50)]
+    rows = [(i, "ab"[i % 2] if i % 7 else None, " ".join([vocabulary[(i * j * j + j) % 50] for j in range(300)] + ["the", "same", "five", "words", "here"])) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    before = shuffled_mb(spark)
+    got = K.top_ngrams(docs, 3, 5, "lang", 1).collect()
+    assert shuffled_mb(spark) - before < 8
+    assert {(r.n, r.freq, r.ngram) for r in got} == {(5, 2000, "the same five words here"), *((r.n, r.freq, r.ngram) for r in got if r.n < 5)} and len(got) == 3
+
+
+def test_contexts_deal_out_no_text(spark):
+    rows = [(i, f"Text {i} has a long tail of words. " + "x" * 500 + f". The cat sat on {i} mats.") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    docs.count()
+    grams = spark.createDataFrame([(3, "the cat sat"), (4, "cat sat on 7")], "n int, ngram string")
+    before = shuffled_mb(spark)
+    got = K.contexts(docs, grams).collect()
+    assert len(got) == 501 and ("The cat sat on 7 mats.") in {r.context for r in got if r.n == 4}
+    assert shuffled_mb(spark) - before < 0.12
