@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import pvalues as P
 from corpuslab.functions import text as T
+from corpuslab.operators import chd as CHD
 from corpuslab.operators import classes as C
 from corpuslab.operators import tokens as K
 from corpuslab.plans import registry
@@ -76,3 +77,13 @@ def test_contexts_deal_out_no_text(spark):
     got = K.contexts(docs, grams).collect()
     assert len(got) == 501 and ("The cat sat on 7 mats.") in {r.context for r in got if r.n == 4}
     assert shuffled_mb(spark) - before < 0.12
+
+
+def test_a_cut_does_not_deal_out_all_cells(spark):
+    rows = [(i, sorted({(i * j * j + j * (i % 3)) % 300 for j in range(60)}), ((i * 7919) % 4001) / 4001) for i in range(4000)]
+    units = spark.createDataFrame(rows, "unit long, ts array<int>, score double").repartition(4).cache()
+    cells = units.select(F.sum(F.size("ts"))).first()[0]
+    before = shuffled_mb(spark)
+    sides = CHD.sweep(units, 300)
+    assert {r["side"] for r in sides.select("side").distinct().collect()} == {1, 2}
+    assert shuffled_mb(spark) - before < cells * 16 / 1e6
