@@ -5,18 +5,25 @@ Matrices whose size is a parameter (labels, classes, at most MOST terms, axes) a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuslab.operators.graph import kept
 from corpuslab.operators.shared import Scratch, written
 
 #: Columns of a correspondence table whose matrix of products is formed on the driver; beyond it the sparse table is iterated on.
 MOST = 400
+#: Columns whose cells are a dense table in a task at a time.
+COLUMNS = 4096
 
 
 def gram(counts: DataFrame, row: str, column: str, n: str = "n") -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -37,19 +44,69 @@ def gram(counts: DataFrame, row: str, column: str, n: str = "n") -> tuple[list[s
     return names, mass, s / np.sqrt(np.outer(mass, mass)) - np.sqrt(np.outer(mass, mass)) / mass.sum()
 
 
-def wide_correspondence(counts: DataFrame, row: str, column: str, axes: int = 2, n: str = "n", more: int = 8, most_rounds: int = 60, tolerance: float = 1e-9) -> tuple[DataFrame, DataFrame, list[float]]:
-    """What correspondence gives, for any number of rows and columns: subspace iteration on the sparse table from a random start (by hash of the column).
+def row_products(cells: DataFrame, places: dict[object, int]) -> np.ndarray:
+    """Inner products of the rows of cells (r, c, a), few rows: each column's cells stand together in one row, and a task adds up its columns' products."""
+    k = len(places)
+    told = F.broadcast(cells.sparkSession.createDataFrame(list(places.items()), T.StructType([cells.schema["r"], T.StructField("i", T.IntegerType())])))
+    packed = cells.join(told, "r").groupBy("c").agg(F.collect_list("i").alias("i"), F.collect_list("a").alias("a")).select("i", "a")
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, k))
+        for whole in batches:
+            for at in range(0, whole.num_rows, COLUMNS):
+                batch = whole.slice(at, COLUMNS)
+                table = np.zeros((batch.num_rows, k))
+                lengths = np.array(pc.list_value_length(batch.column("i")))
+                table[np.repeat(np.arange(batch.num_rows), lengths), batch.column("i").flatten().to_numpy()] = batch.column("a").flatten().to_numpy()
+                total += table.T @ table
+        x, y = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(total[x, y])], ["x", "y", "s"])
+
+    out = np.zeros((k, k))
+    for r in packed.mapInArrow(summed, "x int, y int, s double").groupBy("x", "y").agg(F.sum("s").alias("s")).collect():  # k * k at most
+        out[r["x"], r["y"]] = r["s"]
+    return out
+
+
+def narrow_correspondence(scratch: Scratch, cells: DataFrame, by_row: DataFrame, by_column: DataFrame, total: float, axes: int, row: str, column: str) -> tuple[DataFrame, DataFrame, list[float]]:
+    """The axes of a table of few rows: the matrix of their products is solved on the driver, one pass over the cells; another one places the columns."""
+    mass = {r["r"]: r["rm"] for r in by_row.orderBy("r").collect()}
+    places = {r: i for i, r in enumerate(mass)}
+    root = np.sqrt(np.array(list(mass.values())) / total)
+    values, vectors = np.linalg.eigh(row_products(cells, places) - np.outer(root, root))
+    values, vectors = np.maximum(values[::-1][:axes], 0), vectors[:, ::-1][:, :axes]
+    labels = [f"axis{k + 1}" for k in range(axes)]
+    spark = cells.sparkSession
+    kind = T.StructType([cells.schema["r"], *[T.StructField(a, T.DoubleType()) for a in labels]])
+    told = F.broadcast(spark.createDataFrame([(r, *map(float, vectors[i])) for r, i in places.items()], kind))
+    images = scratch.cut(cells.join(told, "r").groupBy("c").agg(*[F.sum(F.col("a") * F.col(x)).alias(x) for x in labels]).join(by_column, "c"))
+    lengths = np.sqrt(values)
+    size = lambda k, a: F.abs(F.round(F.col(a) / float(lengths[k] or 1.0), 9))
+    largest = images.agg(*[F.max(F.struct(size(k, a).alias("size"), F.col("c"), F.signum(a).alias("sign"))).alias(a) for k, a in enumerate(labels)]).first()
+    sign = np.array([largest[a]["sign"] or 1.0 for a in labels])
+    columns = images.select(F.col("c").alias(column), *[(F.col(a) * float(sign[k]) / F.sqrt(F.col("cm") / total)).alias(a) for k, a in enumerate(labels)])
+    placed = vectors * sign * lengths / root[:, None]
+    kind = T.StructType([T.StructField(row, cells.schema["r"].dataType), *kind.fields[1:]])
+    rows = spark.createDataFrame([(r, *map(float, placed[i])) for r, i in places.items()], kind)
+    columns = written(columns, "column-axes")
+    return rows, columns, [float(v) for v in values]
+
+
+def wide_correspondence(counts: DataFrame, row: str, column: str, axes: int = 2, n: str = "n", more: int = 8, most_rounds: int = 60, tolerance: float = 1e-9, few: int = MOST) -> tuple[DataFrame, DataFrame, list[float]]:
+    """What correspondence gives, for any number of rows and columns. Of at most `few` rows the matrix of products is formed; beyond them, subspace iteration on the
+    sparse table from a random start (by hash of the column). Cells without a row or column name are left out.
 
     With a = n / sqrt(row sum * column sum), a round multiplies (axes + more) column vectors by a and by its transpose, two joins and sums, takes the trivial axis away
     and makes them orthonormal. Only products of the vectors among themselves reach the driver. Rounds end when no wanted eigenvalue changes by more than the
     tolerance; most_rounds without that is an error.
     """
     scratch = Scratch(counts.sparkSession, "subspace")
-    cells = counts.filter(F.col(n) > 0).groupBy(F.col(row).alias("r"), F.col(column).alias("c")).agg(F.sum(n).cast("double").alias("n"))
+    cells = counts.filter((F.col(n) > 0) & F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(F.col(row).alias("r"), F.col(column).alias("c")).agg(F.sum(n).cast("double").alias("n"))
     cells = scratch.cut(cells)
     by_row, by_column = scratch.cut(cells.groupBy("r").agg(F.sum("n").alias("rm"))), scratch.cut(cells.groupBy("c").agg(F.sum("n").alias("cm")))
     size = by_column.agg(F.sum("cm").alias("n"), F.count("*").alias("k")).first()
-    total, q = float(size["n"] or 0), min(axes + more, max(0, min(size["k"], by_row.count()) - 1))
+    height = by_row.count()
+    total, q = float(size["n"] or 0), min(axes + more, max(0, min(size["k"], height) - 1))
     axes = min(axes, q)
     names = [f"v{k}" for k in range(q)]
     cells = scratch.cut(cells.join(by_row, "r").join(by_column, "c").select("r", "c", (F.col("n") / F.sqrt(F.col("rm") * F.col("cm"))).alias("a")))
@@ -74,6 +131,10 @@ def wide_correspondence(counts: DataFrame, row: str, column: str, axes: int = 2,
     if not q:
         scratch.drop()
         return counts.select(row).distinct(), counts.select(column).distinct(), []
+    if height <= few:
+        found = narrow_correspondence(scratch, cells, by_row, by_column, total, axes, row, column)
+        scratch.drop()
+        return found
     random = [(F.pmod(F.xxhash64(F.col("c"), F.lit(k)), F.lit(2_000_003)) / 1_000_001.5 - 1).alias(x) for k, x in enumerate(names)]
     vectors = straight(by_column.select("c", "cm", *random))
     before = None

@@ -45,6 +45,29 @@ def test_more_columns_than_a_matrix_takes(spark, monkeypatch):
     assert np.allclose(values, dense(n, 2)[0], atol=1e-6) and columns.count() == 40
 
 
+def test_few_rows_need_no_rounds(spark):
+    n = table(3, 6, 200)
+    cells = [(f"r{i}", f"c{j:03d}", int(n[i, j])) for i in range(6) for j in range(200)]
+    df = spark.createDataFrame([*cells, (None, "c001", 50), ("r1", None, 70)], "row string, col string, n long")
+    rows, columns, values = X.wide_correspondence(df, "row", "col", 2, most_rounds=0)
+    want, f, g = dense(n, 2)
+    assert np.allclose(values, want, atol=1e-9)
+    got_f = np.array([[r.axis1, r.axis2] for r in rows.orderBy("row").collect()])
+    got_g = np.array([[r.axis1, r.axis2] for r in columns.orderBy("col").collect()])
+    assert same_up_to_sign(got_f, f) and same_up_to_sign(got_g, g)
+    assert (got_g[np.abs(got_g * np.sqrt(n.sum(0))[:, None]).argmax(0), range(2)] > 0).all()
+
+
+def test_iteration_equals_the_matrix_of_few_rows(spark):
+    n = table(4, 30, 50)
+    df = spark.createDataFrame([(i, j, int(n[i, j])) for i in range(30) for j in range(50)], "row long, col long, n long")
+    one, other = (X.wide_correspondence(df, "row", "col", 2, few=k) for k in (400, 0))
+    assert np.allclose(one[2], other[2], atol=1e-6)
+    for a, b, key in ((one[0], other[0], "row"), (one[1], other[1], "col")):
+        x, y = (np.array([[r.axis1, r.axis2] for r in t.orderBy(key).collect()]) for t in (a, b))
+        assert np.abs(x - y).max() < 1e-3
+
+
 def test_one_column_has_no_axes(spark):
     rows, columns, values = X.wide_correspondence(spark.createDataFrame([("a", "x", 3), ("b", "x", 1)], "row string, col string, n long"), "row", "col")
     assert values == [] and rows.count() == 2 and columns.count() == 1
