@@ -54,19 +54,21 @@ def numbered(df: DataFrame, by: list[str], order: list[Column | str], name: str)
 
 
 def carried(df: DataFrame, by: list[str], order: list[Column | str], value: Column, within: Callable, name: str, forward: bool = True) -> DataFrame:
-    """df with `within` (an aggregate such as max, or last known) of the series' values up to this row (or, backward, from it on): name_own within the row's range, name_far in those before it."""
+    """df with `within` (an aggregate such as max, or last known) of the series' values up to this row: name_own within the row's range, name_far in those before it.
+
+    Backward, the same is done in the reversed order, so that last known is the next value from this row on. Frames always grow from the first row: one that
+    ends with the last row is added up anew for each row.
+    """
     order = columns(order)
     rows = ranged(df.withColumn("_val", value), [*columns(by), *order])
-    if forward:
-        own, far = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1)
-    else:
-        own, far = (0, Window.unboundedFollowing), (1, Window.unboundedFollowing)
-    w = Window.partitionBy(*by, "_part").orderBy(*order)
+    turned = lambda cs: cs if forward else [c.desc() for c in cs]
+    w = Window.partitionBy(*by, "_part").orderBy(*turned(order))
     whole = Window.unboundedPreceding, Window.unboundedFollowing
     first = F.row_number().over(w)
     state = rows.select(*by, "_part", within(F.col("_val")).over(w.rowsBetween(*whole)).alias("_t"), first.alias("_k")).filter("_k = 1").drop("_k")
-    state = state.select(*by, "_part", within(F.col("_t")).over(Window.partitionBy(*by).orderBy("_part").rowsBetween(*far)).alias("_b"))
-    mine = within(F.col("_val")).over(w.rowsBetween(*own))
+    before = Window.partitionBy(*by).orderBy(*turned([F.col("_part")])).rowsBetween(Window.unboundedPreceding, -1)
+    state = state.select(*by, "_part", within(F.col("_t")).over(before).alias("_b"))
+    mine = within(F.col("_val")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return with_state(rows, by, state).withColumn("_mine", mine).drop("_val", "_part").withColumnsRenamed({"_b": f"{name}_far", "_mine": f"{name}_own"})
 
 

@@ -7,6 +7,8 @@ from corpuslab.functions import pvalues as P
 from corpuslab.functions import text as T
 from corpuslab.operators import chd as CHD
 from corpuslab.operators import classes as C
+from corpuslab.operators import ranges as R
+from corpuslab.operators import timeline as L
 from corpuslab.operators import tokens as K
 from corpuslab.plans import registry
 
@@ -87,3 +89,18 @@ def test_a_cut_does_not_deal_out_all_cells(spark):
     sides = CHD.sweep(units, 300)
     assert {r["side"] for r in sides.select("side").distinct().collect()} == {1, 2}
     assert shuffled_mb(spark) - before < cells * 16 / 1e6
+
+
+def test_no_frame_ends_with_the_last_row(spark):
+    """Such a frame is added up anew for each of its rows: time would grow with the square of a range."""
+    rows = spark.createDataFrame([(i, float(i * 37 % 101) if i % 3 else None) for i in range(300)], "i long, x double")
+    least = R.running_extreme(rows, [], ["i"], F.col("x"), "low", most=False, forward=False)
+    known = R.carried(rows, [], ["i"], F.col("x"), lambda v: F.last(v, ignorenulls=True), "next", forward=False)
+    near = L.nearest(rows.select(F.lit(1).alias("k"), "i"), rows.select(F.lit(1).alias("k"), "i", "x"), "k", "i", "i", "x", 5.0)
+    for df in (least, known, near):
+        plan = df._jdf.queryExecution().analyzed().toString().lower().replace(" ", "")
+        assert "currentrow$(),unboundedfollowing$()" not in plan and "rowframe,1,unboundedfollowing$()" not in plan
+    x = [r.x for r in rows.orderBy("i").collect()]
+    assert [r.low for r in least.orderBy("i").collect()] == [min([v for v in x[i:] if v is not None], default=None) for i in range(300)]
+    found = known.select("i", F.coalesce("next_own", "next_far").alias("v")).orderBy("i").collect()
+    assert [r.v for r in found] == [next((v for v in x[i:] if v is not None), None) for i in range(300)]
