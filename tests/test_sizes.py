@@ -126,3 +126,11 @@ def test_a_segment_is_split_once_for_all_its_words(spark):
     assert [(r.word, r.t0, r.t1, r.idx) for r in out.orderBy("idx").collect()] == [("one", 0.0, 1.0, 0), ("two", 1.0, 2.0, 1), ("three", 2.0, 3.0, 2), ("four", 3.0, 4.0, 3)]
     above = out._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
     assert "split(" not in above
+
+
+def test_degrees_need_no_pairs(spark):
+    from corpuslab.operators import assoc as A
+
+    df = spark.createDataFrame([(1, 0, ["a", "b", "c"]), (1, 1, ["a", "b"]), (2, 0, ["d"]), (2, 1, ["a", "e"])], "doc_id long, seg_no int, items array<string>")
+    out = A.window_degrees(df)
+    assert {tuple(r) for r in out.collect()} == {tuple(r) for r in A.degrees(A.pairs(df)).collect()} == {("a", 4), ("b", 3), ("c", 2), ("e", 1)}
