@@ -212,7 +212,8 @@ def lda(units: DataFrame, words: Column, k: int = 4, most_steps: int = 30, min_u
     or terms there are no topic terms.
     """
     spark = units.sparkSession
-    spelt = units.select(key, F.coalesce(words, F.array().cast("array<string>")).alias("_words"))  # found once, then combined
+    # found once and written, as each of the passes of counted() reads them
+    spelt = written(units.select(key, F.coalesce(words, F.array().cast("array<string>")).alias("_words")), "topic-words")
     counts, names = counted(spelt, key, ngrams(F.col("_words"), most_words), min_units, max_share, vocabulary)
     counts = written(counts, "topic-counts")
     k = max(1, min(k, counts.count()))

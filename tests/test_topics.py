@@ -96,3 +96,16 @@ def test_bigrams_few_units_and_nothing(spark):
     assert {r.topic for r in best.collect()} == {0, 1} and {r.term for r in best.collect()} == {"b", "c", "b c"} and model.lam.shape == (3, 2)
     best, units, model = TM.lda(df.limit(0), words, 5)
     assert best.collect() == units.collect() == [] and model is None
+
+
+def test_words_are_found_once(spark):
+    found = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def split(text):
+        found.add(1)
+        return text.split(" ")
+
+    units = spark.createDataFrame([(i, f"a b{i % 3} c{i % 5}") for i in range(20)], "doc_id long, text string")
+    TM.lda(units, split("text"), 2, most_steps=2)[1].collect()
+    assert found.value == 20
