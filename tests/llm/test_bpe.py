@@ -47,3 +47,14 @@ def test_decode_and_nothing(spark):
     ids = bpe.encode(df, PATH, PATTERN)
     assert {(r.doc_id, bytes(r.decoded)) for r in bpe.decode(ids, PATH, PATTERN).collect()} == {(1, "héllo wörld".encode()), (2, b"")}
     assert bpe.encode(df.limit(0), PATH, PATTERN).collect() == []
+
+
+def test_remembered_pieces_take_little_memory():
+    """Six workers beside an executor's heap: what each remembers must stay small (tuples of numbers took over 100 bytes a piece)."""
+    import sys
+
+    c = bpe.Coder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    text = " ".join(f"qz{i * 7919 % 100_003}xv" for i in range(5000))
+    assert c.decode(c.encode(text)).decode() == text and len(c.known) > 3000
+    size = sum(sys.getsizeof(ids) + sum(map(sys.getsizeof, ids if isinstance(ids, tuple) else ())) for ids in c.known.values())
+    assert size / len(c.known) < 80 and bpe.REMEMBERED <= 100_000
