@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -37,6 +37,9 @@ AHEAD = 3
 #: Pieces whose ids a worker remembers, each as the bytes of its ids: tuples of numbers take three times the memory.
 REMEMBERED = 100_000
 
+#: Ids that are numbers of Python's, or text, at a time; otherwise they are arrays.
+BLOCK = 65_536
+
 
 class Coder:
     """Encodes pieces and decodes ids with one vocabulary; a worker keeps one."""
@@ -60,17 +63,30 @@ class Coder:
                 self.known[piece] = ids
         return ids
 
-    def encode_pieces(self, pieces: list[str]) -> list[int]:
-        return np.frombuffer(b"".join(map(self.piece, pieces)), np.int32).tolist()
+    def encode_pieces(self, pieces: Iterable[str]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.piece, pieces)), np.int32)
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         return self.encode_pieces(self.pattern.findall(text))
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def blocks(self, ids: np.ndarray, of: dict[int, str] | dict[int, bytes]) -> Iterator[list]:
+        for at in range(0, len(ids), BLOCK):
+            yield [of[x] for x in ids[at : at + BLOCK].tolist()]
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(b"".join(x) for x in self.blocks(ids, self.bytes_of))
+
+    def decoded_digest(self, ids: np.ndarray) -> str:
+        h = hashlib.sha256()
+        for x in self.blocks(ids, self.bytes_of):
+            h.update(b"".join(x))
+        return h.hexdigest()
 
-    def joined(self, ids: list[int]) -> str:
-        return " ".join(map(self.text_of.__getitem__, ids))
+    def ids_digest(self, ids: np.ndarray) -> str:
+        h = hashlib.sha256()
+        for number, x in enumerate(self.blocks(ids, self.text_of)):
+            h.update((" " * (number > 0) + " ".join(x)).encode())
+        return h.hexdigest()
 
 
 @lru_cache(2)
@@ -91,23 +107,21 @@ def stitch(pattern: regex.Pattern, chunk: str, next_start: int) -> int | None:
     return next((e for e in ends if e in mine), None)
 
 
-def pieces_between(pattern: regex.Pattern, chunk: str, start: int, stop: int) -> list[str]:
+def pieces_between(pattern: regex.Pattern, chunk: str, start: int, stop: int) -> Iterator[str]:
     """The matches that begin in [start, stop), with the chunk's text beyond stop in sight."""
-    out = []
     for m in pattern.finditer(chunk, start):
         if m.start() >= stop:
             break
-        out.append(m.group())
-    return out
+        yield m.group()
 
 
 #: Outputs of encode(): kind, and value from the coder and the ids.
-OUTPUTS: dict[str, tuple[str, Callable[[Coder, list[int]], object]]] = {
+OUTPUTS: dict[str, tuple[str, Callable[[Coder, np.ndarray], object]]] = {
     "ids": ("int[]", lambda c, ids: ids),
     "n_tokens": ("long", lambda c, ids: len(ids)),
-    "ids_sha256": ("string", lambda c, ids: hashlib.sha256(c.joined(ids).encode()).hexdigest()),
-    "decoded": ("binary", lambda c, ids: c.decode(ids)),
-    "decoded_sha256": ("string", lambda c, ids: hashlib.sha256(c.decode(ids)).hexdigest()),
+    "ids_sha256": ("string", Coder.ids_digest),
+    "decoded": ("binary", Coder.decode),
+    "decoded_sha256": ("string", Coder.decoded_digest),
 }
 
 
@@ -139,6 +153,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, outputs: tuple[str, .
     def made(it: Iterator[tuple]) -> Iterator[tuple]:
         c = files.coder(pattern)
         for doc_id, ids in it:
+            ids = np.array(ids, np.int32)
             yield doc_id, *[make(c, ids) for make in makers]
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
@@ -191,6 +206,6 @@ def decode(tokens: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
     def made(it: Iterator[tuple]) -> Iterator[tuple]:
         c = files.coder(pattern)
         for doc_id, ids in it:
-            yield doc_id, c.decode(ids or [])
+            yield doc_id, c.decode(np.array(ids or [], np.int32))
 
     return map_rows(tokens.select(tokens[id_col].cast("long"), tokens[ids_col]), made, "doc_id long, decoded binary")

@@ -18,8 +18,9 @@ from corpuslab.operators.shared import Scratch, broadcast_if_small, written  # n
 SPACES = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACES}]+"
 
-#: Rows that a Python worker turns into Python objects at a time.
+#: Rows that a Python worker turns into Python objects at a time, and bytes of them in Arrow; a row of more stands alone.
 SLICE_ROWS = 256
+SLICE_BYTES = 1 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -56,6 +57,17 @@ def fields(spec: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.ArrayType(KINDS[k[:-2]]) if k.endswith("[]") else KINDS[k]) for n, k in pairs])
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most SLICE_ROWS rows and SLICE_BYTES bytes: long texts, and numbers as Python objects, take many times their size."""
+    at = 0
+    while at < batch.num_rows:
+        part = batch.slice(at, SLICE_ROWS)
+        while part.num_rows > 1 and part.nbytes > SLICE_BYTES:
+            part = part.slice(0, part.num_rows // 2)
+        yield part
+        at += part.num_rows
+
+
 def map_rows(df: DataFrame, f: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
     """A narrow map: f gets the rows of a slice as tuples and yields rows of the schema."""
     kind = fields(schema)
@@ -63,8 +75,7 @@ def map_rows(df: DataFrame, f: Callable[[Iterator[tuple]], Iterator[tuple]], sch
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            for part in slices(batch):
                 rows = list(f(zip(*(c.to_pylist() for c in part.columns), strict=True)))
                 columns = zip(*rows, strict=True) if rows else ([] for _ in out)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(columns, out, strict=True)], schema=out)

@@ -58,3 +58,25 @@ def test_remembered_pieces_take_little_memory():
     assert c.decode(c.encode(text)).decode() == text and len(c.known) > 3000
     size = sum(sys.getsizeof(ids) + sum(map(sys.getsizeof, ids if isinstance(ids, tuple) else ())) for ids in c.known.values())
     assert size / len(c.known) < 80 and bpe.REMEMBERED <= 100_000
+
+
+def test_ids_are_arrays_and_slices_are_bounded_in_bytes():
+    """A worker that held 256 long texts' ids as Python numbers took some 250 MB: what is turned into objects at a time is bounded by its bytes."""
+    import hashlib
+
+    import pyarrow as pa
+
+    from corpuslab.llm import common
+
+    c, enc = bpe.Coder(PATH, PATTERN), reference()
+    text = "a word, 12 été! " * 20_000
+    ids = c.encode(text)
+    assert ids.nbytes == 4 * len(ids) and len(ids) > bpe.BLOCK
+    assert ids.tolist() == enc.encode_ordinary(text) and c.decode(ids) == text.encode()
+    assert c.ids_digest(ids) == hashlib.sha256(" ".join(map(str, ids.tolist())).encode()).hexdigest()
+    assert c.decoded_digest(ids) == hashlib.sha256(text.encode()).hexdigest()
+    assert c.ids_digest(ids[:0]) == c.decoded_digest(ids[:0]) == hashlib.sha256(b"").hexdigest()
+    texts = ["x" * (100_000 if k % 9 else 3_000_000) for k in range(40)] + ["short"] * 700
+    parts = list(common.slices(pa.RecordBatch.from_pydict({"text": texts})))
+    assert [t for p in parts for t in p.column("text").to_pylist()] == texts
+    assert all(p.num_rows <= common.SLICE_ROWS and (p.num_rows == 1 or p.nbytes <= common.SLICE_BYTES) for p in parts) and len(parts) < 60
