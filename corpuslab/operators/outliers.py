@@ -18,10 +18,10 @@ def neighbours(points: DataFrame, key: str, array_col: str, k: int) -> DataFrame
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("v").orderBy("d", "other"))).withColumnRenamed("v", key)
 
 
-def local_outlier_factor(points: DataFrame, key: str, array_col: str, k: int = 10, share: float = 0.05, exact: bool = False) -> DataFrame:
+def local_outlier_factor(points: DataFrame, key: str, array_col: str, k: int = 10, share: float = 0.05, exact: bool = True) -> DataFrame:
     """key, lof, outlier: density of the k nearest over one's own; the given share of the largest are outliers.
 
-    Neighbours come from the index of vectors.py, or, exact, from comparing all with all. Equal vectors are each other's first neighbours, at distance 0; they
+    Neighbours come from comparing all with all in blocks, or, not exact, from the index of vectors.py, whose recall falls where vectors fill many dimensions evenly. Equal vectors are each other's first neighbours, at distance 0; they
     are searched once and counted. A null key, vector or element leaves the row out; fewer than two vectors have no neighbours and no rows.
     """
     distinct = V.distinct_vectors(points, key, array_col)

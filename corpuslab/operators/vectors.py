@@ -1,4 +1,4 @@
-"""Nearest neighbours among vectors: a partitioned index by neighbour descent, and the exact search.
+"""Nearest neighbours among vectors: the exact search by pairs of cells (all_pairs), and a partitioned index by neighbour descent.
 
 The index holds, for each distinct vector, the KEPT nearest that it knows of. It starts from cells of vectors on the same sides of random planes (large
 cells are cut by hash, so no cell is unbounded), and improves in rounds: a vector's neighbours, and those whose neighbour it is, are likely near
@@ -17,6 +17,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +35,10 @@ LEARNT = 5
 CELL = 100
 #: A round that changes less than this share of the lists is the last.
 SETTLED = 0.01
+#: The exact search: numbers of a cell, distances of a strip, pairs that are measured by differences at a time.
+CELL_NUMBERS = 1 << 21
+STRIP = 1 << 21
+PAIRS = 1 << 16
 
 
 def distance(x: str, y: str) -> Column:
@@ -169,15 +174,100 @@ def index(vectors: DataFrame, kept: int = KEPT, most_rounds: int = 20, seed: int
     return found
 
 
-def all_pairs(vectors: DataFrame, kept: int, cells: int = 16) -> DataFrame:
-    """v, other, d: the exact nearest, all compared with all, for sets where that is meant.
+def nearest(x: np.ndarray, y: np.ndarray, own: bool, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row, other row, d: for each row of x the k nearest rows of y, by distance and place; own: y is x, and no row is its own neighbour.
 
-    Vectors stand in blocks of a cell each, and each cell keeps its own nearest first, so no task holds a vector's whole list.
+    Squares of distances, without the row's own part, are first found by products of single precision, about a middle and to scale, which is off by a bounded
+    error. Every pair that could be among the first k within it is measured by differences, so the result is exact. Rows with NaN or infinite numbers have no neighbours and are nobody's.
     """
-    a = vectors.select("v", "x", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
-    b = vectors.select(F.col("v").alias("other"), F.col("x").alias("y"), F.pmod(F.xxhash64("v"), F.lit(cells)).cast("int").alias("cell"))
-    rows = a.join(b, "cell").filter(F.col("v") != F.col("other")).select("v", "cell", "other", distance("x", "y").alias("d"))
-    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy("v", "cell").orderBy("d", "other"))).filter(F.col("_r") <= kept)
+    err, least, m = 2 * (x.shape[1] + 6) * np.finfo(np.float32).eps, 4 * x.shape[1] * np.finfo(np.float32).tiny, len(y)
+    step = max(1, STRIP // max(1, m))
+    with np.errstate(invalid="ignore", over="ignore"):
+        sound = y[np.isfinite(y).all(1)]
+        middle = sound.mean(0) if len(sound) else np.zeros(x.shape[1])
+        scale = max((float(np.max(np.abs(z - middle), where=np.isfinite(z - middle), initial=0.0)) for z in (x, y)), default=0.0) or 1.0
+        xs, ys = (((z - middle) / scale).astype(np.float32) for z in (x, y))
+        nx, ny = (xs * xs).sum(1), (ys * ys).sum(1)
+        turned, near, out = np.ascontiguousarray(-2 * ys.T), (1 - err) * ny, []
+        for at in range(0, len(x), step):
+            a, na = x[at : at + step], nx[at : at + step]
+            low = xs[at : at + step] @ turned
+            low += near
+            if own:
+                low[np.arange(len(a)), at + np.arange(len(a))] = np.nan
+            some = low[:, : max(k, -(-m // 4))]  # the first k of some are a bound for the first k of all
+            if some.shape[1] < k:
+                limit = np.full(len(a), np.inf, np.float32)
+            else:
+                few = np.argpartition(some, k - 1, axis=1)[:, :k]
+                high = np.take_along_axis(some, few, 1) + 2 * err * (2 * na[:, None] + ny[few]) + least
+                limit = np.where(np.isnan(high), np.inf, high).max(1)
+            r, c = np.divmod(np.flatnonzero(low <= limit[:, None]), m)
+            d = np.concatenate([np.zeros(0), *(np.sqrt(((a[r[i : i + PAIRS]] - y[c[i : i + PAIRS]]) ** 2).sum(1)) for i in range(0, len(r), PAIRS))])
+            order = np.lexsort((c, d, r))
+            r, c, d = r[order], c[order], d[order]
+            kept = np.arange(len(r)) - np.searchsorted(r, r) < k
+            out.append((r[kept] + at, c[kept], d[kept]))
+    return tuple(np.concatenate([o[i] for o in out]) if out else np.zeros(0, int) for i in range(3))
+
+
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each g as one table, from batches sorted by g."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        g = batch.column("g").to_numpy()
+        cuts = np.r_[0, np.flatnonzero(g[1:] != g[:-1]) + 1, len(g)] if len(g) else [0]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and held[0].column("g")[0].as_py() != g[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def packed(dtype: str):
+    @F.arrow_udf(T.BinaryType())
+    def pack(x: pa.Array) -> pa.Array:
+        rows = x.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(len(x), -1)
+        return pa.array([r.tobytes() for r in rows], pa.binary())
+
+    return pack
+
+
+def all_pairs(vectors: DataFrame, kept: int, cells: int = 8) -> DataFrame:
+    """v, other, d: the exact nearest, by distance and key; rows with a null key, vector or element are left out.
+
+    Vectors are dealt into cells of at most CELL_NUMBERS numbers, about. Each pair of cells is compared in one task, both ways, a strip of distances at a time, so memory is
+    bounded, and a vector is shuffled once for each cell: the comparisons grow with the square of the vectors, what is shuffled hardly faster than they do.
+    """
+    rows = vectors.select("v", "x").filter("v is not null and x is not null and not exists(x, e -> e is null)")
+    lossless = F.min(F.forall("x", lambda e: e.cast("float").cast("double") == e))
+    base = rows.agg(F.count("*").alias("n"), F.min(F.size("x")).alias("least"), F.max(F.size("x")).alias("most"), lossless.alias("short")).first()
+    if base["least"] != base["most"]:
+        raise ValueError("vectors differ in length")
+    n, dims = base["n"], max(1, base["most"] or 0)
+    cells, dtype = max(1, min(cells, -(-n // 256)), -(-n * dims // CELL_NUMBERS)), "float32" if base["short"] else "float64"
+    kind = T.StructType([T.StructField("v", vectors.schema["v"].dataType), T.StructField("other", vectors.schema["v"].dataType), T.StructField("d", T.DoubleType())])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = to_arrow_schema(kind)
+        for table in grouped(batches):
+            sides = []
+            for cell in sorted({int(table.column("g")[0].as_py()) // cells, int(table.column("g")[0].as_py()) % cells}):
+                side = table.filter(pc.equal(table.column("cell"), cell)).sort_by("v").combine_chunks()  # places are in the order of keys
+                x = np.frombuffer(b"".join(side.column("x").to_pylist()), dtype).astype(np.float64)
+                sides.append((side.column("v"), x.reshape(side.num_rows, -1) if side.num_rows else np.zeros((0, dims))))
+            pairs = [(sides[0], sides[0])] if len(sides) == 1 else [(sides[0], sides[1]), (sides[1], sides[0])]
+            for (v, x), (other, y) in pairs:
+                r, c, d = nearest(x, y, v is other, kept)
+                columns = v.take(pa.array(r)).combine_chunks(), other.take(pa.array(c)).combine_chunks(), pa.array(d, pa.float64())
+                yield pa.RecordBatch.from_arrays([k if isinstance(k, pa.Array) else pa.concat_arrays(k.chunks) for k in columns], schema=out)
+
+    cell = F.pmod(F.xxhash64("v"), F.lit(cells))
+    dealt = rows.select("v", packed(dtype)("x").alias("x"), cell.alias("cell")).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+    dealt = dealt.select((F.least("cell", "_c") * cells + F.greatest("cell", "_c")).alias("g"), "v", "x", "cell")
+    first = dealt.repartition(cells * (cells + 1), "g").sortWithinPartitions("g").mapInArrow(found, kind)
     best = first.withColumn("_r", F.row_number().over(Window.partitionBy("v").orderBy("d", "other"))).filter(F.col("_r") <= kept)
     return best.select("v", "other", "d")
 

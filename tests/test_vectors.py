@@ -56,3 +56,30 @@ def test_outlier_factor_equals_a_plain_one(spark):
         assert all(abs(got[a] - want[a]) < 1e-6 * want[a] for a in want)
     flags = [r.k for r in O.local_outlier_factor(df, "k", "x", 8, share=0.01).collect() if r.outlier]
     assert 999 in flags and len(flags) <= 2
+
+
+def test_exact_search_by_blocks_is_exact(spark, monkeypatch):
+    """Many ties, far outliers, an offset: the same neighbours as one by one, in few rows for each vector, and not the index's 0.8 of them."""
+    rnd = np.random.default_rng(5)
+    for x in (rnd.integers(0, 3, (150, 4)).astype(float), rnd.standard_normal((150, 9)) + 1e6, np.r_[rnd.standard_normal((140, 3)), 1e12 * rnd.standard_normal((10, 3))]):
+        monkeypatch.setattr(V, "STRIP", 1000)
+        for y, own in ((x, True), (x[:70] + 0.5, False)):
+            want = [(i, int(j), d[j]) for i in range(len(x)) for d in [np.sqrt(((x[i] - y) ** 2).sum(1))] for j in [j for j in np.lexsort((np.arange(len(y)), d)) if not own or j != i][:6]]
+            r, c, d = V.nearest(x, y, own, 6)
+            assert list(zip(r.tolist(), c.tolist(), d.tolist(), strict=True)) == want
+    points = spark.createDataFrame([(f"k{i:04}", v.tolist()) for i, v in enumerate(rnd.standard_normal((700, 30)))], "k string, x array<double>")
+    rows = {r.k: np.array(r.x) for r in points.collect()}
+    keys, x = sorted(rows), np.array([rows[k] for k in sorted(rows)])
+    want = {(k, keys[j]) for i, k in enumerate(keys) for j in np.argsort(((x[i] - x) ** 2).sum(1), kind="stable")[1:11]}
+    for most in (V.CELL_NUMBERS, 1000):  # 3 cells, and 21
+        monkeypatch.setattr(V, "CELL_NUMBERS", most)
+        got = V.all_pairs(V.distinct_vectors(points, "k", "x"), 10)
+        assert {(r.v, r.other) for r in got.collect()} == want
+
+
+def test_outlier_factor_shuffles_little(spark):
+    """No round after round of lists: a vector is dealt out once for each cell, not in 48 groups a round."""
+    import re
+
+    plan = V.all_pairs(V.distinct_vectors(spark.createDataFrame(cloud(2, 300, 8), "k long, x array<float>"), "k", "x"), 10)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) <= 3
