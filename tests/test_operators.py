@@ -214,3 +214,14 @@ def test_stream_of_several_batches_loses_no_row(spark, tmp_path):
     assert got.agg({"n": "sum"}).first()[0] == rows.count()
     want = twins.second_bins(rows.withColumn("ts", rows["ts"].cast("timestamp")), "ts", "value", "1 second")
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_class_terms_have_their_probabilities(spark):
+    import math
+
+    from corpuslab.plans import registry
+
+    rows = registry.QUERIES["st_class_terms"](spark, "/root/testdata/sf0.001").collect()
+    assert any(r.p < 0.001 for r in rows) and any(r.p > 0.3 for r in rows)
+    assert all(abs(r.p - math.erfc(math.sqrt(abs(r.chi2) / 2))) < 1e-4 for r in rows)
+    assert "as p from" in registry.ORACLES["st_class_terms"]
