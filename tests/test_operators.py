@@ -225,3 +225,28 @@ def test_class_terms_have_their_probabilities(spark):
     assert any(r.p < 0.001 for r in rows) and any(r.p > 0.3 for r in rows)
     assert all(abs(r.p - math.erfc(math.sqrt(abs(r.chi2) / 2))) < 1e-4 for r in rows)
     assert "as p from" in registry.ORACLES["st_class_terms"]
+
+
+@pytest.fixture(scope="module")
+def class_texts(tmp_path_factory):
+    """Documents in three classes and in none: each has eight terms of its own and shares others; one text of a class holds none of its terms, ids repeat."""
+    import duckdb
+
+    folder = tmp_path_factory.mktemp("classes")
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar, lang varchar, source varchar)")
+    rows = [(k, " ".join(f"{c}{(k + j * j) % 8} shared{j % 3}" for j in range(25)), c) for c in "abc" for k in range(8)]
+    rows += [(1, "a7 once", "a"), (100, "shared0 shared1", "b"), (101, "a1 b1 c1", None), (102, "", "a"), (103, None, "a")]
+    con.executemany("insert into documents values (?, ?, ?, 's')", rows)
+    con.execute(f"copy documents to '{folder}/documents.parquet' (format parquet)")
+    return str(folder), con
+
+
+def test_all_characteristic_terms_of_a_class_meet_its_segments(spark, class_texts):
+    from corpuslab.plans import registry
+
+    folder, con = class_texts
+    rows = registry.QUERIES["jn_word_segment"](spark, folder).collect()
+    sql = registry.ORACLES["jn_word_segment"]
+    assert sorted((r["class"], r.term, r.segments, round(r.chi2, 3)) for r in rows) == sorted((a, b, n, round(x, 3)) for a, b, n, x in con.execute(f"select class, term, segments, chi2 from ({sql})").fetchall())
+    assert min(sum(r["class"] == c for r in rows) for c in "abc") > 5
