@@ -250,3 +250,15 @@ def test_all_characteristic_terms_of_a_class_meet_its_segments(spark, class_text
     sql = registry.ORACLES["jn_word_segment"]
     assert sorted((r["class"], r.term, r.segments, round(r.chi2, 3)) for r in rows) == sorted((a, b, n, round(x, 3)) for a, b, n, x in con.execute(f"select class, term, segments, chi2 from ({sql})").fetchall())
     assert min(sum(r["class"] == c for r in rows) for c in "abc") > 5
+
+
+@pytest.mark.parametrize("told", [200, 2])
+def test_segments_with_any_characteristic_term_are_in_the_concordance(spark, class_texts, told):
+    from corpuslab.plans import q_assoc, registry
+
+    folder, con = class_texts
+    got = {r["class"]: r.segments for r in q_assoc.cl_concordance(spark, folder, told).collect()}
+    assert got == dict(con.execute(f"select class, segments from ({registry.ORACLES['cl_concordance']})").fetchall())
+    five = con.execute(f"with {q_assoc.VIEW} select cls, list(term) from v where rank <= 5 group by cls").fetchall()
+    capped = {c: sum(bool(set(words[i : i + 40]) & set(terms)) for lang, text in con.execute("select lang, text from documents where text is not null").fetchall() if lang == c for words in [text.split()] for i in range(0, len(words), 40)) for c, terms in five}
+    assert any(got[c] > n for c, n in capped.items())
