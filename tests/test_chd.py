@@ -110,3 +110,72 @@ def test_segments_are_joined_to_a_size(spark):
         groups.setdefault((r.doc_id, r.group), []).append((r.seg_no, r.n))
     assert {k: sorted(v) for k, v in groups.items() if k[0] != 3} == {(1, 0): [(0, 5), (1, 5)], (1, 1): [(2, 5), (3, 5), (4, 3)], (2, 0): [(0, 2)]}
     assert sum(len(v) for k, v in groups.items() if k[0] == 3) == 3
+
+
+def odd_texts(spark):
+    rnd = random.Random(5)
+    rows = [(u, " ".join(rnd.choice([f"{'abc'[u % 3]}{rnd.randrange(30)}", f"z{rnd.randrange(12)}"]) for _ in range(rnd.randrange(5, 190)))) for u in range(90)]
+    rows += [(3, "a1 a2 new"), (3, "a1 " * 100), (None, "a1 a2"), (None, "b1 z1"), (200, ""), (201, None), (202, "rare1 rare2"), (203, "z1")]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+
+def test_tables_of_words_equal_those_of_counts(spark):
+    from corpuslab.functions import text as T
+    from corpuslab.operators import tokens as K
+
+    docs = odd_texts(spark)
+    counts = K.frequent(K.dfm(K.tokens(docs)), min_docs=5, max_share=0.5)
+    for most in (20_000, 25):
+        words = chd.Words(chd.unit_words(docs, T.words_lower("text")))
+        table = words.table(5, 0.5, most)
+        words.drop()
+        held = {r.unit: [int.from_bytes(r.ts[k : k + 2], "little") for k in range(0, len(r.ts), 2)] for r in table.rows.collect()}
+        want, names = chd.unit_rows(counts, "doc_id", most)
+        assert names == table.names and held == {r.unit: list(r.ts) for r in want.collect()}
+        got, tree = table.classify(3, refine=1)
+        plain, same = chd.classify(counts, 3, refine=1, most_terms=most)
+        assert tree == same and sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_groups_of_segments_are_cut_where_the_text_stands(spark):
+    from corpuslab.functions import text as T
+    from corpuslab.operators import tokens as K
+
+    docs = odd_texts(spark)
+    got = {r.unit: set(r.w) for r in chd.group_words(docs, T.words_lower("text"), 10, 20).collect()}
+    segs = chd.size_merged(K.segments_fixed(docs, 10), F.col("n_words"), 20)
+    name = F.concat_ws("_", F.col("doc_id").cast("string"), F.col("group").cast("string")).alias("unit")
+    want = {r.unit: set(r.w) for r in segs.groupBy(name).agg(F.collect_list("segment").alias("s")).select("unit", F.array_distinct(F.split(F.array_join("s", " "), " ")).alias("w")).collect()}
+    once = {u for u in want if u.split("_")[0] not in ("3", "0", "1")}
+    assert got.keys() == want.keys() and all(got[u] == want[u] for u in once) and len(once) > 100
+
+
+@pytest.mark.parametrize("cells", [1 << 22, 50])
+def test_cuts_by_ranges_equal_each_other(spark, monkeypatch, cells):
+    counts, rows = table(spark)
+    units, names = chd.unit_rows(counts, "doc_id", 20_000)
+    monkeypatch.setattr(chd, "RANGE_CELLS", cells)
+    scored = chd.first_axis(units, names)
+    left = {r.unit for r in chd.sweep(scored, len(names)).collect() if r.side == 1}
+    order = [r.unit for r in scored.orderBy("score", "unit").collect()]
+    assert abs(chi2_by_hand(rows, left) - max(chi2_by_hand(rows, set(order[: k + 1])) for k in range(len(order) - 1))) < 1e-6
+
+
+def test_a_classification_leaves_no_tables_of_its_cuts(spark):
+    from pathlib import Path
+
+    from corpuslab.functions import text as T
+    from corpuslab.operators.shared import shared_dir
+
+    def held():
+        return sum(f.stat().st_size for f in Path(shared_dir(spark)).rglob("*.parquet"))
+
+    rnd = random.Random(6)
+    docs = spark.createDataFrame([(u, " ".join(f"{'abcd'[u % 4]}{rnd.randrange(60)}" if rnd.random() < 0.8 else f"z{rnd.randrange(20)}" for _ in range(120))) for u in range(600)], "doc_id long, text string")
+    before = held()
+    words = chd.Words(chd.unit_words(docs, T.words_lower("text")))
+    found = words.table(10, 0.9)
+    words.drop()
+    table_size = sum(f.stat().st_size for x in found.rows.inputFiles() for f in [Path(x.replace("file://", ""))])
+    found.classify(4, refine=1)
+    assert held() - before < 2 * table_size + 20_000
