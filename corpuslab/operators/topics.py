@@ -24,6 +24,8 @@ from corpuslab.operators.shared import broadcast_if_small, written
 #: Terms of a block of sums, and count pairs that are worked on at a time.
 BLOCK = 4096
 SLICE = 100_000
+#: Pairs of words that a task adds up at a time.
+PAIRS = 1 << 22
 #: Fixed-point iterations of a unit at most, and the change of its weights, as a share of them, at which it has settled.
 INNER = 50
 SETTLED = 1e-3
@@ -80,6 +82,113 @@ def counted(units: DataFrame, key: str, terms: Column, min_units: int, max_share
     return empty.select(key, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"), F.coalesce("n", F.array().cast("array<bigint>")).alias("n")), names
 
 
+def numbers_of(lists: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The row and the number of each word of the lists; -1 for a word that is not known."""
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+    number = np.asarray(pc.fill_null(pc.index_in(lists.flatten().cast(pa.string()), known), -1)).astype(np.int64)
+    return np.repeat(np.arange(len(lengths)), lengths), number
+
+
+def pairs_of(row: np.ndarray, number: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The row and the code of each two known words that follow each other."""
+    both = (row[1:] == row[:-1]) & (number[1:] >= 0) & (number[:-1] >= 0)
+    return row[1:][both], number[:-1][both] << bits | number[1:][both]
+
+
+def pair_counts(told, bits: int):
+    """code, n: in how many rows each pair of known words is, added up for some millions of pairs at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent() -> pa.RecordBatch:
+            code, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], names=["code", "n"])
+
+        held: list[np.ndarray] = []
+        for batch in batches:
+            row, code = pairs_of(*numbers_of(batch.column("_words"), told.value), bits)
+            held.append(np.unique(row << 2 * bits | code) & ((1 << 2 * bits) - 1))
+            if sum(map(len, held)) > PAIRS:
+                yield sent()
+                held = []
+        if held:
+            yield sent()
+
+    return run
+
+
+def term_counts(told, bits: int, key: str):
+    """key, ids, n: the terms of each row by their numbers. told: the words, the vocabulary's number of each (-1 if none), the codes of its pairs, sorted, and their numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, one, codes, two = told.value
+        for batch in batches:
+            row, number = numbers_of(batch.column("_words"), known)
+            first, code = pairs_of(row, number, bits)
+            some = number >= 0
+            unit, ids = [row[some]], [one[number[some]]]
+            if len(codes):
+                at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+                unit.append(first)
+                ids.append(np.where(codes[at] == code, two[at], -1))
+            unit, ids = np.concatenate(unit), np.concatenate(ids)
+            cells, n = np.unique(unit[ids >= 0] << 32 | ids[ids >= 0], return_counts=True)
+            ends = pa.array(np.r_[0, np.cumsum(np.bincount(cells >> 32, minlength=batch.num_rows))].astype(np.int32))
+            ids, n = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((cells & 0xFFFFFFFF).astype(np.int32), n.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(key), ids, n], names=[key, "ids", "n"])
+
+    return run
+
+
+def counted_words(spelt: DataFrame, key: str, most: int, min_units: int, max_share: float, vocabulary: int) -> tuple[DataFrame, DataFrame]:
+    """What counted gives, from a table (key, _words), for words alone or for words and their pairs: no run is spelt out for each of its places.
+
+    A pair is in no more rows than either of its words, so pairs are counted only of words that are in as many rows as the last one that could be kept if there were
+    words alone: rarer pairs are none of the vocabulary.
+    """
+    spark = spelt.sparkSession
+    total = spelt.count()
+    words = written(spelt.select(F.explode(F.array_distinct("_words")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= min_units), "topic-word-counts")
+    if most > 2 or not words.filter(F.col("term").isNull() | (F.col("term") == "") | F.col("term").contains(" ")).isEmpty():
+        return counted(spelt, key, ngrams(F.col("_words"), most), min_units, max_share, vocabulary)
+    alone = words.filter(F.col("df") <= max_share * total)
+    last = alone.orderBy(F.desc("df")).limit(vocabulary).agg(F.min("df").alias("df"), F.count("*").alias("n")).first()
+    least = last["df"] if last["n"] == vocabulary else min_units
+    table = words.filter(F.col("df") >= least).orderBy("term").select("term").toArrow()  # as many as the vocabulary, about
+    known = table.column("term").combine_chunks().cast(pa.string())
+    bits = max(1, len(known).bit_length())
+    found = alone.filter(F.col("df") >= least).select("term", "df", F.lit(-1).cast("long").alias("code"))
+    if most == 2:
+        told = spark.sparkContext.broadcast(known)
+        pairs = spelt.select("_words").mapInArrow(pair_counts(told, bits), "code long, n long").groupBy("code").agg(F.sum("n").alias("df"))
+        pairs = pairs.filter((F.col("df") >= least) & (F.col("df") <= max_share * total))
+        number = spark.createDataFrame(pa.table({"number": pa.array(np.arange(len(known))), "term": known}))
+        x, y = (number.select(F.col("number").alias(n), F.col("term").alias(t)) for n, t in (("a", "t1"), ("b", "t2")))
+        pairs = pairs.withColumns({"a": F.shiftright("code", bits), "b": F.col("code").bitwiseAND(F.lit((1 << bits) - 1))}).join(x.hint("merge"), "a").join(y.hint("merge"), "b")
+        found = found.unionByName(pairs.select(F.concat_ws(" ", "t1", "t2").alias("term"), "df", "code"))
+    best = written(found.orderBy(F.desc("df"), F.xxhash64("term")).limit(vocabulary), "vocabulary-terms")
+    place = (F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1).alias("id")
+    names = written(best.select(place, "term", "code"), "vocabulary")
+    kept = names.toArrow()
+    ids, code = kept.column("id").to_numpy().astype(np.int64), kept.column("code").to_numpy()
+    one = np.full(len(known), -1, np.int64)
+    at = np.asarray(pc.index_in(kept.column("term").combine_chunks().cast(pa.string()), known).fill_null(-1))
+    one[at[code < 0]] = ids[code < 0]
+    order = np.argsort(code[code >= 0])
+    told = spark.sparkContext.broadcast((known, one, code[code >= 0][order], ids[code >= 0][order]))
+    kind = dict(spelt.dtypes)[key]
+    counts = spelt.mapInArrow(term_counts(told, bits, key), f"`{key}` {kind}, ids array<int>, n array<bigint>")
+    twice = written(spelt.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n")).filter((F.col("_n") > 1) | F.col("_k").isNull()).select("_k"), "repeated-units")
+    if not twice.isEmpty():  # rows of one unit are added up; units without a name have no terms, as in counted
+        told_twice = broadcast_if_small(twice)
+        same = counts[key].eqNullSafe(told_twice["_k"])
+        several = counts.join(told_twice, same, "left_semi")
+        cells = several.filter(F.col(key).isNotNull()).select(key, F.inline(F.arrays_zip("ids", "n"))).groupBy(key, "ids").agg(F.sum("n").alias("n"))
+        sums = cells.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ids", "n"))).alias("t")).select(key, F.col("t.ids").alias("ids"), F.col("t.n").alias("n"))
+        none = several.select(key).distinct().join(sums.select(key), key, "left_anti").select(key, F.array().cast("array<int>").alias("ids"), F.array().cast("array<bigint>").alias("n"))
+        counts = counts.join(told_twice, same, "left_anti").unionByName(sums).unionByName(none)
+    return counts, names.select("id", "term")
+
+
 def weights(ids: np.ndarray, n: np.ndarray, lengths: np.ndarray, beta: np.ndarray, alpha: float, inner: int = INNER, settled: float = SETTLED) -> np.ndarray:
     """gamma of some units (none empty): ids and counts one unit after the other; beta: (term, topic) exp of the expected log probability."""
     k = beta.shape[1]
@@ -212,9 +321,9 @@ def lda(units: DataFrame, words: Column, k: int = 4, most_steps: int = 30, min_u
     or terms there are no topic terms.
     """
     spark = units.sparkSession
-    # found once and written, as each of the passes of counted() reads them
+    # found once and written, as each of the passes reads them
     spelt = written(units.select(key, F.coalesce(words, F.array().cast("array<string>")).alias("_words")), "topic-words")
-    counts, names = counted(spelt, key, ngrams(F.col("_words"), most_words), min_units, max_share, vocabulary)
+    counts, names = counted_words(spelt, key, most_words, min_units, max_share, vocabulary)
     counts = written(counts, "topic-counts")
     k = max(1, min(k, counts.count()))
     v = names.count()

@@ -4,9 +4,11 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corpuslab.operators import topics as TM
+from corpuslab.operators.shared import written
 
 
 def documents(seed, n=60):
@@ -109,3 +111,19 @@ def test_words_are_found_once(spark):
     units = spark.createDataFrame([(i, f"a b{i % 3} c{i % 5}") for i in range(20)], "doc_id long, text string")
     TM.lda(units, split("text"), 2, most_steps=2)[1].collect()
     assert found.value == 20
+
+
+@pytest.mark.parametrize("most, vocabulary, share", [(1, 20_000, 0.95), (2, 20_000, 0.95), (2, 40, 0.3), (3, 60, 0.9)])
+def test_terms_counted_by_number_equal_those_spelt_out(spark, most, vocabulary, share):
+    rnd = np.random.default_rng(3)
+    rows = [(k, [f"ŵ{w}" for w in rnd.zipf(1.4, rnd.integers(0, 40)) % 60]) for k in range(120)]
+    rows += [(5, ["ŵ1", "ŵ2", "ŵ1"]), (5, []), (None, ["ŵ1", "ŵ2"]), (300, None), (301, ["alone"])]
+    spelt = written(spark.createDataFrame(rows, "doc_id long, _words array<string>").repartition(3).select("doc_id", F.coalesce("_words", F.array().cast("array<string>")).alias("_words")), "spelt")
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    got, want = [], []
+    for out, made in ((got, lambda: TM.counted_words(spelt, "doc_id", most, 2, share, vocabulary)), (want, lambda: TM.counted(spelt, "doc_id", TM.ngrams(F.col("_words"), most), 2, share, vocabulary))):
+        before = shuffled()
+        counts, names = made()
+        out += [sorted(str((r.doc_id, list(r.ids), list(r.n))) for r in counts.collect()), {r.id: r.term for r in names.collect()}, shuffled() - before]
+    assert got[:2] == want[:2] and len(got[1]) > 10
+    assert most > 2 or got[2] < 0.8 * want[2]
