@@ -19,13 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslab.operators.shared import broadcast_if_small, written
+from corpuslab.operators.shared import broadcast_if_small, list_slices, written
 
 #: Terms of a block of sums, and count pairs that are worked on at a time.
 BLOCK = 4096
 SLICE = 100_000
 #: Pairs of words that a task adds up at a time.
-PAIRS = 1 << 22
+PAIRS = 1 << 20
 #: Fixed-point iterations of a unit at most, and the change of its weights, as a share of them, at which it has settled.
 INNER = 50
 SETTLED = 1e-3
@@ -104,7 +104,7 @@ def pair_counts(told, bits: int):
             return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], names=["code", "n"])
 
         held: list[np.ndarray] = []
-        for batch in batches:
+        for batch in (part for b in batches for part in list_slices(b, "_words")):
             row, code = pairs_of(*numbers_of(batch.column("_words"), told.value), bits)
             held.append(np.unique(row << 2 * bits | code) & ((1 << 2 * bits) - 1))
             if sum(map(len, held)) > PAIRS:
@@ -121,7 +121,7 @@ def term_counts(told, bits: int, key: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, one, codes, two = told.value
-        for batch in batches:
+        for batch in (part for b in batches for part in list_slices(b, "_words")):
             row, number = numbers_of(batch.column("_words"), known)
             first, code = pairs_of(row, number, bits)
             some = number >= 0

@@ -127,3 +127,14 @@ def test_terms_counted_by_number_equal_those_spelt_out(spark, most, vocabulary,
         out += [sorted(str((r.doc_id, list(r.ids), list(r.n))) for r in counts.collect()), {r.id: r.term for r in names.collect()}, shuffled() - before]
     assert got[:2] == want[:2] and len(got[1]) > 10
     assert most > 2 or got[2] < 0.8 * want[2]
+
+
+def test_long_batches_are_worked_on_in_parts():
+    import pyarrow as pa
+
+    from corpuslab.operators.shared import list_slices
+
+    lists = [["a"] * n for n in (3, 0, 5, 20, 1, 1)] + [None]
+    parts = list(list_slices(pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.string()))], names=["w"]), "w", 8))
+    assert [x for p in parts for x in p.column("w").to_pylist()] == lists and len(parts) > 2
+    assert all(len(p.column("w").flatten()) <= 20 + 8 for p in parts) and not list(list_slices(parts[0].slice(0, 0), "w"))
